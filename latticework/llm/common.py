@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +58,17 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def slices(batch: pa.RecordBatch, column: int, max_rows: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that a slice has max_rows rows at most and, unless it is one row, max_bytes of the column."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.concatenate(([0], np.cumsum(length))), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[at] + max_bytes, side="right")) - 1
+        end = min(max(end, at + 1), at + max_rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def remainder(id_col: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null ids have a null remainder."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -85,7 +100,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     """At most per_class training rows of each class (0 and 1), the first by a hash of the id.
 
     Rows whose crc32(id) mod 4 is 2 are held out. Documents over max_chars characters are not training
-    examples. Returns {"rows": [(text, label)], "counts": {label: rows available}}.
+    examples. Returns {"rows": [(id, text, label)], "counts": {label: rows available}}.
     """
     lab = (
         labels.select(F.col(id_col).alias("_id"), F.col(target).cast("int").alias("_y"))
@@ -106,4 +121,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
         .limit(2 * per_class)
         .collect()
     )
-    return {"rows": [(r["_text"], r["_y"]) for r in rows], "counts": counts}
+    return {"rows": [(r["_id"], r["_text"], r["_y"]) for r in rows], "counts": counts}

@@ -4,19 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, near_dedup, packing, preferences, quality, toxicity, url_filter
 from .common import table
-from .near_dedup import near_duplicates
+
+#: Rules of the URL query: verdict, host, path.
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+#: Site names whose pages make up the URL query's list.
+LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with another conversation's last reply; spans as text."""
+    pairs = preferences.with_partner_replies(table(spark, sf_dir, "conversations"))
+    out = preferences.format_preferences(pairs)
+    said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return out.select("conv_id", "prompt_turns", "prompt", "chosen_text", "rejected_text", said("chosen_spans").alias("chosen_spans"), said("rejected_spans").alias("rejected_spans"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at a similarity of 0.85 (see near_duplicates)."""
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; the list holds the urls of the sites in LISTED_SITES."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    sites = F.array(*map(F.lit, LISTED_SITES))
+    listed = url_filter.with_parts(pages.select("url"), "url").where(F.arrays_overlap(F.split("host", "\\."), sites)).select("url")
+    return url_filter.url_verdicts(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document from its nearest labelled examples."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op7_pack_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens; pieces with a checksum of their ids."""
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by Bradley-Terry ranking."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dedup,)}
+    every = (op1_chat_preferences, op3_near_dedup, op4_url_filter, op5_toxicity, op6_mix_sources, op7_pack_hilbert, op8_quality)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
