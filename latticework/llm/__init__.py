@@ -1 +1,8 @@
 """Operators for preparing language-model training data at corpus scale."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

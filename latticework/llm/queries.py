@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing, preferences, quality, toxicity, url_filter
+from . import embedding_dedup, language_id, mixing, near_dedup, packing, preferences, quality, toxicity, url_filter
 from .common import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -66,8 +66,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all embeddings at a cosine of 0.9."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a conditional random field over its words."""
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_chat_preferences, op3_near_dedup, op4_url_filter, op5_toxicity, op6_mix_sources, op7_pack_hilbert, op8_quality)
+    every = (op1_chat_preferences, op3_near_dedup, op4_url_filter, op5_toxicity, op6_mix_sources, op7_pack_hilbert, op8_quality, op9_embedding_dedup, op10_language_id)
     return {f.__name__: f for f in every}
 
 

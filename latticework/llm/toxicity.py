@@ -234,13 +234,11 @@ def score(docs: DataFrame, model: Voter, text_col: str = "text") -> DataFrame:
     of toxic ones among such examples and no evidence. Equal texts get equal scores; clashing columns
     are replaced. No row moves between partitions.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
     new = ["toxic_score", "evidence_ids", "evidence_cosines"]
     rest = docs.drop(*new)
     at, names = rest.columns.index(text_col), [*rest.columns, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         cache = _Ids(model.vocabulary)
         for b in batches:
             for i in range(0, b.num_rows, 1024):
