@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, probe
 from .common import materialize, release
 from .graph import connected_components
 
@@ -104,6 +105,13 @@ def _signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarr
     return keys.view(np.int64), sketch
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set: two bitmaps differ in at most as many bits as their sets in elements."""
+    n = 64 * SKETCH_WORDS
+    bits = np.bincount((hashes >> np.uint64(64 - int(math.log2(n)))).astype(np.int64), minlength=n) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sketch_batches(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
@@ -117,13 +125,14 @@ def _sketch_batches(words: int, bands: int, rows: int):
                     digests.append(d)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, sketch = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), SKETCH_WORDS), np.int64)
+                parity = np.array([_parity(s) for s in sets], np.int64).reshape(len(sets), SKETCH_WORDS)
                 if full:
                     keys[full], sketch[full] = _signatures([sets[i] for i in full], bands, rows)
                 offsets = pa.array(np.arange(0, (len(sets) + 1) * bands, bands, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d or None for d in digests], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))]
-                    + [pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH_WORDS)],
-                    ["node", "n_shingles", "digest", "keys", *(f"s{j}" for j in range(SKETCH_WORDS))],
+                    + [pa.array(np.ascontiguousarray(m[:, j])) for m in (sketch, parity) for j in range(SKETCH_WORDS)],
+                    ["node", "n_shingles", "digest", "keys", *(f"{c}{j}" for c in "sf" for j in range(SKETCH_WORDS))],
                 )
 
     return run
@@ -144,17 +153,33 @@ def _set_batches(words: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union, written out."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(texts.join(wanted, "node", "left_semi").select("node", "text").dropDuplicates(["node"]).mapInArrow(_set_batches(words), "node long, shingles array<long>"))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union, written out.
+
+    A Bloom filter of the nodes in pairs spares most texts the second reading; it is checked where the texts
+    are scanned, so no text is shuffled. Its false hits only make sets that no pair asks for.
+    """
+    wanted = pairs.select(F.col("a").alias("wanted")).unionByName(pairs.select(F.col("b").alias("wanted"))).distinct()
+    filter_, blocks = bloom_filter(wanted, "wanted", wanted.count())
+    some = probe(texts, "node", filter_, blocks).where("_maybe").select("node", "text")
+    sets = materialize(some.mapInArrow(_set_batches(words), "node long, shingles array<long>"))
+    one = sets.dropDuplicates(["node", "shingles"])
+    left = one.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = one.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
     out = materialize(both.where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"))
     release(sets)
     return out
 
 
+def _plausible(limit: int, percent: int) -> Column:
+    """Whether the sketches of a pair (columns, and h_ columns of its other side) allow it to be a link.
+
+    The MinHash sketches must be within `limit`.
+    """
+    apart = sum((F.bit_count(F.col(f"s{j}").bitwiseXOR(F.col(f"h_s{j}"))) for j in range(SKETCH_WORDS)), F.lit(0))
+    return apart <= limit
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Class of near copies of every document.
 
@@ -175,47 +200,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = bands_for(percent / 100)
     limit = sketch_limit(percent / 100, bands * rows)
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    sk = [f"s{j}" for j in range(SKETCH_WORDS)]
+    sk = [f"{c}{j}" for c in "sf" for j in range(SKETCH_WORDS)]
     schema = "node long, n_shingles long, digest binary, keys array<long>, " + ", ".join(f"{c} long" for c in sk)
     marks = materialize(texts.mapInArrow(_sketch_batches(words, bands, rows), schema))
     # one node for each word sequence; its columns are equal within the class, so any will do
+    held = ["n_shingles", *sk]
     classes = materialize(
         marks.where("node IS NOT NULL AND n_shingles > 0").groupBy("digest")
-        .agg(F.min("node").alias("node"), F.first("keys").alias("keys"), *[F.first(c).alias(c) for c in sk])
+        .agg(F.min("node").alias("node"), F.first("keys").alias("keys"), *[F.first(c).alias(c) for c in held])
     )
     buckets = materialize(
         classes.select("node", F.explode("keys").alias("key"))
         .groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     )
     members = materialize(classes.select("node", F.posexplode("keys").alias("band", "key")).join(buckets, "key"))
-    head = classes.select(F.col("node").alias("b"), *[F.col(c).alias(f"h_{c}") for c in sk])
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in sk), F.lit(0))
+    head = classes.select(F.col("node").alias("b"), *[F.col(c).alias(f"h_{c}") for c in held])
+    alike = _plausible(limit, percent)
     stars = (
         members.where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-        .join(classes.select(F.col("node").alias("a"), *sk), "a").join(head, "b").where(apart <= limit).select("a", "b")
+        .join(classes.select(F.col("node").alias("a"), *held), "a").join(head, "b").where(alike).select("a", "b").distinct()
     )
     stars = materialize(stars)
     first = _confirmed(stars, texts, words, percent)
     comp = connected_components(first)
-    comp = materialize(comp)
-    labelled = members.join(comp, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("c"))
-    labelled = materialize(labelled)
+    labelled = materialize(members.join(comp, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("c")))
+    release(members, buckets)
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi").join(classes.select("node", "keys", *sk), "node"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("c").alias("h_c"), F.col("keys").alias("h_keys"), *[F.col(c).alias(f"h_{c}") for c in sk])
+    rest = materialize(labelled.join(mixed, "key", "left_semi").join(classes.select("node", "keys", *held), "node"))
+    release(labelled)
+    other = rest.select("key", F.col("node").alias("b"), F.col("c").alias("h_c"), F.col("keys").alias("h_keys"), *[F.col(c).alias(f"h_{c}") for c in held])
     pairs = (
         rest.withColumnRenamed("node", "a").join(other, "key")
-        .where((F.col("a") > F.col("b")) & (F.col("c") != F.col("h_c")) & (apart <= limit))
+        .where((F.col("a") > F.col("b")) & (F.col("c") != F.col("h_c")) & alike)
         .where(F.expr("NOT exists(slice(zip_with(keys, h_keys, (x, y) -> x = y), 1, band), e -> e)"))
         .select("a", "b")
     )
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"))
+    release(rest, stars)
     second = _confirmed(pairs, texts, words, percent)
+    release(pairs)
     final = connected_components(first.unionByName(second))
     label = classes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = marks.select("node", "n_shingles", "digest").join(label, "digest", "left")
-    return out.select(
-        F.col("node").alias(id_col), "n_shingles",
-        F.coalesce("component", "node").alias("component_id"),
-        F.coalesce(F.col("node") == F.coalesce("component", "node"), F.lit(False)).alias("kept"),
-    ).withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id")))
+    component = F.when(F.col("node").isNotNull(), F.coalesce("component", "node"))
+    return out.select(F.col("node").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("node") == component, F.lit(False)).alias("kept"))

@@ -7,11 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Filters up to this many bytes are broadcast; larger ones are joined by block number.
-BROADCAST_BYTES = 32 << 20
-#: A filter block: words of 64 bits, one bit of each set by a key.
-WORDS = 8
-BITS_PER_KEY = 16
+from .bloom import bloom_filter, probe
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that do not change the page.
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
@@ -54,29 +51,6 @@ def with_canonical(df: DataFrame) -> DataFrame:
     return df.withColumn("canonical", F.concat("host", F.regexp_replace("path", "/+$", ""), tail))
 
 
-def _masks(key: Column) -> list[Column]:
-    bits = F.xxhash64(key, F.lit(1))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 6 * j).bitwiseAND(F.lit(63)).cast("int")) for j in range(WORDS)]
-
-
-def bloom_filter(keys: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
-    """(block, w0..w7) rows of a blocked Bloom filter over distinct keys, and its number of blocks."""
-    blocks = max(1, -(-n_keys * BITS_PER_KEY // (64 * WORDS)))
-    marked = keys.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), *[m.alias(f"w{j}") for j, m in enumerate(_masks(F.col(key)))])
-    return marked.groupBy("block").agg(*[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(WORDS)]), blocks
-
-
-def _probe(df: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
-    """df with _maybe: false means that the key is surely not in the filter."""
-    small = blocks * (WORDS + 2) * 8 <= BROADCAST_BYTES
-    bloom = bloom.select(F.col("block").alias("_block"), *[f"w{j}" for j in range(WORDS)])
-    got = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks))).join(F.broadcast(bloom) if small else bloom, F.col("_b") == F.col("_block"), "left")
-    hit = F.lit(True)
-    for j, m in enumerate(_masks(F.col(key))):
-        hit = hit & (F.col(f"w{j}").bitwiseAND(m) == m)
-    return got.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_b", "_block", *[f"w{j}" for j in range(WORDS)])
-
-
 def best_rule(rules: list[Rule]) -> Column:
     """struct(size, rule, verdict) of the longest rule that fits host and path; null if none does."""
     fits = []
@@ -105,7 +79,7 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], listed: DataFrame, url_col
     judged = judged.withColumn("_best", best_rule(rules) if rules else F.lit(None).cast("struct<size:int,rule:string,verdict:string>"))
     out = [*keep, "host", "path", "canonical", "rule", "listed", "verdict"]
     ruled = judged.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.col("_best.verdict"))
-    probed = _probe(ruled, "canonical", bloom, blocks).withColumn("_maybe", F.col("_maybe") & F.col("rule").isNull() & (F.col("host") != ""))
+    probed = probe(ruled, "canonical", bloom, blocks).withColumn("_maybe", F.col("_maybe") & F.col("rule").isNull() & (F.col("host") != ""))
     sure = probed.where(~F.col("_maybe")).withColumn("listed", F.lit(False))
     maybe = probed.where("_maybe").join(listed_urls, F.col("canonical") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull())
     both = sure.select(*keep, *new[:3], "rule", "listed", "verdict").unionByName(maybe.select(*keep, *new[:3], "rule", "listed", "verdict"))
