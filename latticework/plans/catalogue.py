@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import panel_queries, serve_queries, text_queries
+from .registry import QueryFn
 
-from pyspark.sql import DataFrame, SparkSession
+_PARTS = (panel_queries.R, serve_queries.R, text_queries.R)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, QueryFn]:
+    return {name: fn for part in _PARTS for name, fn in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.sql.items()}
