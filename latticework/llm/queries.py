@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, near_dedup, packing, preferences, quality, toxicity, url_filter
+from . import embedding_dedup, language_id, mixing, near_dedup, packing, preferences, quality, search, toxicity, url_filter
 from .common import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -31,6 +31,12 @@ def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "prompt_turns", "prompt", "chosen_text", "rejected_text", said("chosen_spans").alias("chosen_spans"), said("rejected_spans").alias("rejected_spans"))
 
 
+def op2_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents for the whole text of every document whose id is divisible by 20, among all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return search.bm25_top_k(docs, docs.where("doc_id % 20 = 0"), k=10)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at a similarity of 0.85 (see near_duplicates)."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -77,7 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_chat_preferences, op3_near_dedup, op4_url_filter, op5_toxicity, op6_mix_sources, op7_pack_hilbert, op8_quality, op9_embedding_dedup, op10_language_id)
+    every = (op1_chat_preferences, op2_bm25_search, op3_near_dedup, op4_url_filter, op5_toxicity, op6_mix_sources, op7_pack_hilbert, op8_quality, op9_embedding_dedup, op10_language_id)
     return {f.__name__: f for f in every}
 
 
