@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, near_dedup, packing, preferences, quality, search, toxicity, url_filter
+from . import embedding_dedup, language_id, mixing, near_dedup, oracles, packing, preferences, quality, search, toxicity, url_filter
 from .common import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -88,4 +88,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries it can express; learned, sampled, tokenized and ranked results are tested otherwise."""
+    return {
+        "op1_chat_preferences": oracles.OP1,
+        "op3_near_dedup": oracles.OP3,
+        "op4_url_filter": oracles.op4(URL_RULES, LISTED_SITES),
+        "op9_embedding_dedup": oracles.OP9,
+    }
