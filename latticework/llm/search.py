@@ -164,13 +164,13 @@ def search_shard(shard: Shard, q: Queries, best: Best) -> int:
         own = order[i : i + BATCH]
         rare, weights = shard.rare(q, own), shard.common_weights(q, own)
         bound = weights @ shard.top.T + np.maximum.reduceat(rare, shard.edges, axis=1)
-        open_ = np.flatnonzero((bound >= best.score[own, -1:] - 1e-9).any(0))
+        open_ = np.flatnonzero((bound >= best.score[own, -1:] - 1e-8).any(0))
         if not len(open_):
             continue
         opened += len(open_)
         at = (shard.edges[open_][:, None] + np.arange(BLOCK)).ravel()
         at = at[at < len(shard.docs)]
-        score = rare[:, at] + weights @ shard.matrix[at].T
+        score = np.round(rare[:, at] + weights @ shard.matrix[at].T, 9)
         if len(at) > k:
             # ties at the edge are kept by document: look at a few more than k
             part = np.argpartition(-score, k - 1, axis=1)[:, :k]
@@ -226,8 +226,8 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
        after another, and searches them with block-max pruning against its own k-th best scores.
     3. The tasks' k best are merged by score; as all scores use the global counts, the merge is exact.
 
-    A query is the bag of its text's terms. Texts without terms find and are found by nothing. Equal scores go by
-    smaller id. Repeated documents are found as often as they occur; queries that repeat an id count as one, the
+    A query is the bag of its text's terms. Texts without terms find and are found by nothing. Scores are rounded to
+    nine decimals, so that the order of a sum does not matter; equal ones go by smaller id. Repeated documents are found as often as they occur; queries that repeat an id count as one, the
     first by text. Rows with a null id are left out. Empty tables give an empty result.
     """
     key = "long"
