@@ -138,7 +138,7 @@ def decode_entities(c: Column) -> Column:
 
 def aliases(c: Column, wide_gaps: bool = False) -> Column:
     """Non-blank parts of an alias list split at bars, with wide_gaps also at two or more spaces."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "\\||\\s{2,}" if wide_gaps else "\\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "\\||\\s{2,}" if wide_gaps else "\\|"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 

@@ -34,9 +34,9 @@ def first_name_index(names: DataFrame, key: str, entity: str, priority: str, ord
     return names.where(F.col(key) != "").groupBy(key).agg(F.min_by(entity, F.struct(F.col(priority), F.col(order))).alias(entity))
 
 
-def exact_match(queries: DataFrame, directory: DataFrame, keys: Sequence[str], entity: str, city: str | None = None) -> DataFrame:
+def exact_match(queries: DataFrame, directory: DataFrame, keys: Sequence[str], entity: str, city: str | None = None, directory_city: str = "city") -> DataFrame:
     """queries with entity and method: one hit on the keys, else one hit that is also in the query's city, else ambiguous."""
-    d = directory.select(*keys, F.col(entity).alias("_e"), *([F.lower(F.trim(F.col(city))).alias("_c")] if city else [])).distinct()
+    d = directory.select(*keys, F.col(entity).alias("_e"), *([F.lower(F.trim(F.col(directory_city))).alias("_c")] if city else [])).distinct()
     hits = queries.join(d, list(keys), "left")
     here = F.when(F.lower(F.trim(F.col(city))) == F.col("_c"), F.col("_e")) if city else F.lit(None).cast(d.schema["_e"].dataType)
     got = hits.groupBy(*queries.columns).agg(F.count_distinct("_e").alias("_n"), F.min("_e").alias("_one"), F.count_distinct(here).alias("_m"), F.min(here).alias("_near"))
@@ -76,11 +76,11 @@ def fuzzy_candidates(queries: DataFrame, directory: DataFrame, query_key: str, e
     queries: name, city; directory: name, aliases (array), city. Both spellings of a system name are tried against
     every alias; the pair of spelling and alias with the best recall, then fewest missing words, counts.
     """
-    q = queries.select(query_key, block, F.lower(F.trim("city")).alias("q_city"), F.explode(F.array_distinct(F.array(*[F.struct(N.listing_form(F.col("name"), x).alias("form"), F.split(N.listing_core(F.col("name"), x), " ").alias("words")) for x in (True, False)]))).alias("q"))
+    q = queries.select(query_key, block, F.lower(F.trim("city")).alias("q_city"), F.explode(F.array_distinct(F.array(*[F.struct(N.listing_form(F.col("name"), x).alias("form"), F.split(N.listing_core(F.col("name"), x), " ").alias("words")) for x in (True, False)]))).alias("_q"))
     names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
     d = directory.select(entity, F.col(block).alias("_b"), F.lower(F.trim("city")).alias("d_city"), F.explode(names).alias("n")).select(entity, "_b", "d_city", N.listing_form(F.col("n")).alias("d_form"), F.split(N.listing_core(F.col("n")), " ").alias("d_words"))
-    pairs = q.join(d, F.col(block) == F.col("_b")).withColumn("ratio", N.gestalt_ratio(F.col("q.form"), F.col("d_form")))
-    rec, miss = N.recall(F.col("q.words"), F.col("d_words")), F.size(N.missing(F.col("q.words"), F.col("d_words")))
+    pairs = q.join(d, F.col(block) == F.col("_b")).withColumn("ratio", N.gestalt_ratio(F.col("_q.form"), F.col("d_form")))
+    rec, miss = N.recall(F.col("_q.words"), F.col("d_words")), F.size(N.missing(F.col("_q.words"), F.col("d_words")))
     best = pairs.groupBy(query_key, entity).agg(F.max("ratio").alias("ratio"), F.max(F.struct(rec.alias("recall"), (-miss).alias("less"))).alias("b"), F.max(F.coalesce(F.col("q_city") == F.col("d_city"), F.lit(False))).alias("same_city"))
     out = best.select(query_key, entity, "ratio", F.col("b.recall").alias("recall"), "same_city", (-F.col("b.less")).alias("n_missing"))
     return out.withColumn("score", blended_score(F.col("ratio"), F.col("recall"), F.col("same_city"), F.col("n_missing")))
@@ -97,13 +97,14 @@ def listing_tiers(pairs: DataFrame, query_key: str, entity: str) -> DataFrame:
     top = ranked_candidates(pairs, query_key, entity, 2)
     one = top.groupBy(query_key).agg(F.min_by(F.struct(entity, "score", "ratio", "recall", "same_city", "n_missing"), "place").alias("t"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("s2"))
     t, gap = F.col("t"), F.col("t.score") - F.coalesce("s2", F.lit(0.0))
+    is_ = lambda confidence, method: F.struct(F.lit(confidence).cast("string").alias("confidence"), F.lit(method).alias("method"))
     tier = (
-        F.when((t["score"] >= LISTING_HIGH) & (gap >= LISTING_GAP), F.struct(F.lit("high").alias("confidence"), F.lit("fuzzy_state").alias("method")))
-        .when((t["score"] >= LISTING_HIGH) & t["same_city"] & (t["ratio"] >= LISTING_MEDIUM), F.struct(F.lit("high"), F.lit("fuzzy_state_city")))
-        .when((t["score"] >= LISTING_MEDIUM) & ((gap >= LISTING_GAP) | t["same_city"]), F.struct(F.lit("medium"), F.lit("fuzzy_state")))
-        .when((t["score"] >= 0.55) & (t["n_missing"] == 0), F.struct(F.lit("low"), F.lit("fuzzy_state_weak")))
-        .when(t["same_city"] & (t["recall"] >= 0.5) & (t["ratio"] >= 0.55), F.struct(F.lit("low"), F.lit("fuzzy_state_weak")))
-        .otherwise(F.struct(F.lit(None).cast("string"), F.lit("low_fuzzy")))
+        F.when((t["score"] >= LISTING_HIGH) & (gap >= LISTING_GAP), is_("high", "fuzzy_state"))
+        .when((t["score"] >= LISTING_HIGH) & t["same_city"] & (t["ratio"] >= LISTING_MEDIUM), is_("high", "fuzzy_state_city"))
+        .when((t["score"] >= LISTING_MEDIUM) & ((gap >= LISTING_GAP) | t["same_city"]), is_("medium", "fuzzy_state"))
+        .when((t["score"] >= 0.55) & (t["n_missing"] == 0), is_("low", "fuzzy_state_weak"))
+        .when(t["same_city"] & (t["recall"] >= 0.5) & (t["ratio"] >= 0.55), is_("low", "fuzzy_state_weak"))
+        .otherwise(is_(None, "low_fuzzy"))
     )
     return one.withColumn("tier", tier).select(query_key, F.when(F.col("tier.confidence").isNotNull(), t[entity]).alias(entity), "tier.confidence", "tier.method")
 
@@ -155,12 +156,11 @@ def nearest_rank(queries: DataFrame, truth: DataFrame, keys: Sequence[str], rank
 
 def truth_decision(entity: Column, truth: Column, location_exact: Column) -> Column:
     """struct(entity, method): truth confirms, loses to an exact location, or overrides."""
+    is_ = lambda who, method: F.struct(who.alias("entity"), F.lit(method).cast("string").alias("method"))
     return (
-        F.when(truth.isNull(), F.struct(entity.alias("entity"), F.lit(None).cast("string").alias("method")))
-        .when(entity == truth, F.struct(entity, F.lit("truth_confirmed")))
-        .when(location_exact & entity.isNotNull(), F.struct(entity, F.lit("exact_location_over_truth")))
-        .when(entity.isNotNull(), F.struct(truth, F.lit("truth_override_disagree")))
-        .otherwise(F.struct(truth, F.lit("truth_only")))
+        F.when(truth.isNull(), is_(entity, None)).when(entity == truth, is_(entity, "truth_confirmed"))
+        .when(location_exact & entity.isNotNull(), is_(entity, "exact_location_over_truth"))
+        .when(entity.isNotNull(), is_(truth, "truth_override_disagree")).otherwise(is_(truth, "truth_only"))
     )
 
 
