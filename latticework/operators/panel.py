@@ -164,3 +164,30 @@ def field_summary(df: DataFrame, entity: str, year: str, field: str, value: str)
 def joined_names(c: Column) -> Column:
     """Distinct values in order, as one text with bars."""
     return F.array_join(F.array_sort(F.collect_set(c)), " | ")
+
+
+def drop_listed(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """df without the listed columns, and the listed names it does not have."""
+    return df.drop(*[c for c in columns if c in df.columns]), [c for c in columns if c not in df.columns]
+
+
+def first_column(df: DataFrame, names: Sequence[str], side: DataFrame | None = None, key: str | None = None, out: str = "value", required: bool = True) -> DataFrame:
+    """df with `out` from the first of several column names it has, else from a side table by key, else null or an error."""
+    for n in names:
+        if n in df.columns:
+            return df.withColumn(out, F.col(n))
+    if side is not None and key:
+        return df.join(side.select(key, F.col(side.columns[-1]).alias(out)), key, "left")
+    if required:
+        raise ValueError(f"none of the columns {', '.join(names)}")
+    return df.withColumn(out, F.lit(None).cast("string"))
+
+
+def newest_year(df: DataFrame, year: str = "year") -> int | None:
+    """The newest year with a row."""
+    return df.agg(F.max(year)).first()[0]
+
+
+def grants(df: DataFrame, amount: str, percent: str) -> DataFrame:
+    """Two facts of an aid file: rows without both go, a fraction of at least zero becomes a percentage of one decimal."""
+    return df.where(F.col(amount).isNotNull() | F.col(percent).isNotNull()).withColumn(percent, F.when(F.col(percent) >= 0, F.round(F.col(percent) * 100, 1)))

@@ -139,3 +139,32 @@ def envelope(df: DataFrame, generated_at: str) -> DataFrame:
     """One JSON text {data, meta} of a bounded result."""
     one = df.agg(F.collect_list(F.struct(*df.columns)).alias("data"), F.count("*").alias("n"))
     return one.select(F.to_json(F.struct("data", F.struct(F.col("n").alias("count"), F.lit(generated_at).alias("generatedAt")).alias("meta"))).alias("body"))
+
+
+def with_entity(plotted: DataFrame, every: DataFrame, key: str, value) -> DataFrame:
+    """Plotted rows and the row of one more entity, once."""
+    return plotted.unionByName(every.where(F.col(key) == value).join(plotted.select(key), key, "left_anti").select(*plotted.columns))
+
+
+def without_entity(plotted: DataFrame, key: str, value) -> DataFrame:
+    return plotted.where(~F.col(key).eqNullSafe(F.lit(value)))
+
+
+def no_data_first(df: DataFrame, metric_column: str, name: str) -> DataFrame:
+    """df with has_data, rows with data first, then by name."""
+    return df.withColumn("has_data", F.col(metric_column).isNotNull()).orderBy(F.desc("has_data"), F.asc(name))
+
+
+def deep_link(base: str, key: Column) -> Column:
+    """Address of an entity's page."""
+    return F.concat(F.lit(base), key.cast("string"))
+
+
+def title(base: str, state: dict[str, Any]) -> str:
+    """Title of a view from its active filters."""
+    parts = []
+    for name, v in state.items():
+        if v is None or v == "" or v == [] or v is False:
+            continue
+        parts.append(name if v is True else f"{name}: {' to '.join(map(str, v)) if isinstance(v, tuple) else ', '.join(map(str, v)) if isinstance(v, list) else v}")
+    return f"{base} ({'; '.join(parts)})" if parts else base

@@ -319,3 +319,51 @@ def distinct_in_order(spark, d):
 @R.query("""SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) weighted, round(avg(l_extendedprice), 4) plain FROM lineitem GROUP BY 1""")
 def weighted_mean(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(S.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 4).alias("weighted"), F.round(F.avg("l_extendedprice"), 4).alias("plain"))
+
+
+@R.query("""SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 4500) THEN NULL ELSE round(o_totalprice, 2) END price FROM orders""")
+def suppress_suspects(spark, d):
+    """Columns of suspect keys are blanked."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("price"))
+    return U.suppress(o, table(spark, d, "orders").where("o_totalprice > 4500"), "o_custkey", ["price"]).select("o_orderkey", "price")
+
+
+@R.query("""SELECT change, count(*) n FROM (""" + _UPSERT.format(how="FULL", a="coalesce(na, oa)", b="coalesce(nb, ob)") + """) GROUP BY 1""")
+def upsert_audit(spark, d):
+    """Counters of an upsert."""
+    return U.change_counts(U.upsert(*_base_delta(spark, d), ["user_id", "day"], ["a", "b"], "fill"))
+
+
+@R.query("""SELECT user_id, event_id FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, event_id FROM events e WHERE event_type = 'click' AND value > 99 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'view')""")
+def append_missing(spark, d):
+    e = table(spark, d, "events")
+    return U.append_missing(e.where("event_type = 'view'"), e.where("event_type = 'click' AND value > 99"), ["user_id"]).select("user_id", "event_id")
+
+
+@R.query(f"""WITH q AS ({_DOMAIN}) SELECT p_brand, (i::DOUBLE / 23) AS position, round(lo + (hi - lo) * i::DOUBLE / 23, 6) AS value FROM q, range(24) t(i)""")
+def legend_samples(spark, d):
+    return S.legend(S.colour_domain(table(spark, d, "part"), "p_retailprice", ["p_brand"])).select("p_brand", "position", F.round("value", 6).alias("value"))
+
+
+@R.query("""SELECT p_partkey, round(sqrt((p_size - 25)^2 + (p_retailprice - 905)^2), 6) distance FROM part WHERE sqrt((p_size - 25)^2 + (p_retailprice - 905)^2) <= 500 ORDER BY distance LIMIT 1""")
+def nearest_point(spark, d):
+    p = S.nearest_point(table(spark, d, "part"), F.col("p_size"), F.col("p_retailprice"), (25, 905), 500)
+    return p.select("p_partkey", F.round("distance", 6).alias("distance"))
+
+
+@R.query("""SELECT l_returnflag, count(*) n, round(corr(l_quantity, l_extendedprice), 6) r FROM lineitem GROUP BY 1""")
+def pearson_by_group(spark, d):
+    return S.pearson(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", by=["l_returnflag"]).withColumn("r", F.round("r", 6))
+
+
+@R.query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice - (SELECT regr_intercept(l_extendedprice, l_quantity) + regr_slope(l_extendedprice, l_quantity) * i.l_quantity FROM lineitem), 2) AS value_added FROM lineitem i""")
+def residual_scores(spark, d):
+    """Actual minus fitted values (an extension)."""
+    out = S.residuals(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])
+    return out.select("l_orderkey", "l_linenumber", F.round("value_added", 2).alias("value_added"))
+
+
+@R.query("""SELECT count(*) n, count(*) FILTER (a = t) agree, count(*) FILTER (a IS NOT NULL AND a <> t) disagree, count(*) FILTER (a IS NULL) unresolved, round(avg((a IS NOT DISTINCT FROM t)::INT), 6) rate FROM (SELECT CASE WHEN p_size > 5 THEN p_size % 7 END a, CASE WHEN p_size > 2 THEN p_size % 14 END t FROM part) WHERE t IS NOT NULL""")
+def match_agreement(spark, d):
+    p = table(spark, d, "part").selectExpr("CASE WHEN p_size > 5 THEN p_size % 7 END a", "CASE WHEN p_size > 2 THEN p_size % 14 END t")
+    return V.agreement(p, "a", "t").withColumn("rate", F.round("rate", 6))

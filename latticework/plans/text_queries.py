@@ -144,3 +144,55 @@ def year_from_url(spark, d):
 def percent_and_money(spark, d):
     p = table(spark, d, "part").where("p_partkey % 2 = 0").withColumn("v", F.expr("(p_partkey % 300) / 2.0D"))
     return p.select("p_partkey", C.percentage(F.concat(F.col("v").cast("string"), F.lit("%"))).alias("pct"), C.money(F.concat(F.lit("$"), (F.col("v") * 10).cast("string"))).alias("whole"))
+
+
+@R.query("""WITH t AS (SELECT p_partkey, 2000 + p_size % 25 y, p_size FROM part) SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN (y + 1) || '-' || (y + 2) ELSE y || '-' || (y + 1) END section, 2::BIGINT n FROM t""")
+def section_years(spark, d):
+    """Year of the section that a position lies in; before the first header the first one's year."""
+    text = F.expr("concat('x Common Data Set ', 2000 + p_size % 25, '-', lpad(string((p_size % 25 + 1) % 100), 2, '0'), ' body common data set ', 2001 + p_size % 25, '/', 2002 + p_size % 25, ' tail')")
+    p = table(spark, d, "part").select("p_partkey", "p_size", text.alias("t")).withColumn("h", X.year_headers("t"))
+    at = F.when(F.col("p_size") % 3 == 0, F.length("t")).when(F.col("p_size") % 3 == 1, F.lit(0)).otherwise(F.lit(10))
+    return p.select("p_partkey", X.header_at(F.col("h"), at).alias("section"), F.size("h").cast("bigint").alias("n"))
+
+
+@R.query("""SELECT p_partkey, 1000 + p_size AS avg_new, 3000 + p_size AS second_band, 2::BIGINT n FROM part""")
+def price_tables(spark, d):
+    """Average and income bands from a net-price table's text."""
+    rows = "".join(f"<tr><td>{label}</td><td>${1000 * (i + 1)},</td><td>$', {1000 * (i + 2)} + p_size, '</td></tr>" for i, label in enumerate(X.BAND_LABELS))
+    html = F.expr(f"concat('<h3>Average Net Price for Full-Time Beginning</h3><td>Average net price</td><td>$900</td><td>$', 1000 + p_size, '</td><b>Average net price by Income</b>{rows}')")
+    p = table(spark, d, "part").select("p_partkey", X.price_table(html).alias("c"))
+    return p.select("p_partkey", F.col("c")[1]["avg"].cast("int").alias("avg_new"), F.col("c")[1]["bands"][1].cast("int").alias("second_band"), F.size("c").cast("bigint").alias("n"))
+
+
+@R.query("""SELECT CASE WHEN starts_with(url, 'https') THEN 'pdf' WHEN starts_with(url, 'http://m.') THEN 'xlsx' WHEN page_id % 2 = 0 THEN 'html' ELSE 'other' END kind, count(*) n FROM pages GROUP BY 1""")
+def file_kinds(spark, d):
+    """Kinds of landed files by leading bytes and declared type."""
+    body = F.expr("CASE WHEN url LIKE 'https%' THEN '%PDF-1.4' WHEN url LIKE 'http://m.%' THEN 'PK..' WHEN page_id % 2 = 0 THEN html ELSE 'plain' END")
+    return table(spark, d, "pages").groupBy(X.file_kind(body, F.lit("text/plain")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@R.query("""WITH w AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) w FROM part), s AS (
+SELECT a.p_partkey q, b.p_partkey e, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) score FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, e DESC) n, lead(score) OVER (PARTITION BY q ORDER BY score DESC, e DESC) s2 FROM s)
+SELECT q, e, round(score, 6) score FROM r WHERE n = 1 AND score >= 0.6 AND (s2 IS NULL OR score - s2 >= 0.12)""")
+def token_jaccard_match(spark, d):
+    """Best match by Jaccard similarity within a block, if clearly ahead of the second."""
+    w = table(spark, d, "part").select("p_partkey", "p_brand", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("w"))
+    pairs = w.select(F.col("p_partkey").alias("q"), "p_brand", F.col("w").alias("qw")).join(w.select(F.col("p_partkey").alias("e"), "p_brand", F.col("w").alias("ew")), "p_brand").where("q <> e")
+    return M.jaccard_match(pairs, "q", "e", "qw", "ew").withColumn("score", F.round("score", 6))
+
+
+@R.query("""SELECT c_name AS city, p_type AS state, min(p_partkey) p_partkey FROM (SELECT lower(p_name) c_name, p_type, p_partkey FROM part) GROUP BY ALL HAVING count(*) = 1""")
+def location_unique(spark, d):
+    """Places that name exactly one entity."""
+    p = table(spark, d, "part").select(F.lower("p_name").alias("city"), F.col("p_type").alias("state"), "p_partkey")
+    return M.unique_by_key(p, ["city", "state"], "p_partkey").select("city", "state", "p_partkey")
+
+
+@R.query("""SELECT form, arg_min(id, (priority, ord)) id FROM (SELECT lower(p_name) form, p_partkey id, 0 priority, p_partkey ord FROM part WHERE p_size < 20 UNION ALL SELECT lower(p_name), p_partkey, 1, p_partkey FROM part) GROUP BY 1""")
+def first_name_index(spark, d):
+    """First writer of a name wins: the primary source before the secondary one."""
+    p = table(spark, d, "part")
+    both = p.where("p_size < 20").withColumn("priority", F.lit(0)).unionByName(p.withColumn("priority", F.lit(1)))
+    rows = both.select(F.lower("p_name").alias("form"), F.col("p_partkey").alias("id"), "priority")
+    return M.first_name_index(rows, "form", "id", "priority", "id")
