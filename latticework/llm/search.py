@@ -15,9 +15,9 @@ from .common import materialize, release
 
 K1, B = 1.2, 0.75
 #: Documents to a shard, to a block of it; queries to a batch, to a block that is sent to the executors.
-SHARD, BLOCK, BATCH, QUERIES = 4096, 64, 256, 8192
+SHARD, BLOCK, BATCH, QUERIES = 2048, 64, 256, 8192
 #: Terms in at least this share of a shard's documents are scored as dense columns.
-DENSE = 1 / 64
+DENSE = 1 / 16
 
 _FOLD = bytes(32 if i < 128 and not chr(i).isalnum() else ord(chr(i).lower()) if i < 128 else i for i in range(256))
 
@@ -103,6 +103,7 @@ class Shard:
             v /= np.linalg.norm(v) + 1e-12
         self.axis = v
         order = np.argsort(along @ v, kind="stable")
+        del along
         back = np.empty(len(docs), int)
         back[order] = np.arange(len(docs))
         self.docs, self.matrix, self.column = docs[order], matrix[order], column
