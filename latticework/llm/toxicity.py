@@ -144,24 +144,27 @@ class Voter:
         one = [i for y in (0, 1) for i in distinct_examples_of(texts, labels, y)]
         ids, texts, labels = ([x[i] for i in one] for x in (ids, texts, labels))
         self.k, self.ids, self.labels = k, ids, np.array(labels, int)
-        sets = [Counter(t for w in (x or "").lower().split() for t in _terms(w)) for x in texts]
+        own = lambda x: {t for w in set((x or "").lower().split()) for t in _terms(w)}
         n = [max(1, int((self.labels == y).sum())) for y in (0, 1)]
         total = max(1, counts.get(0, 0) + counts.get(1, 0))
         # each example stands for as many labelled rows as its class has for each sampled one
         self.class_weight = np.array([counts.get(0, 0) / n[0], counts.get(1, 0) / n[1]])
-        df = [Counter(), Counter()]
-        for s, y in zip(sets, labels, strict=True):
-            df[y].update(s.keys())
+        # only terms of enough toxic examples are counted in the others, so that little is held at a time
+        least = min(12, max(2, n[1] // 8))
+        toxic = Counter(t for x, y in zip(texts, labels, strict=True) if y == 1 for t in own(x))
+        toxic = {t: d for t, d in toxic.items() if d >= least}
+        clean = Counter(t for x, y in zip(texts, labels, strict=True) if y == 0 for t in own(x) if t in toxic)
         chosen = []
-        for t, d1 in df[1].items():
-            p1, p0 = d1 / n[1], df[0][t] / n[0]
+        for t, d1 in toxic.items():
+            p1, p0 = d1 / n[1], clean[t] / n[0]
             z = (p1 - p0) / math.sqrt(p1 * (1 - p1) / n[1] + p0 * (1 - p0) / n[0] + 1 / (n[0] + n[1]) ** 2)
-            if d1 >= min(12, max(2, n[1] // 8)) and p1 >= 10 * p0 and z > 4:
-                chosen.append((t, d1 + df[0][t]))
+            if p1 >= 10 * p0 and z > 4:
+                chosen.append((t, d1 + clean[t]))
         chosen.sort()
         self.vocabulary = {t: i for i, (t, _) in enumerate(chosen)}
         self.idf = np.array([math.log((1 + len(texts)) / (1 + d)) + 1 for _, d in chosen])
-        vectors = [self.unit(Counter({self.vocabulary[t]: c for t, c in s.items() if t in self.vocabulary})) for s in sets]
+        known = _Ids(self.vocabulary)
+        vectors = [self.unit(Counter(i for w in (x or "").lower().split() for i in known[w])) for x in texts]
         self.index = Index(vectors, len(chosen))
         weight = self.class_weight[self.labels] if len(labels) else np.empty(0)
         empty = np.array([not v for v in vectors], bool)
