@@ -109,19 +109,69 @@ def _filters(height: float, words: int):
     return run
 
 
-def _compare(least: float):
-    """Pairs of a sorted run (dims, cap, lo, hi) at cosine >= least; a run crossing batches is carried over."""
+def _met_before(cap: int, left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Which pairs of a left and a right vector share a cap below this one (each has the sorted list of its caps)."""
+    met = np.zeros((len(left), len(right)), bool)
+    sides = [[c[: np.searchsorted(c, cap)] for c in side] for side in (left, right)]
+    flat = [np.concatenate(side) for side in sides]
+    rows = [np.repeat(np.arange(len(side)), [len(c) for c in side]) for side in sides]
+    both = np.intersect1d(*flat)
+    for at in range(0, len(both), width):
+        some, marks = both[at : at + width], []
+        for f, r, n in zip(flat, rows, (len(left), len(right)), strict=True):
+            place = np.minimum(np.searchsorted(some, f), len(some) - 1)
+            ok = some[place] == f
+            m = np.zeros((n, len(some)), np.float32)
+            m[r[ok], place[ok]] = 1
+            marks.append(m)
+        met |= marks[0] @ marks[1].T > 0
+    return met
+
+
+def _compare(cosine: float, slack: float):
+    """What the runs (dims, cap, lo, hi) of sorted rows tell, each pair of vectors counted at its first common cap.
+
+    kind 0: vector a has n more links; kind 1: a and b are connected, a tree for each group of linked vectors;
+    kind 2: the pair (a, b) is too near the threshold to be decided by representatives. A run crossing batches is
+    carried over. Rows out are as many as vectors in, but for kind 2: linked pairs themselves are not emitted.
+    """
 
-    def pairs(rep: np.ndarray, side: np.ndarray, x: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
-        if lo == hi:
-            left = right = np.arange(len(rep))
-        else:
-            left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+    def tell(cap: int, rep: np.ndarray, size: np.ndarray, caps: list[np.ndarray], side: np.ndarray, x: np.ndarray, lo: int, hi: int) -> list[tuple[np.ndarray, ...]]:
+        left, right = (np.arange(len(rep)),) * 2 if lo == hi else (np.flatnonzero(side == lo), np.flatnonzero(side == hi))
         g = x[left] @ x[right].T
-        i, j = np.nonzero(g >= least)
-        a, b, c = rep[left[i]], rep[right[j]], g[i, j]
-        ok = a > b if lo == hi else a != b
-        return np.maximum(a, b)[ok], np.minimum(a, b)[ok], c[ok]
+        near = g >= cosine - slack
+        if lo == hi:
+            np.fill_diagonal(near, False)
+        # only vectors with a neighbour here go on
+        keep_l, keep_r = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        if not len(keep_l):
+            return []
+        left, right, g, near = left[keep_l], right[keep_r], g[np.ix_(keep_l, keep_r)], near[np.ix_(keep_l, keep_r)]
+        near &= ~_met_before(cap, [caps[i] for i in left], [caps[i] for i in right])
+        sure, maybe = near & (g >= cosine + slack), near & (g < cosine + slack)
+        out = []
+        sides = ((left, sure @ size[right]),) if lo == hi else ((left, sure @ size[right]), (right, sure.T @ size[left]))
+        for who, n in sides:
+            has = n > 0
+            out.append((np.zeros(has.sum(), np.int64), rep[who[has]], np.zeros(has.sum(), np.int64), n[has]))
+        # smallest representative within each group of linked vectors, by passing labels along links
+        label_l, label_r, top = rep[left].copy(), rep[right].copy(), np.iinfo(np.int64).max
+        while sure.any():
+            new_l = np.minimum(label_l, np.where(sure, label_r, top).min(1))
+            new_r = np.minimum(label_r, np.where(sure, new_l[:, None], top).min(0))
+            if lo == hi:
+                new_l = new_r = np.minimum(new_l, new_r)
+            if (new_l == label_l).all() and (new_r == label_r).all():
+                break
+            label_l, label_r = new_l, new_r
+        for who, label in (((left, label_l),) if lo == hi else ((left, label_l), (right, label_r))):
+            moved = label != rep[who]
+            out.append((np.ones(moved.sum(), np.int64), rep[who[moved]], label[moved], np.zeros(moved.sum(), np.int64)))
+        i, j = np.nonzero(maybe)
+        a, b = rep[left[i]], rep[right[j]]
+        once = a > b if lo == hi else a != b
+        out.append((np.full(once.sum(), 2), np.maximum(a, b)[once], np.minimum(a, b)[once], np.zeros(once.sum(), np.int64)))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -129,16 +179,19 @@ def _compare(least: float):
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("dims", "cap", "lo", "hi")], 1)
             cut = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]))
-            units, rep, side = t["unit"].combine_chunks(), t["rep"].to_numpy(), t["side"].to_numpy()
-            flat, off = units.flatten().to_numpy(), np.concatenate(([0], np.cumsum(units.value_lengths().to_numpy())))
+            rep, side, size = (t[c].to_numpy() for c in ("rep", "side", "size"))
+            flat, off = {}, {}
+            for c in ("unit", "caps"):
+                lists = t[c].combine_chunks()
+                flat[c], off[c] = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             out = []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s > 1:
-                    out.append(pairs(rep[s:e], side[s:e], flat[off[s] : off[e]].reshape(e - s, -1), key[s, 2], key[s, 3]))
+                    x = flat["unit"][off["unit"][s] : off["unit"][e]].reshape(e - s, -1)
+                    caps = [flat["caps"][off["caps"][i] : off["caps"][i + 1]] for i in range(s, e)]
+                    out += tell(key[s, 1], rep[s:e], size[s:e], caps, side[s:e], x, key[s, 2], key[s, 3])
             if out:
-                a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-                _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(c[first])], ["a", "b", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["kind", "a", "b", "n"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -165,12 +218,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     1. Vectors whose directions round to the same cell (1/4096 per coordinate) form a class: they are all
        linked, and one of them stands for the class. So copies never meet in pairs.
     2. Every representative is list-decoded to the caps it exceeds. Representatives are joined on caps; a cap
-       with many is compared in blocks of about 1024, never all in one task.
+       with many is compared in blocks of about 1024, never all in one task. Each pair counts at its first common
+       cap; numbers of links and trees of linked vectors leave the tasks, not the pairs.
     3. Pairs of representatives clearly at or over `cosine` link their classes; those within the rounding of it
        are compared member by member. Links found are exact; the share of links found is that of plan_filters.
 
     Null, empty, zero vectors, vectors with null or non-finite components and rows without id link with
-    nothing. Vectors of different length never link. Repeated rows of one id count as vectors of their own.
+    nothing. Vectors of different length never link. Repeated rows count as vectors of their own; one id must not
+    stand for different vectors.
     """
     vecs = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_cells, "id long, cell binary, unit array<double>"))
     valid = vecs.where("cell IS NOT NULL AND id IS NOT NULL")
@@ -183,21 +238,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sizes = caps.groupBy("dims", "cap").agg(F.count("*").alias("n")).where("n > 1").select("dims", "cap", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = caps.join(sizes, ["dims", "cap"]).withColumn("side", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = placed.select("dims", "cap", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep").join(reps, "rep")
-    near = tasks.repartition("dims", "cap", "lo", "hi").sortWithinPartitions("dims", "cap", "lo", "hi").mapInArrow(_compare(cosine - slack), "a long, b long, cosine double")
-    near = materialize(near.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+    lists = caps.groupBy("rep").agg(F.array_sort(F.collect_list("cap")).alias("caps"))
+    known = classes.select("rep", "size", "unit").join(lists, "rep")
+    tasks = placed.select("dims", "cap", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep").join(known, "rep")
+    order = ["dims", "cap", "lo", "hi"]
+    told = materialize(tasks.repartition(*order).sortWithinPartitions(*order).select(*order, "side", "rep", "size", "unit", "caps").mapInArrow(_compare(cosine, slack), "kind long, a long, b long, n long"))
     release(caps)
-    sure = near.where(F.col("cosine") >= cosine + slack).select("a", "b")
-    maybe = near.where(F.col("cosine") < cosine + slack).select("a", "b")
+    by_class = told.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    tree = told.where("kind = 1").select("a", "b").distinct()
+    maybe = told.where("kind = 2").select("a", "b").distinct()
     key = classes.select("cell", "dims", "rep")
     member = valid.withColumn("dims", F.size("unit")).join(key, ["cell", "dims"]).select("rep", "id", "unit")
     left, right = (member.select(F.col("rep").alias(c), F.col("id").alias(f"{c}_id"), F.col("unit").alias(f"{c}_unit")) for c in ("a", "b"))
     dot = F.aggregate(F.zip_with("a_unit", "b_unit", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     exact = materialize(maybe.join(left, "a").join(right, "b").where(dot >= cosine).select("a", "b", "a_id", "b_id"))
-    both = sure.unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    by_class = both.join(classes.select(F.col("rep").alias("b"), "size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("others"))
     by_member = exact.select(F.col("a_id").alias("id")).unionByName(exact.select(F.col("b_id").alias("id"))).groupBy("id").agg(F.count("*").alias("more"))
-    comp = connected_components(sure.unionByName(exact.select("a", "b").distinct())).withColumnRenamed("node", "rep")
+    comp = connected_components(tree.unionByName(exact.select("a", "b").distinct())).withColumnRenamed("node", "rep")
     labelled = classes.join(by_class, "rep", "left").join(comp, "rep", "left").select("cell", F.col("dims").alias("_d"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("base"), F.coalesce("component", "rep").alias("component"))
     rows = vecs.withColumn("_cell", F.when(F.col("id").isNotNull(), F.col("cell")))
     out = rows.join(labelled.withColumnRenamed("cell", "_c"), (F.col("_cell") == F.col("_c")) & (F.size("unit") == F.col("_d")), "left").join(by_member, "id", "left")
