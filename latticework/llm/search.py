@@ -15,7 +15,9 @@ from .common import materialize, release
 
 K1, B = 1.2, 0.75
 #: Documents to a shard, to a block of it; queries to a batch, to a block that is sent to the executors.
-SHARD, BLOCK, BATCH, QUERIES = 2048, 64, 256, 8192
+SHARD, BLOCK, BATCH, QUERIES = 2048, 64, 256, 16384
+#: Share of the documents (one in so many) that is searched first, for a lower bound on every query's k-th best score.
+SAMPLE = 16
 #: Terms in at least this share of a shard's documents are scored as dense columns.
 DENSE = 1 / 16
 
@@ -69,12 +71,21 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 class Queries:
     """A block of queries in one array layout: for query i, terms[first[i]:first[i + 1]] (places in vocabulary) and weights."""
 
-    def __init__(self, ids: list[int], term_lists: list[np.ndarray], weight_lists: list[np.ndarray]):
-        self.ids = np.array(ids, np.int64)
-        self.first = np.concatenate(([0], np.cumsum([len(t) for t in term_lists]))).astype(np.int64)
-        flat = np.concatenate(term_lists) if term_lists else np.empty(0, np.int64)
-        self.vocabulary, self.terms = np.unique(flat, return_inverse=True)
-        self.weights = np.concatenate(weight_lists) if weight_lists else np.empty(0)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.ids, self.weights = ids, weights
+        self.first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.vocabulary, self.terms = np.unique(terms, return_inverse=True)
+        #: A score that k documents are known to reach, for each query.
+        self.least = np.zeros(len(ids))
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Queries:
+        """From columns query, term, w (lists of equal length)."""
+        t = t.combine_chunks()
+        if not t.num_rows:
+            return cls(*(np.empty(0, kind) for kind in (np.int64, np.int64, np.int64, float)))
+        lists, weights = (t[c].combine_chunks() for c in ("term", "w"))
+        return cls(t["query"].to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), weights.flatten().to_numpy())
 
 
 class Shard:
@@ -123,7 +134,7 @@ class Shard:
         t, w, row = q.terms[at], q.weights[at], np.repeat(np.arange(len(batch)), n)
         m = self.start[t + 1] - self.start[t]
         p = np.repeat(self.start[t] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        return np.bincount(np.repeat(row, m) * len(self.docs) + self.owner[p], np.repeat(w, m) * self.impact[p], len(batch) * len(self.docs)).reshape(len(batch), -1)
+        return np.bincount(np.repeat(row, m) * len(self.docs) + self.owner[p], np.repeat(w, m) * self.impact[p], len(batch) * len(self.docs)).astype(float, copy=False).reshape(len(batch), -1)
 
     def common_weights(self, q: Queries, batch: np.ndarray) -> np.ndarray:
         n = q.first[batch + 1] - q.first[batch]
@@ -141,9 +152,17 @@ class Best:
         self.score, self.doc = np.zeros((n, k)), np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, docs: np.ndarray) -> None:
-        s, d = np.concatenate([self.score[rows], scores], 1), np.concatenate([self.doc[rows], docs], 1)
-        pick = np.lexsort((d, -s), axis=1)[:, : self.score.shape[1]]
-        self.score[rows], self.doc[rows] = np.take_along_axis(s, pick, 1), np.take_along_axis(d, pick, 1)
+        """Merge candidates, each with the number of its query."""
+        k = self.score.shape[1]
+        who = np.unique(rows)
+        r = np.concatenate([np.repeat(who, k), rows])
+        s, d = np.concatenate([self.score[who].ravel(), scores]), np.concatenate([self.doc[who].ravel(), docs])
+        order = np.lexsort((d, -s, r))
+        r, s, d = r[order], s[order], d[order]
+        new = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1))
+        place = np.arange(len(r)) - np.repeat(new, np.diff(np.append(new, len(r))))
+        top = place < k
+        self.score[r[top], place[top]], self.doc[r[top], place[top]] = s[top], d[top]
 
 
 def search_shard(shard: Shard, q: Queries, best: Best) -> int:
@@ -164,26 +183,30 @@ def search_shard(shard: Shard, q: Queries, best: Best) -> int:
     for i in range(0, len(order), BATCH):
         own = order[i : i + BATCH]
         rare, weights = shard.rare(q, own), shard.common_weights(q, own)
+        # scores below this cannot enter; rounding apart, equal ones can
+        floor = np.maximum(best.score[own, -1], q.least[own])[:, None] - 1e-8
         bound = weights @ shard.top.T + np.maximum.reduceat(rare, shard.edges, axis=1)
-        open_ = np.flatnonzero((bound >= best.score[own, -1:] - 1e-8).any(0))
+        open_ = np.flatnonzero((bound >= floor).any(0))
         if not len(open_):
             continue
         opened += len(open_)
-        at = (shard.edges[open_][:, None] + np.arange(BLOCK)).ravel()
-        at = at[at < len(shard.docs)]
-        score = np.round(rare[:, at] + weights @ shard.matrix[at].T, 9)
-        if len(at) > k:
-            # ties at the edge are kept by document: look at a few more than k
-            part = np.argpartition(-score, k - 1, axis=1)[:, :k]
-            edge = np.take_along_axis(score, part, 1).min(1)
-            many = (score >= edge[:, None]).sum(1) > k
-            for r in np.flatnonzero(many):
-                tied = np.flatnonzero(score[r] >= edge[r])
-                part[r] = tied[np.lexsort((shard.docs[at[tied]], -score[r, tied]))][:k]
+        if len(open_) == len(shard.edges):
+            at, score = np.arange(len(shard.docs)), rare
+            score += weights @ shard.matrix.T
         else:
-            part = np.broadcast_to(np.arange(len(at)), (len(own), len(at)))
-        found = np.take_along_axis(score, part, 1)
-        best.add(own, np.where(found > 0, found, 0.0), np.where(found > 0, shard.docs[at[part]], np.iinfo(np.int64).max))
+            at = (shard.edges[open_][:, None] + np.arange(BLOCK)).ravel()
+            at = at[at < len(shard.docs)]
+            score = rare[:, at]
+            score += weights @ shard.matrix[at].T
+        if len(at) > 4 * k:
+            # k-th best of this shard, where many documents are over the floor
+            crowded = (score >= floor).sum(1) > 4 * k
+            if crowded.any():
+                edge = np.partition(score[crowded], len(at) - k, axis=1)[:, len(at) - k]
+                floor[crowded, 0] = np.maximum(floor[crowded, 0], edge - 1e-8)
+        row, col = np.nonzero((score >= floor) & (score > 0))
+        if len(row):
+            best.add(own[row], np.round(score[row, col], 9), shard.docs[at[col]])
     return opened
 
 
@@ -223,8 +246,9 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
     1. One pass turns texts into term counts, written to shared storage; the number of documents, their average
        length and the document frequency of every query term are counted over all documents.
-    2. Queries go to the executors in blocks of QUERIES. Each task builds inverted indexes of SHARD documents, one
-       after another, and searches them with block-max pruning against its own k-th best scores.
+    2. Queries go to the executors in blocks of QUERIES, with a lower bound on each one's k-th best score from one
+       document in SAMPLE. Each task builds inverted indexes of SHARD documents, one
+       after another, and searches them with block-max pruning against that bound and its own k-th best scores.
     3. The tasks' k best are merged by score; as all scores use the global counts, the merge is exact.
 
     A query is the bag of its text's terms. Texts without terms find and are found by nothing. Scores are rounded to
@@ -244,17 +268,24 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     weighed = words.join(found, "term").withColumn("w", F.col("m") * idf).groupBy("query").agg(F.collect_list(F.struct("term", "w")).alias("t"))
     blocks = max(1, math.ceil(asked.count() / QUERIES))
     ready = materialize(weighed.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))))
-    parts = []
+    parts, sample = [], index.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
     for i in range(blocks):
-        rows = ready.where(F.col("block") == i).select("query", F.col("t.term").alias("term"), F.col("t.w").alias("w")).toArrow()
-        ids = rows["query"].to_pylist()
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
-        term_lists, weights = ([np.asarray(x, kind) for x in rows[c].to_pylist()] for c, kind in (("term", np.int64), ("w", float)))
-        block = Queries([ids[j] for j in order], [term_lists[j] for j in order], [weights[j] for j in order])
+        block = Queries.of(ready.where(F.col("block") == i).select("query", F.col("t.term").alias("term"), F.col("t.w").alias("w")).orderBy("query").toArrow())
+        if n > 50 * SAMPLE * k and len(block.ids):
+            # the k-th best of some documents is a lower bound on the k-th best of all
+            seen = materialize(sample.mapInArrow(_search(block, total / n, k), "query long, doc long, score double"))
+            last = _best(seen, k).where(F.col("place") == k).select("query", "score").toArrow()
+            block.least[np.searchsorted(block.ids, last["query"].to_numpy())] = last["score"].to_numpy()
+            release(seen)
         parts.append(materialize(index.mapInArrow(_search(block, total / n, k), "query long, doc long, score double")))
     release(ready, asked)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("doc")))
-    return every.withColumn("place", place).where(F.col("place") <= k).select(F.col("query").alias("query_id"), "place", F.col("doc").alias("doc_id"), "score")
+    return _best(every, k).select(F.col("query").alias("query_id"), "place", F.col("doc").alias("doc_id"), "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their place."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("doc"))
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

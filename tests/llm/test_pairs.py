@@ -112,7 +112,7 @@ def bm25(docs, qs, k):
 
 
 def test_search(spark, monkeypatch):
-    for name, value in (("SHARD", 64), ("BLOCK", 8), ("BATCH", 4), ("QUERIES", 7)):
+    for name, value in (("SHARD", 64), ("BLOCK", 8), ("BATCH", 4), ("QUERIES", 7), ("SAMPLE", 1)):
         monkeypatch.setattr(search, name, value)
     rng = random.Random(9)
     words = ["the", "of", "a"] * 30 + [f"t{i}" for i in range(150)]
@@ -138,7 +138,7 @@ def test_search_prunes():
     n = 640
     lists = [np.unique(np.concatenate([rng.integers(0, 40, 30) if i < 320 else rng.integers(1000, 1040, 30), [5000 + i]])) for i in range(n)]
     counts, lengths = np.ones(sum(map(len, lists)), int), np.array([len(x) for x in lists], float)
-    q = search.Queries([0, 1], [lists[3], lists[4]], [np.ones(len(lists[3])), np.ones(len(lists[4]))])
+    q = search.Queries(np.array([0, 1]), np.array([len(lists[3]), len(lists[4])]), np.concatenate(lists[3:5]), np.ones(len(lists[3]) + len(lists[4])))
     best = search.Best(2, 5)
     shard = search.Shard(np.arange(n), lengths, lists, counts, lengths.mean(), q.vocabulary)
     first = search.search_shard(shard, q, best)
