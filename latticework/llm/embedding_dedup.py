@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,35 +20,80 @@ from .graph import connected_components
 PARTS, CODES, CELLS, BLOCK = 2, 12, 4096, 1024
 
 
-def _tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+#: Random pairs that a plan is measured on; what single precision may change in a dot product of unit vectors.
+PAIRS, ROUNDING = 2048, 1e-6
 
 
-def plan_filters(n: int, cosine: float, bucket: float = 64.0, miss: float = 1e-5) -> tuple[float, int]:
-    """(cap height in standard deviations, codewords per part) for n vectors.
+def _space(dims: int) -> int:
+    return max(16, -(-dims // PARTS) * PARTS)
 
-    A cap holds about `bucket` of n unrelated vectors; the number of filters is such that a vector passes
-    about 2.5 ln(miss) / ln(1 - c) of them, where c is the chance that a neighbour at `cosine` passes a filter
-    that the vector passes. The number of filters so grows with n and a filter's size does not.
+
+def _cap_height(space: int, p: float) -> float:
+    """Height of the cap that holds a share p of the unit sphere in `space` dimensions."""
+    x = np.linspace(1, -1, 400_001)
+    tail = np.cumsum((1 - x * x).clip(0) ** ((space - 3) / 2))
+    return float(x[np.searchsorted(tail, p * tail[-1])])
+
+
+def _words_needed(rng: np.random.Generator, pairs: int, space: int, cosine: float, least: float, pool: int) -> np.ndarray:
+    """For random pairs at `cosine`: with how many codewords a part one code of `pool` first gives a common filter (else pool + 1).
+
+    A part of a pair spans a plane, so of a random unit codeword only its two coordinates there are drawn.
+    """
+    part = space // PARTS
+    a, z = rng.standard_normal((2, pairs, space))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = cosine * a + math.sqrt(1 - cosine * cosine) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    dots = []
+    for x, y in zip(a.reshape(pairs, PARTS, part).swapaxes(0, 1), b.reshape(pairs, PARTS, part).swapaxes(0, 1), strict=True):
+        along = np.linalg.norm(x, axis=1, keepdims=True)
+        same = (x * y).sum(1, keepdims=True) / along
+        across = np.sqrt(np.maximum((y * y).sum(1, keepdims=True) - same * same, 0))
+        g, h = rng.standard_normal((2, pairs, pool))
+        norm = np.sqrt(g * g + h * h + rng.chisquare(part - 2, (pairs, pool)))
+        dots.append((along * g / norm, (same * g + across * h) / norm))
+    (a1, b1), (a2, b2) = dots
+    first = (a1 >= least - a2.max(1, keepdims=True)) & (b1 >= least - b2.max(1, keepdims=True))
+    last = (a2 >= least - a1.max(1, keepdims=True)) & (b2 >= least - b1.max(1, keepdims=True))
+    need = np.full(pairs, pool + 1)
+    for k in range(pairs):
+        i, j = np.flatnonzero(first[k]), np.flatnonzero(last[k])
+        hit = (a1[k, i, None] + a2[k, j] >= least) & (b1[k, i, None] + b2[k, j] >= least)
+        if hit.any():
+            need[k] = np.maximum(i[:, None], j)[hit].min() + 1
+    return need
+
+
+@lru_cache(maxsize=256)
+def plan_filters(n: int, cosine: float, bucket: float = 64.0, miss: float = 1e-5, dims: int = 64) -> tuple[float, int]:
+    """(cap height in standard deviations, codewords per part) for n vectors of `dims` components.
+
+    A cap holds about `bucket` of n unrelated vectors, by the tail of the sphere of these dimensions. Rotations and
+    codes are random, so a pair at `cosine` fails to meet in one code with the same chance q wherever it lies, and in
+    all with q ** CODES. q is measured on PAIRS random pairs with codes of their own, and the codewords are as many
+    as bring it, with three standard errors added, down to miss ** (1 / CODES). The number of filters so grows with n
+    and a filter's size does not.
     """
-    p = min(0.4, bucket / max(n, 1))
-    low, high = -1.0, 12.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _tail(mid) > p else (low, mid)
-    z, s = low, math.sqrt(1 - cosine * cosine)
-    x = np.linspace(z, z + 8, 4001)
-    joint = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * np.array([_tail((z - cosine * v) / s) for v in x])
-    c = min(0.99, float(((joint[1:] + joint[:-1]) / 2).sum() * (x[1] - x[0])) / _tail(z))
-    passed = 2.5 * math.log(miss) / math.log(1 - c)
-    return z, max(4, math.ceil((passed / p / CODES) ** (1 / PARTS)))
+    space, p = _space(dims), min(0.4, bucket / max(n, 1))
+    height = _cap_height(space, p)
+    q = miss ** (1 / CODES)
+    lost = int((q - 3 * math.sqrt(q * (1 - q) / PAIRS)) * PAIRS)
+    pool = max(16, math.ceil(4 / math.sqrt(p)))
+    while True:
+        rng, step = np.random.default_rng(53), max(1, min(PAIRS, 250_000 // pool))
+        need = np.concatenate([_words_needed(rng, min(step, PAIRS - at), space, cosine, height * math.sqrt(PARTS), pool) for at in range(0, PAIRS, step)])
+        words = int(np.sort(need)[PAIRS - lost - 1])
+        if words <= pool:
+            return height * math.sqrt(space), max(4, words)
+        pool *= 2
 
 
 class Caps:
     """Filters whose directions join one random unit codeword for each part of a rotated space; CODES rotations."""
 
     def __init__(self, dims: int, height: float, words: int):
-        self.space = max(16, -(-dims // PARTS) * PARTS)
+        self.space = _space(dims)
         rng = np.random.default_rng(97)
         self.turn = [np.linalg.qr(rng.standard_normal((self.space, self.space)))[0][:dims] for _ in range(CODES)]
         code = rng.standard_normal((CODES, PARTS, words, self.space // PARTS))
@@ -59,13 +105,15 @@ class Caps:
 
         The dot products of the second part are sorted once; each one of the first part takes the run of them
         that lifts the sum over the cap, found by binary search: the work follows the number of filters passed.
+        Those of the second part that not even the largest of the first lifts over it are left out of the sorting.
         """
         rows, filters = [], []
         for c in range(CODES):
             turned = (unit @ self.turn[c]).reshape(len(unit), PARTS, -1)
             first, last = (turned[:, j] @ self.code[c, j].T for j in range(PARTS))
             for i in range(len(unit)):
-                order = np.argsort(-last[i], kind="stable")
+                order = np.flatnonzero(last[i] >= self.least - first[i].max())
+                order = order[np.argsort(-last[i][order], kind="stable")]
                 counts = np.searchsorted(-last[i][order], first[i] - self.least, side="right")
                 hit = np.flatnonzero(counts)
                 if len(hit):
@@ -92,14 +140,15 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(kept, pa.list_(pa.float64()))], ["id", "cell", "unit"])
 
 
-def _filters(height: float, words: int):
+def _filters(plans: dict[int, tuple[float, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caps: dict[int, Caps] = {}
         for b in batches:
             ids, units = b.column(0).to_numpy(), b.column(1).to_pylist()
             for dims in sorted({len(u) for u in units}):
                 own = [i for i, u in enumerate(units) if len(u) == dims]
-                caps.setdefault(dims, Caps(dims, height, words))
+                if dims not in caps:
+                    caps[dims] = Caps(dims, *plans[dims])
                 for at in range(0, len(own), 512):
                     part = own[at : at + 512]
                     rows, filters = caps[dims].passed(np.array([units[i] for i in part]))
@@ -110,7 +159,7 @@ def _filters(height: float, words: int):
 
 
 def _met_before(cap: int, left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Which pairs of a left and a right vector share a cap below this one (each has the sorted list of its caps)."""
+    """Which pairs of a left and a right vector share a cap below this one (each has the sorted list of its caps, up to this one at least)."""
     met = np.zeros((len(left), len(right)), bool)
     sides = [[c[: np.searchsorted(c, cap)] for c in side] for side in (left, right)]
     flat = [np.concatenate(side) for side in sides]
@@ -187,7 +236,7 @@ def _compare(cosine: float, slack: float):
             out = []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s > 1:
-                    x = flat["unit"][off["unit"][s] : off["unit"][e]].reshape(e - s, -1)
+                    x = flat["unit"][off["unit"][s] : off["unit"][e]].reshape(e - s, -1).astype(float)
                     caps = [flat["caps"][off["caps"][i] : off["caps"][i + 1]] for i in range(s, e)]
                     out += tell(key[s, 1], rep[s:e], size[s:e], caps, side[s:e], x, key[s, 2], key[s, 3])
             if out:
@@ -230,19 +279,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     vecs = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_cells, "id long, cell binary, unit array<double>"))
     valid = vecs.where("cell IS NOT NULL AND id IS NOT NULL")
     classes = materialize(valid.groupBy("cell", F.size("unit").alias("dims")).agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.min_by("unit", "id").alias("unit")))
-    top = classes.agg(F.count("*"), F.max("dims")).first()
-    height, words = plan_filters(top[0], cosine)
-    slack = 2 * math.sqrt(top[1] or 1) / CELLS
+    counts = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    slack = 2 * math.sqrt(max(counts, default=1)) / CELLS
+    # members at `cosine` may stand behind representatives that are the slack farther apart
+    plans = {dims: plan_filters(n, cosine - slack, dims=dims) for dims, n in counts.items()}
     reps = classes.select("rep", "unit")
-    caps = materialize(reps.mapInArrow(_filters(height, words), "dims int, cap long, rep long"))
+    caps = materialize(reps.mapInArrow(_filters(plans), "dims int, cap long, rep long"))
     sizes = caps.groupBy("dims", "cap").agg(F.count("*").alias("n")).where("n > 1").select("dims", "cap", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = caps.join(sizes, ["dims", "cap"]).withColumn("side", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lists = caps.groupBy("rep").agg(F.array_sort(F.collect_list("cap")).alias("caps"))
-    known = classes.select("rep", "size", "unit").join(lists, "rep")
+    number = "int" if CODES * max((words for _, words in plans.values()), default=0) ** 2 < 2**31 else "long"
+    lists = caps.groupBy("rep").agg(F.array_sort(F.collect_list(F.col("cap").cast(number))).alias("caps"))
+    known = classes.select("rep", "size", F.col("unit").cast("array<float>").alias("unit")).join(lists, "rep")
     tasks = placed.select("dims", "cap", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep").join(known, "rep")
+    # a pair looks only for caps below the one it meets in, and single precision moves a dot product by less than ROUNDING
+    tasks = tasks.withColumn("caps", F.slice("caps", 1, (F.array_position("caps", F.col("cap").cast(number)) - 1).cast("int")))
     order = ["dims", "cap", "lo", "hi"]
-    told = materialize(tasks.repartition(*order).sortWithinPartitions(*order).select(*order, "side", "rep", "size", "unit", "caps").mapInArrow(_compare(cosine, slack), "kind long, a long, b long, n long"))
+    told = materialize(tasks.repartition(*order).sortWithinPartitions(*order).select(*order, "side", "rep", "size", "unit", "caps").mapInArrow(_compare(cosine, slack + ROUNDING), "kind long, a long, b long, n long"))
     release(caps)
     by_class = told.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     tree = told.where("kind = 1").select("a", "b").distinct()

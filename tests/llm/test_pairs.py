@@ -250,5 +250,19 @@ def test_embedding_recall():
         assert len({i for i, _ in first & second}) >= 0.98 * 400
 
 
+@pytest.mark.parametrize("n", [10**6, 10**7, 10**8])
+def test_embedding_recall_at_scale(n):
+    """Sampled pairs exactly at the threshold, with the filters planned for n vectors."""
+    rng = np.random.default_rng(3)
+    caps = embedding_dedup.Caps(64, *embedding_dedup.plan_filters(n, 0.9))
+    a = rng.standard_normal((300, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = rng.standard_normal((300, 64))
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + math.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    first, second = (set(zip(*caps.passed(v), strict=True)) for v in (a, b))
+    assert len({i for i, _ in first & second}) == 300
+
+
 def test_oracles_are_sql():
     assert oracles.OP1.strip().startswith("WITH")
