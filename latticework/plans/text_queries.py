@@ -142,7 +142,17 @@ def year_from_url(spark, d):
 
 @R.query("""SELECT p_partkey, CASE WHEN v > 0 AND v < 1.0 THEN round(v * 100, 2) WHEN v BETWEEN 0 AND 100 THEN round(v, 2) END pct, (v * 10)::BIGINT AS whole FROM (SELECT p_partkey, (p_partkey % 300) / 2.0::DOUBLE v FROM part WHERE p_partkey % 2 = 0)""")
 def percent_and_money(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 2 = 0").withColumn("v", F.expr("(p_partkey % 300) / 2.0D"))
+    return _percent_and_money(table(spark, d, "part").where("p_partkey % 2 = 0"))
+
+
+@R.query("""SELECT p_partkey, CASE WHEN v > 0 AND v < 1.0 THEN round(v * 100, 2) WHEN v BETWEEN 0 AND 100 THEN round(v, 2) END pct, (v * 10)::BIGINT AS whole FROM (SELECT p_partkey, (p_partkey % 300) / 2.0::DOUBLE v FROM part)""")
+def percent_and_money_all(spark, d):
+    """percent_and_money over all parts: half values too, and with 0.5% the branch of fractions."""
+    return _percent_and_money(table(spark, d, "part"))
+
+
+def _percent_and_money(parts):
+    p = parts.withColumn("v", F.expr("(p_partkey % 300) / 2.0D"))
     return p.select("p_partkey", C.percentage(F.concat(F.col("v").cast("string"), F.lit("%"))).alias("pct"), C.money(F.concat(F.lit("$"), (F.col("v") * 10).cast("string"))).alias("whole"))
 
 
