@@ -55,6 +55,16 @@ def word_candidates(queries: DataFrame, directory: DataFrame, query_key: str, en
     return q.join(d, "_w").select(query_key, entity).distinct()
 
 
+def shared_words(queries: DataFrame, directory: DataFrame, query_key: str, entity: str, words: str = "words") -> DataFrame:
+    """query_key, entity, n_query, n_entity, n_shared of all pairs that share a word: numbers of distinct words.
+
+    Counted over the join on words itself, so no set of words travels with a pair. Keys must be unique.
+    """
+    side = lambda df, key, n: df.select(key, F.array_distinct(words).alias("_ws")).select(key, F.size("_ws").alias(n), F.explode("_ws").alias("_w"))
+    pairs = side(queries, query_key, "n_query").join(side(directory, entity, "n_entity"), "_w")
+    return pairs.groupBy(query_key, entity, "n_query", "n_entity").agg(F.count("*").alias("n_shared"))
+
+
 def block_candidates(queries: DataFrame, directory: DataFrame, block: str, query_key: str, entity: str) -> DataFrame:
     """Pairs within a block; queries without one meet the whole directory, which must be small for that."""
     d = directory.select(F.col(block).alias("_b"), entity)

@@ -60,6 +60,31 @@ def token_containment(spark, d):
     return M.containment(_benchmark_pairs(spark, d), "item_id", "doc_id", "q", "c")
 
 
+_ALL_WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+_SHARED = f"""WITH b AS (SELECT item_id, {_ALL_WORDS.format(c="text")} q FROM benchmark), x AS (SELECT doc_id, {_ALL_WORDS.format(c="text")} c FROM documents),
+s AS (SELECT item_id, doc_id, nq, nc, count(*) n FROM (SELECT item_id, len(q) nq, unnest(q) w FROM b) JOIN (SELECT doc_id, len(c) nc, unnest(c) w FROM x) USING (w) GROUP BY ALL)"""
+
+
+def _benchmark_shared(spark, d):
+    words = N.words(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    b, docs = (table(spark, d, t).select(k, F.array_distinct(words).alias("words")) for t, k in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return M.shared_words(b, docs, "item_id", "doc_id")
+
+
+@R.query(f"""{_SHARED} SELECT item_id, round(max(n::DOUBLE / (nq + nc - n)), 6) score, count(*) candidates FROM s GROUP BY item_id""")
+def token_jaccard_all(spark, d):
+    """token_jaccard on all words: best similarity of each item over the documents that share a word."""
+    score = F.col("n_shared") / (F.col("n_query") + F.col("n_entity") - F.col("n_shared"))
+    return _benchmark_shared(spark, d).groupBy("item_id").agg(F.round(F.max(score), 6).alias("score"), F.count("*").alias("candidates"))
+
+
+@R.query(f"""{_SHARED} SELECT item_id, min(doc_id) doc_id FROM s WHERE nq >= 2 AND n = nq GROUP BY item_id HAVING count(DISTINCT doc_id) = 1""")
+def token_containment_all(spark, d):
+    """token_containment on all words: items whose words all occur in exactly one document."""
+    inside = _benchmark_shared(spark, d).where("n_query >= 2 AND n_shared = n_query")
+    return M.unique_by_key(inside, ["item_id"], "doc_id")
+
+
 @R.query("""WITH q AS (SELECT o_orderkey, o_custkey, floor(o_totalprice)::BIGINT rnk FROM orders WHERE o_orderstatus = 'P'), t AS (SELECT o_custkey, o_orderkey e, floor(o_totalprice)::BIGINT r FROM orders WHERE o_orderstatus = 'F')
 SELECT o_orderkey, q.o_custkey, rnk, arg_min(e, (abs(r - rnk), e)) e FROM q JOIN t ON q.o_custkey = t.o_custkey GROUP BY ALL""")
 def nearest_rank(spark, d):
