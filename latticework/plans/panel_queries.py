@@ -228,10 +228,10 @@ def median_gap_verdict(spark, d):
     return g.withColumns({c: F.round(c, 6) for c in ("rate_gap", "score_gap")})
 
 
-def _base_delta(spark, d):
+def _base_delta(spark, d, users="user_id % 2 = 0"):
     e = table(spark, d, "events").groupBy("user_id", F.dayofweek("ts").alias("day"))
     base = e.agg(F.round(F.max(F.when(F.col("event_type") == "click", F.col("value"))), 4).alias("a"), F.round(F.max(F.when(F.col("event_type") == "purchase", F.col("value"))), 4).alias("b")).where("day <= 4")
-    delta = e.agg(F.round(F.max(F.when(F.col("event_type") == "view", F.col("value"))), 4).alias("a"), F.round(F.min(F.when(F.col("value") > 90, F.col("value"))), 4).alias("b")).where("day >= 3 AND user_id % 2 = 0")
+    delta = e.agg(F.round(F.max(F.when(F.col("event_type") == "view", F.col("value"))), 4).alias("a"), F.round(F.min(F.when(F.col("value") > 90, F.col("value"))), 4).alias("b")).where("day >= 3").where(users)
     return base, delta
 
 
@@ -267,6 +267,40 @@ def backfill(spark, d):
     return U.upsert(*_base_delta(spark, d), ["user_id", "day"], ["a", "b"], "backfill")
 
 
+#: The same with a delta of all users: base and delta are slices by day alone.
+_UPSERT_ALL = _UPSERT.replace(" AND user_id % 2 = 0", "")
+
+
+def _upsert_all(spark, d, policy):
+    return U.upsert(*_base_delta(spark, d, "true"), ["user_id", "day"], ["a", "b"], policy)
+
+
+@R.query(_UPSERT_ALL.format(how="FULL", a="coalesce(na, oa)", b="coalesce(nb, ob)"))
+def upsert_fill_all(spark, d):
+    return _upsert_all(spark, d, "fill")
+
+
+@R.query(_UPSERT_ALL.format(how="FULL", a="na", b="nb"))
+def upsert_overwrite_all(spark, d):
+    return _upsert_all(spark, d, "overwrite_blank")
+
+
+@R.query(_UPSERT_ALL.format(how="LEFT", a="coalesce(na, oa)", b="coalesce(nb, ob)"))
+def upsert_update_only_all(spark, d):
+    return _upsert_all(spark, d, "update_only")
+
+
+@R.query(_UPSERT_ALL.format(how="LEFT", a="coalesce(oa, na)", b="coalesce(ob, nb)"))
+def backfill_all(spark, d):
+    return _upsert_all(spark, d, "backfill")
+
+
+@R.query("""SELECT change, count(*) n FROM (""" + _UPSERT_ALL.format(how="FULL", a="coalesce(na, oa)", b="coalesce(nb, ob)") + """) GROUP BY 1""")
+def upsert_audit_all(spark, d):
+    """Counters of an upsert of all users."""
+    return U.change_counts(_upsert_all(spark, d, "fill"))
+
+
 @R.query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def anti_resume(spark, d):
     """Work that is not done yet."""

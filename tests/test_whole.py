@@ -26,3 +26,13 @@ def test_words_of_any_length(spark, tmp_path):
     assert got == {i: (round(max(s), 6), len(s)) for i, s in near.items() if s}
     got = {r["item_id"]: r["doc_id"] for r in catalogue.queries()["token_containment_all"](spark, str(tmp_path)).collect()}
     assert got == {i: x[0] for i, x in holds.items() if len(x) == 1} == {0: 10, 1: 12}
+
+
+def test_upserts_meet_odd_users(spark):
+    whole = catalogue.queries()
+    rows = whole["upsert_fill_all"](spark, SF).where("user_id % 2 = 1")
+    assert {r["change"] for r in rows.select("change").distinct().collect()} > {"created", "kept", "changed"}
+    for name in ("upsert_overwrite_all", "upsert_update_only_all", "backfill_all"):
+        assert whole[name](spark, SF).where("user_id % 2 = 1 AND change NOT IN ('created', 'kept')").count() > 0
+    n = whole["upsert_fill_all"](spark, SF).count()
+    assert sum(r["n"] for r in whole["upsert_audit_all"](spark, SF).collect()) == n
