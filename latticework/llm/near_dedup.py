@@ -67,13 +67,21 @@ def bands_for(similarity: float, miss: float = 2e-6) -> tuple[int, int]:
 def sketch_limit(similarity: float, samples: int, sigmas: float = 5.0) -> int:
     """Largest XOR population count of two odd sketches that a pair at `similarity` may plausibly show.
 
-    The expected count for 2k(1-J) differing samples in n bits is n/2 (1 - exp(-4k(1-J)/n)); J is taken
-    `sigmas` standard errors of the MinHash estimate below the threshold, so the check loses about one
-    borderline pair in a million and drops the dissimilar majority before any text is compared.
+    Of k samples a binomial number differ, and each that does flips two random bits of n: the count's distribution
+    is followed bit by bit, with the noise of the MinHash estimate and that of bits flipped twice. The check loses
+    a borderline pair with the chance of a normal value beyond `sigmas` at most (5: 3 in ten million) and drops the
+    dissimilar majority before any text is compared.
     """
-    n = 64 * SKETCH_WORDS
-    low = similarity - sigmas * math.sqrt(similarity * (1 - similarity) / samples)
-    return math.ceil(n / 2 * (1 - math.exp(-4 * samples * (1 - low) / n)))
+    n, apart = 64 * SKETCH_WORDS, 1 - similarity
+    odd, total = np.zeros(n + 1), np.zeros(n + 1)
+    odd[0], up = 1.0, 1 - np.arange(n + 1) / n
+    for differ in range(samples + 1):
+        total += math.comb(samples, differ) * apart**differ * similarity ** (samples - differ) * odd
+        for _ in range(2):
+            more, less = odd * up, odd * (1 - up)
+            odd = np.append(0, more[:-1]) + np.append(less[1:], 0)
+    beyond = np.append(np.cumsum(total[::-1])[::-1][1:], 0)
+    return int(np.argmax(beyond <= 0.5 * math.erfc(sigmas / math.sqrt(2))))
 
 
 def _signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
