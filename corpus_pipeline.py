@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import mixing, near_dedup, packing, quality, toxicity
-from latticework.llm.common import table
+from latticework.llm.common import materialize, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (similarity 0.8); rows without an id stay, repeated rows once."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each class of near copies (similarity 0.8): that of the smallest id, one without id last.
+
+    Every row enters the classes under a key of its own, so unrelated texts under one id all stay, and rows without
+    an id are classed like others. Rows without words are alone: repeated ones (doc_id, text) stay once.
+    """
+    keyed = materialize(docs.withColumn("_key", F.monotonically_increasing_id()))
+    classes = near_dedup.near_duplicates(keyed, id_col="_key").select("_key", "n_shingles", "component_id")
+    # without words the class is the row itself: such rows are grouped by their text instead
+    blank_text = F.when(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.col("text"))
+    known = classes.join(keyed.select("_key", "doc_id", F.xxhash64("text").alias("_hash"), blank_text.alias("_blank")), "_key")
+    worded = known.where("n_shingles > 0").groupBy("component_id").agg(F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_key")).alias("_key"))
+    blank = known.where("n_shingles = 0").groupBy("doc_id", "_blank").agg(F.min("_key").alias("_key"))
+    kept = worded.select("_key").unionByName(blank.select("_key"))
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

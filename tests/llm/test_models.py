@@ -281,3 +281,14 @@ def test_pipeline_on_almost_nothing(spark, n):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() >= 0
+
+
+def test_near_duplicate_stage_by_row(spark):
+    """Unrelated texts under one id stay, repeated rows and copies without id do not."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(7, one), (7, two), (7, two), (9, one), (None, two), (None, three), (None, three), (8, three + " x"), (5, " "), (5, " "), (6, " "), (None, ""), (None, ""), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC).repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    want = [(7, one), (7, two), (8, three + " x"), (5, " "), (6, " "), (None, ""), (4, None)]
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)
