@@ -11,15 +11,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, slices
 
 K1, B = 1.2, 0.75
-#: Documents to a shard, to a block of it; queries to a batch, to a block that is sent to the executors.
-SHARD, BLOCK, BATCH, QUERIES = 2048, 64, 256, 16384
-#: Share of the documents (one in so many) that is searched first, for a lower bound on every query's k-th best score.
-SAMPLE = 16
+#: Documents to a shard and postings of one; documents to a block of it; queries to a batch.
+SHARD, SHARD_POSTINGS, BLOCK, BATCH = 2048, 1 << 20, 64, 256
+#: Documents and postings that are cut into shards together.
+GATHER, GATHER_POSTINGS = 8192, 1 << 22
+#: Queries and terms of queries to a block that is sent to the executors.
+QUERIES, QUERY_TERMS = 1 << 16, 4_500_000
+#: Nested samples hold one document in SAMPLE, SAMPLE ** 2, ...; the smallest has at most FIRST documents.
+SAMPLE, FIRST = 16, 4096
 #: Terms in at least this share of a shard's documents are scored as dense columns.
 DENSE = 1 / 16
+#: (term of a query, posting) pairs that are added up at a time.
+MATCHES = 1 << 21
 
 _FOLD = bytes(32 if i < 128 and not chr(i).isalnum() else ord(chr(i).lower()) if i < 128 else i for i in range(256))
 
@@ -46,8 +52,7 @@ def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _Hashes()
     for b in batches:
-        for at in range(0, b.num_rows, 1024):
-            part = b.slice(at, 1024)
+        for part in slices(b, 1, 1024, 1 << 23):
             got = [terms(t, cache) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int(c.sum()) for _, c in got], pa.int64()), _lists([t for t, _ in got], np.int64), _lists([c for _, c in got], np.int32)], ["doc", "length", "terms", "counts"])
 
@@ -68,13 +73,65 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield out()
 
 
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start[i], ..., start[i] + n[i] - 1 of every i, one after another."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _outline(owner: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int, width: int = 64) -> np.ndarray:
+    """Unit vectors of few dimensions that keep rows with common terms together: signed hashing of terms."""
+    h = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    column = ((h >> np.uint64(20)) % np.uint64(width)).astype(np.int64)
+    out = np.bincount(owner * width + column, sign * value, rows * width).reshape(rows, width)
+    return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-12)
+
+
+def bisected(x: np.ndarray, weight: np.ndarray, most: int, heaviest: float) -> list[np.ndarray]:
+    """Rows of x in groups of at most `most` rows and, unless it is one row, `heaviest` weight, alike rows together.
+
+    A group that is too large is cut where its principal axis crosses the mean, or, where that cuts off less than a
+    sixteenth of it, in the middle. Rows of a group come in the order of that axis.
+    """
+    done, open_ = [], [np.arange(len(x))]
+    while open_:
+        own = open_.pop()
+        if not len(own):
+            continue
+        y = x[own] - x[own].mean(0)
+        v = np.random.default_rng(1).standard_normal(x.shape[1])
+        for _ in range(6):
+            v = y.T @ (y @ v)
+            v /= np.linalg.norm(v) + 1e-12
+        along = y @ v
+        order = np.argsort(along, kind="stable")
+        own, along = own[order], along[order]
+        if len(own) == 1 or len(own) <= most and weight[own].sum() <= heaviest:
+            done.append(own)
+            continue
+        cut = int(np.searchsorted(along, 0))
+        if min(cut, len(own) - cut) * 16 < len(own):
+            cut = len(own) // 2
+        open_ += [own[cut:], own[:cut]]
+    return done
+
+
 class Queries:
-    """A block of queries in one array layout: for query i, terms[first[i]:first[i + 1]] (places in vocabulary) and weights."""
+    """A block of queries in one array layout: for query i, terms[first[i]:first[i + 1]] (places in vocabulary) and weights.
+
+    Alike queries are neighbours, so that those of a batch need the same blocks of documents.
+    """
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray):
-        self.ids, self.weights = ids, weights
-        self.first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        self.vocabulary, self.terms = np.unique(terms, return_inverse=True)
+        first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        vocabulary, place = np.unique(terms, return_inverse=True)
+        outline = _outline(np.repeat(np.arange(len(ids)), sizes), place, weights, len(ids))
+        groups = bisected(outline, sizes, BATCH, np.inf)
+        order = np.concatenate(groups) if groups else np.empty(0, np.int64)
+        at = _spans(first[:-1][order], sizes[order])
+        self.ids, self.vocabulary = ids[order], vocabulary
+        self.terms, self.weights = place[at].astype(np.int32), weights[at]
+        self.first = np.concatenate(([0], np.cumsum(sizes[order]))).astype(np.int64)
         #: A score that k documents are known to reach, for each query.
         self.least = np.zeros(len(ids))
 
@@ -85,66 +142,88 @@ class Queries:
         if not t.num_rows:
             return cls(*(np.empty(0, kind) for kind in (np.int64, np.int64, np.int64, float)))
         lists, weights = (t[c].combine_chunks() for c in ("term", "w"))
-        return cls(t["query"].to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), weights.flatten().to_numpy())
+        return cls(t["query"].to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), weights.flatten().to_numpy())
+
+    def raise_floors(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Take a k-th best score of some documents as the lower bound of the named queries."""
+        order = np.argsort(self.ids)
+        at = order[np.searchsorted(self.ids[order], ids)]
+        self.least[at] = np.maximum(self.least[at], scores)
 
 
 class Shard:
-    """Inverted index of some documents over the terms of a block of queries."""
-
-    def __init__(self, docs: np.ndarray, lengths: np.ndarray, term_lists: list[np.ndarray], counts: np.ndarray, average: float, vocabulary: np.ndarray):
-        owner = np.repeat(np.arange(len(docs)), [len(t) for t in term_lists])
-        flat = np.concatenate(term_lists)
-        place = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
-        known = vocabulary[place] == flat
-        place, owner, tf = place[known], owner[known], counts[known].astype(float)
-        norm = K1 * (1 - B + B * lengths / average)
-        impact = tf * (K1 + 1) / (tf + norm[owner])
-        n_docs = np.bincount(place, minlength=len(vocabulary))
-        self.common = np.flatnonzero(n_docs >= max(4, DENSE * len(docs)))
-        column = np.full(len(vocabulary), -1)
-        column[self.common] = np.arange(len(self.common))
-        dense = column[place] >= 0
-        matrix = np.zeros((len(docs), len(self.common)))
-        matrix[owner[dense], column[place[dense]]] = impact[dense]
-        # documents that use the same common terms come together, which makes block maxima tight
-        along = matrix - matrix.mean(0) if len(docs) else matrix
-        v = np.random.default_rng(1).standard_normal(along.shape[1])
-        for _ in range(4):
-            v = along.T @ (along @ v)
-            v /= np.linalg.norm(v) + 1e-12
-        self.axis = v
-        order = np.argsort(along @ v, kind="stable")
-        del along
-        back = np.empty(len(docs), int)
-        back[order] = np.arange(len(docs))
-        self.docs, self.matrix, self.column = docs[order], matrix[order], column
-        owner = back[owner[~dense]]
-        place, impact = place[~dense], impact[~dense]
-        by = np.lexsort((owner, place))
+    """Inverted index of some documents over the terms of a block of queries, with block maxima.
+
+    Terms in many documents have their postings as columns of a matrix, the others as lists; `whole` holds the
+    largest impact of every term in the shard, `top` that of the frequent ones in every block.
+    """
+
+    def __init__(self, docs: np.ndarray, owner: np.ndarray, place: np.ndarray, impact: np.ndarray, terms: int):
+        """owner (row of docs), place (number of the term) and impact of every posting; docs in block order."""
+        self.docs, n = docs, len(docs)
+        n_docs = np.bincount(place, minlength=terms)
+        common = np.flatnonzero(n_docs >= max(4, DENSE * n))
+        self.column = np.full(terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((n, len(common)))
+        column = self.column[place]
+        dense = column >= 0
+        self.matrix[owner[dense], column[dense]] = impact[dense]
+        self.edges = np.arange(0, n, BLOCK)
+        self.top = np.maximum.reduceat(self.matrix, self.edges, axis=0) if len(common) else np.zeros((len(self.edges), 0))
+        self.whole = np.zeros(terms)
+        np.maximum.at(self.whole, place, impact)
+        owner, place, impact = owner[~dense], place[~dense], impact[~dense]
+        by = np.argsort(place, kind="stable")
         self.owner, self.impact = owner[by], impact[by]
-        self.start = np.searchsorted(place[by], np.arange(len(vocabulary) + 1))
-        edges = np.arange(0, len(docs), BLOCK)
-        self.top = np.maximum.reduceat(self.matrix, edges, axis=0) if len(docs) and len(self.common) else np.zeros((len(edges), len(self.common)))
-        self.edges = edges
+        self.start = np.concatenate(([0], np.cumsum(np.where(self.column >= 0, 0, n_docs))))
 
     def rare(self, q: Queries, batch: np.ndarray) -> np.ndarray:
-        """Scores of the batch's queries by terms that are not common."""
+        """Scores of the batch's queries by terms with posting lists."""
         n = q.first[batch + 1] - q.first[batch]
-        at = np.repeat(q.first[batch] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        t, w, row = q.terms[at], q.weights[at], np.repeat(np.arange(len(batch)), n)
+        at = _spans(q.first[batch], n)
+        t, row = q.terms[at], np.repeat(np.arange(len(batch)), n)
         m = self.start[t + 1] - self.start[t]
-        p = np.repeat(self.start[t] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        return np.bincount(np.repeat(row, m) * len(self.docs) + self.owner[p], np.repeat(w, m) * self.impact[p], len(batch) * len(self.docs)).astype(float, copy=False).reshape(len(batch), -1)
+        hit = np.flatnonzero(m)
+        at, t, row, m = at[hit], t[hit], row[hit], m[hit]
+        out, width, upto, s = np.zeros((len(batch), len(self.docs))), len(self.docs), np.cumsum(m), 0
+        while s < len(m):
+            # whole queries, so many that their matches fit; one at least
+            e = int(np.searchsorted(upto, upto[s] - m[s] + MATCHES, side="right"))
+            last = row[min(e, len(m) - 1)]
+            e = len(m) if e >= len(m) else int(np.searchsorted(row, last if last > row[s] else last + 1))
+            lo, hi = row[s], row[e - 1] + 1
+            p = _spans(self.start[t[s:e]], m[s:e])
+            cell = np.repeat((row[s:e] - lo) * width, m[s:e]) + self.owner[p]
+            out[lo:hi] = np.bincount(cell, np.repeat(q.weights[at[s:e]], m[s:e]) * self.impact[p], (hi - lo) * width).reshape(hi - lo, width)
+            s = e
+        return out
 
     def common_weights(self, q: Queries, batch: np.ndarray) -> np.ndarray:
         n = q.first[batch + 1] - q.first[batch]
-        at = np.repeat(q.first[batch] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = _spans(q.first[batch], n)
         c, row = self.column[q.terms[at]], np.repeat(np.arange(len(batch)), n)
-        out = np.zeros((len(batch), len(self.common)))
+        out = np.zeros((len(batch), self.matrix.shape[1]))
         out[row[c >= 0], c[c >= 0]] = q.weights[at][c >= 0]
         return out
 
 
+def shards(docs: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, average: float, vocabulary: np.ndarray) -> Iterator[Shard]:
+    """Indexes of documents given by lists of terms one after another; alike documents share shards and blocks."""
+    owner = np.repeat(np.arange(len(docs)), sizes)
+    distinct, inverse = np.unique(terms, return_inverse=True)
+    place = np.minimum(np.searchsorted(vocabulary, distinct), len(vocabulary) - 1)
+    place = np.where(vocabulary[place] == distinct, place, -1)[inverse]
+    known = place >= 0
+    owner, place, tf = owner[known], place[known], counts[known].astype(float)
+    impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / average))[owner])
+    n = np.bincount(owner, minlength=len(docs))
+    first = np.cumsum(n) - n
+    for own in bisected(_outline(owner, place, impact, len(docs)), n, SHARD, SHARD_POSTINGS):
+        at = _spans(first[own], n[own])
+        yield Shard(docs[own], np.repeat(np.arange(len(own)), n[own]), place[at], impact[at], len(vocabulary))
+
+
 class Best:
     """The k best (score, document) of each query so far; equal scores by smaller document."""
 
@@ -166,30 +245,32 @@ class Best:
 
 
 def search_shard(shard: Shard, q: Queries, best: Best) -> int:
-    """Improve `best` by a shard; the number of (batch, block) pairs opened.
+    """Improve `best` by a shard; the number of (query, block) pairs whose documents can matter.
+
+    1. A query whose weights times the shard's largest impacts stay below its k-th best score so far is done.
+    2. The lists of infrequent terms, the essential ones, are added up for the queries left. A block stays closed
+       for a query whose best sum in it plus the block's maxima of the frequent terms stay below that score.
+    3. Frequent terms are added in blocks that some query of the batch opens. As alike queries share batches and
+       alike documents blocks, that is little more than the pairs opened.
 
-    A block of documents is opened for a batch of queries only if some query's bound on it - the sum of weight
-    times block maximum over common terms, plus the block's best score by rare terms - reaches that query's k-th
-    best score so far. Blocks that stay closed cannot hold a better document.
+    What is skipped cannot hold a better document, so the result is exact.
     """
     k, opened = best.score.shape[1], 0
     if not len(shard.docs) or not len(q.ids):
         return 0
-    lean = np.zeros(len(q.ids))
-    for i in range(0, len(q.ids), BATCH):
-        own = np.arange(i, min(i + BATCH, len(q.ids)))
-        lean[own] = shard.common_weights(q, own) @ shard.axis
-    order = np.argsort(lean, kind="stable")
-    for i in range(0, len(order), BATCH):
-        own = order[i : i + BATCH]
-        rare, weights = shard.rare(q, own), shard.common_weights(q, own)
-        # scores below this cannot enter; rounding apart, equal ones can
-        floor = np.maximum(best.score[own, -1], q.least[own])[:, None] - 1e-8
+    # scores below this cannot enter; rounding apart, equal ones can
+    floors = np.maximum(best.score[:, -1], q.least) - 1e-8
+    reach = np.add.reduceat(q.weights * shard.whole[q.terms], q.first[:-1])
+    asked = np.flatnonzero((reach >= floors) & (reach > 0))
+    for i in range(0, len(asked), BATCH):
+        own = asked[i : i + BATCH]
+        rare, weights, floor = shard.rare(q, own), shard.common_weights(q, own), floors[own][:, None]
         bound = weights @ shard.top.T + np.maximum.reduceat(rare, shard.edges, axis=1)
-        open_ = np.flatnonzero((bound >= floor).any(0))
+        wanted = (bound >= floor) & (bound > 0)
+        opened += int(wanted.sum())
+        open_ = np.flatnonzero(wanted.any(0))
         if not len(open_):
             continue
-        opened += len(open_)
         if len(open_) == len(shard.edges):
             at, score = np.arange(len(shard.docs)), rare
             score += weights @ shard.matrix.T
@@ -212,28 +293,26 @@ def search_shard(shard: Shard, q: Queries, best: Best) -> int:
 
 def _search(q: Queries, average: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, held, n = Best(len(q.ids), k), [], 0
+        best, held, rows, postings = Best(len(q.ids), k), [], 0, 0
 
         def flush() -> None:
             t = pa.Table.from_batches(held).combine_chunks()
-            lists = t["terms"].combine_chunks()
-            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-            cuts = np.concatenate(([0], np.cumsum(sizes)))
-            parts = [flat[cuts[i] : cuts[i + 1]] for i in range(len(sizes))]
-            counts = t["counts"].combine_chunks().flatten().to_numpy()
-            search_shard(Shard(t["doc"].to_numpy(), t["length"].to_numpy().astype(float), parts, counts, average, q.vocabulary), q, best)
+            lists, counts = t["terms"].combine_chunks(), t["counts"].combine_chunks().flatten().to_numpy()
+            for shard in shards(t["doc"].to_numpy(), t["length"].to_numpy().astype(float), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), counts, average, q.vocabulary):
+                search_shard(shard, q, best)
 
         if not len(q.vocabulary):
             return
         for b in batches:
-            for at in range(0, b.num_rows, SHARD):
-                part = b.slice(at, SHARD)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 held.append(part)
-                n += part.num_rows
-                if n >= SHARD:
+                rows += part.num_rows
+                postings += len(part.column(2).flatten())
+                if rows >= GATHER or postings >= GATHER_POSTINGS:
                     flush()
-                    held, n = [], 0
-        if n:
+                    held, rows, postings = [], 0, 0
+        if rows:
             flush()
         row, col = np.nonzero(best.score > 0)
         yield pa.RecordBatch.from_arrays([pa.array(q.ids[row]), pa.array(best.doc[row, col]), pa.array(best.score[row, col])], ["query", "doc", "score"])
@@ -246,14 +325,16 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
     1. One pass turns texts into term counts, written to shared storage; the number of documents, their average
        length and the document frequency of every query term are counted over all documents.
-    2. Queries go to the executors in blocks of QUERIES, with a lower bound on each one's k-th best score from one
-       document in SAMPLE. Each task builds inverted indexes of SHARD documents, one
-       after another, and searches them with block-max pruning against that bound and its own k-th best scores.
+    2. Queries go to the executors in blocks, bounded in rows and in terms. A block is searched in nested samples of
+       the documents, each SAMPLE times the one before, and at last in all: the k-th best score in one is a lower
+       bound on the k-th best in the next, so a task reports few documents besides the k best of all. Each task builds
+       inverted indexes of its documents, shard after shard, and searches them with block maxima (see search_shard).
     3. The tasks' k best are merged by score; as all scores use the global counts, the merge is exact.
 
     A query is the bag of its text's terms. Texts without terms find and are found by nothing. Scores are rounded to
-    nine decimals, so that the order of a sum does not matter; equal ones go by smaller id. Repeated documents are found as often as they occur; queries that repeat an id count as one, the
-    first by text. Rows with a null id are left out. Empty tables give an empty result.
+    nine decimals, so that the order of a sum does not matter; equal ones go by smaller id. Repeated documents are
+    found as often as they occur; queries that repeat an id count as one, the first by text. Rows with a null id are
+    left out; other columns are ignored. Empty tables give an empty result.
     """
     key = "long"
     index = materialize(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(key).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_index, "doc long, length long, terms array<long>, counts array<int>"))
@@ -266,19 +347,24 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     found = index.select("terms").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = words.join(found, "term").withColumn("w", F.col("m") * idf).groupBy("query").agg(F.collect_list(F.struct("term", "w")).alias("t"))
-    blocks = max(1, math.ceil(asked.count() / QUERIES))
+    queries_, terms_ = asked.agg(F.count("*"), F.sum(F.size("terms"))).first()
+    blocks = max(1, math.ceil(queries_ / QUERIES), math.ceil((terms_ or 0) / QUERY_TERMS))
     ready = materialize(weighed.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))))
-    parts, sample = [], index.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
+    levels = [index]
+    while n / SAMPLE ** (len(levels) - 1) > FIRST:
+        own = F.pmod(F.xxhash64("doc"), F.lit(SAMPLE ** len(levels))) == 0
+        levels.append(materialize(levels[-1].where(own).repartition(math.ceil(n / SAMPLE ** len(levels) / SHARD))))
+    parts, kind = [], "query long, doc long, score double"
     for i in range(blocks):
         block = Queries.of(ready.where(F.col("block") == i).select("query", F.col("t.term").alias("term"), F.col("t.w").alias("w")).orderBy("query").toArrow())
-        if n > 50 * SAMPLE * k and len(block.ids):
+        for level in reversed(levels[1:] if len(block.ids) else []):
             # the k-th best of some documents is a lower bound on the k-th best of all
-            seen = materialize(sample.mapInArrow(_search(block, total / n, k), "query long, doc long, score double"))
+            seen = materialize(level.mapInArrow(_search(block, total / n, k), kind))
             last = _best(seen, k).where(F.col("place") == k).select("query", "score").toArrow()
-            block.least[np.searchsorted(block.ids, last["query"].to_numpy())] = last["score"].to_numpy()
+            block.raise_floors(last["query"].to_numpy(), last["score"].to_numpy())
             release(seen)
-        parts.append(materialize(index.mapInArrow(_search(block, total / n, k), "query long, doc long, score double")))
-    release(ready, asked)
+        parts.append(materialize(index.mapInArrow(_search(block, total / n, k), kind)))
+    release(ready, asked, *levels)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

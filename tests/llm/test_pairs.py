@@ -124,7 +124,7 @@ def bm25(docs, qs, k):
 
 
 def test_search(spark, monkeypatch):
-    for name, value in (("SHARD", 64), ("BLOCK", 8), ("BATCH", 4), ("QUERIES", 7), ("SAMPLE", 1)):
+    for name, value in (("SHARD", 64), ("GATHER", 100), ("BLOCK", 8), ("BATCH", 4), ("QUERIES", 7), ("SAMPLE", 4), ("FIRST", 64), ("MATCHES", 50)):
         monkeypatch.setattr(search, name, value)
     rng = random.Random(9)
     words = ["the", "of", "a"] * 30 + [f"t{i}" for i in range(150)]
@@ -145,16 +145,40 @@ def test_search(spark, monkeypatch):
 
 
 def test_search_prunes():
-    """Blocks whose bound is below the k-th best stay closed."""
+    """Blocks whose bound is below the k-th best stay closed, query by query, and alike documents share shards."""
     rng = np.random.default_rng(4)
     n = 640
-    lists = [np.unique(np.concatenate([rng.integers(0, 40, 30) if i < 320 else rng.integers(1000, 1040, 30), [5000 + i]])) for i in range(n)]
-    counts, lengths = np.ones(sum(map(len, lists)), int), np.array([len(x) for x in lists], float)
-    q = search.Queries(np.array([0, 1]), np.array([len(lists[3]), len(lists[4])]), np.concatenate(lists[3:5]), np.ones(len(lists[3]) + len(lists[4])))
-    best = search.Best(2, 5)
-    shard = search.Shard(np.arange(n), lengths, lists, counts, lengths.mean(), q.vocabulary)
-    first = search.search_shard(shard, q, best)
-    assert search.search_shard(shard, q, best) < first
+    lists = [np.unique(np.concatenate([rng.integers(0, 40, 30) if i % 2 else rng.integers(1000, 1040, 30), [5000 + i]])) for i in range(n)]
+    sizes, lengths = np.array([len(x) for x in lists]), np.array([len(x) for x in lists], float)
+    own = [3, 4, 7, 8]
+    q = search.Queries(np.arange(4), sizes[own], np.concatenate([lists[i] for i in own]), np.ones(sizes[own].sum()))
+    made = list(search.shards(np.arange(n), lengths, sizes, np.concatenate(lists), np.ones(sizes.sum(), int), lengths.mean(), q.vocabulary))
+    best, pairs = search.Best(4, 5), 4 * sum(len(s.edges) for s in made)
+    first = sum(search.search_shard(s, q, best) for s in made)
+    again = sum(search.search_shard(s, q, best) for s in made)
+    assert again <= first <= pairs and again <= 0.6 * pairs
+    docs = np.concatenate([s.docs for s in made])
+    assert sorted(docs) == list(range(n)) and (np.diff(docs % 2) != 0).sum() <= 2 * len(made)
+
+
+def test_search_prunes_documents(spark):
+    """Under half of the (query, block) pairs are opened once floors are known."""
+    rows = [r for r in queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect() if r["text"]]
+    cache = search._Hashes()
+    got = [search.terms(r["text"], cache) for r in rows]
+    ids, sizes = np.array([r["doc_id"] for r in rows]), np.array([len(t) for t, _ in got])
+    flat, counts, lengths = np.concatenate([t for t, _ in got]), np.concatenate([c for _, c in got]), np.array([c.sum() for _, c in got], float)
+    known, df = np.unique(flat, return_counts=True)
+    own = np.flatnonzero((ids % 20 == 0) & (sizes > 0))
+    terms = np.concatenate([got[i][0] for i in own])
+    seen = df[np.searchsorted(known, terms)]
+    q = search.Queries(ids[own], sizes[own], terms, np.concatenate([got[i][1] for i in own]) * np.log(1 + (len(rows) - seen + 0.5) / (seen + 0.5)))
+    best = search.Best(len(own), 10)
+    made = list(search.shards(ids, lengths, sizes, flat, counts, lengths.mean(), q.vocabulary))
+    for s in made:
+        search.search_shard(s, q, best)
+    again = sum(search.search_shard(s, q, best) for s in made)
+    assert again < 0.5 * len(own) * sum(len(s.edges) for s in made)
 
 
 def test_url_parts_and_rules(spark):
