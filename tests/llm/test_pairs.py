@@ -163,7 +163,7 @@ def test_search_prunes():
 
 def test_search_prunes_documents(spark):
     """Under half of the (query, block) pairs are opened once floors are known."""
-    rows = [r for r in queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect() if r["text"]]
+    rows = [r for r in queries.table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").collect() if r["text"]]
     cache = search._Hashes()
     got = [search.terms(r["text"], cache) for r in rows]
     ids, sizes = np.array([r["doc_id"] for r in rows]), np.array([len(t) for t, _ in got])
