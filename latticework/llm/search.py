@@ -15,17 +15,17 @@ from .common import materialize, release, slices
 
 K1, B = 1.2, 0.75
 #: Documents to a shard and postings of one; documents to a block of it; queries to a batch.
-SHARD, SHARD_POSTINGS, BLOCK, BATCH = 2048, 1 << 20, 64, 256
+SHARD, SHARD_POSTINGS, BLOCK, BATCH = 2048, 1 << 19, 64, 256
 #: Documents and postings that are cut into shards together.
-GATHER, GATHER_POSTINGS = 8192, 1 << 22
+GATHER, GATHER_POSTINGS = 4096, 1 << 20
 #: Queries and terms of queries to a block that is sent to the executors.
-QUERIES, QUERY_TERMS = 1 << 16, 4_500_000
+QUERIES, QUERY_TERMS = 1 << 15, 2_500_000
 #: Nested samples hold one document in SAMPLE, SAMPLE ** 2, ...; the smallest has at most FIRST documents.
 SAMPLE, FIRST = 16, 4096
 #: Terms in at least this share of a shard's documents are scored as dense columns.
 DENSE = 1 / 16
 #: (term of a query, posting) pairs that are added up at a time.
-MATCHES = 1 << 21
+MATCHES = 1 << 19
 
 _FOLD = bytes(32 if i < 128 and not chr(i).isalnum() else ord(chr(i).lower()) if i < 128 else i for i in range(256))
 
@@ -73,12 +73,12 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield out()
 
 
-def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers start[i], ..., start[i] + n[i] - 1 of every i, one after another."""
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _outline(owner: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int, width: int = 64) -> np.ndarray:
+def outline(owner: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int, width: int = 64) -> np.ndarray:
     """Unit vectors of few dimensions that keep rows with common terms together: signed hashing of terms."""
     h = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     sign = np.where(h >> np.uint64(63), 1.0, -1.0)
@@ -123,18 +123,27 @@ class Queries:
     """
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray):
-        first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         vocabulary, place = np.unique(terms, return_inverse=True)
-        outline = _outline(np.repeat(np.arange(len(ids)), sizes), place, weights, len(ids))
-        groups = bisected(outline, sizes, BATCH, np.inf)
+        self._lay(ids, sizes, place, weights, vocabulary)
+
+    def _lay(self, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, weights: np.ndarray, vocabulary: np.ndarray | None) -> None:
+        first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        groups = bisected(outline(np.repeat(np.arange(len(ids)), sizes), places, weights, len(ids)), sizes, BATCH, np.inf)
         order = np.concatenate(groups) if groups else np.empty(0, np.int64)
-        at = _spans(first[:-1][order], sizes[order])
+        at = spans(first[:-1][order], sizes[order])
         self.ids, self.vocabulary = ids[order], vocabulary
-        self.terms, self.weights = place[at].astype(np.int32), weights[at]
+        self.terms, self.weights = places[at].astype(np.int32), weights[at]
         self.first = np.concatenate(([0], np.cumsum(sizes[order]))).astype(np.int64)
         #: A score that k documents are known to reach, for each query.
         self.least = np.zeros(len(ids))
 
+    @classmethod
+    def placed(cls, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, weights: np.ndarray) -> Queries:
+        """Of terms that are places in a vocabulary already; every query has a term."""
+        q = cls.__new__(cls)
+        q._lay(ids, sizes, places, weights, None)
+        return q
+
     @classmethod
     def of(cls, t: pa.Table) -> Queries:
         """From columns query, term, w (lists of equal length)."""
@@ -171,17 +180,19 @@ class Shard:
         self.matrix[owner[dense], column[dense]] = impact[dense]
         self.edges = np.arange(0, n, BLOCK)
         self.top = np.maximum.reduceat(self.matrix, self.edges, axis=0) if len(common) else np.zeros((len(self.edges), 0))
-        self.whole = np.zeros(terms)
-        np.maximum.at(self.whole, place, impact)
-        owner, place, impact = owner[~dense], place[~dense], impact[~dense]
         by = np.argsort(place, kind="stable")
-        self.owner, self.impact = owner[by], impact[by]
+        held = np.flatnonzero(n_docs)
+        self.whole = np.zeros(terms, np.float32)
+        # rounded up, so that it stays a bound
+        self.whole[held] = np.nextafter(np.maximum.reduceat(impact[by], (np.cumsum(n_docs) - n_docs)[held]).astype(np.float32), np.float32(np.inf)) if len(held) else 0
+        by = by[~dense[by]]
+        self.owner, self.impact = owner[by].astype(np.int32), impact[by]
         self.start = np.concatenate(([0], np.cumsum(np.where(self.column >= 0, 0, n_docs))))
 
     def rare(self, q: Queries, batch: np.ndarray) -> np.ndarray:
         """Scores of the batch's queries by terms with posting lists."""
         n = q.first[batch + 1] - q.first[batch]
-        at = _spans(q.first[batch], n)
+        at = spans(q.first[batch], n)
         t, row = q.terms[at], np.repeat(np.arange(len(batch)), n)
         m = self.start[t + 1] - self.start[t]
         hit = np.flatnonzero(m)
@@ -193,7 +204,7 @@ class Shard:
             last = row[min(e, len(m) - 1)]
             e = len(m) if e >= len(m) else int(np.searchsorted(row, last if last > row[s] else last + 1))
             lo, hi = row[s], row[e - 1] + 1
-            p = _spans(self.start[t[s:e]], m[s:e])
+            p = spans(self.start[t[s:e]], m[s:e])
             cell = np.repeat((row[s:e] - lo) * width, m[s:e]) + self.owner[p]
             out[lo:hi] = np.bincount(cell, np.repeat(q.weights[at[s:e]], m[s:e]) * self.impact[p], (hi - lo) * width).reshape(hi - lo, width)
             s = e
@@ -201,7 +212,7 @@ class Shard:
 
     def common_weights(self, q: Queries, batch: np.ndarray) -> np.ndarray:
         n = q.first[batch + 1] - q.first[batch]
-        at = _spans(q.first[batch], n)
+        at = spans(q.first[batch], n)
         c, row = self.column[q.terms[at]], np.repeat(np.arange(len(batch)), n)
         out = np.zeros((len(batch), self.matrix.shape[1]))
         out[row[c >= 0], c[c >= 0]] = q.weights[at][c >= 0]
@@ -219,8 +230,8 @@ def shards(docs: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.n
     impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / average))[owner])
     n = np.bincount(owner, minlength=len(docs))
     first = np.cumsum(n) - n
-    for own in bisected(_outline(owner, place, impact, len(docs)), n, SHARD, SHARD_POSTINGS):
-        at = _spans(first[own], n[own])
+    for own in bisected(outline(owner, place, impact, len(docs)), n, SHARD, SHARD_POSTINGS):
+        at = spans(first[own], n[own])
         yield Shard(docs[own], np.repeat(np.arange(len(own)), n[own]), place[at], impact[at], len(vocabulary))
 
 
