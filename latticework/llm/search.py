@@ -58,15 +58,17 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
+    """term, n: documents of each term, added up over the shards of a task as far as memory allows."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out() -> pa.RecordBatch:
-        t, n = np.unique(np.concatenate(held), return_counts=True)
+        t, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([x for _, x in held]), len(t)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], ["term", "n"])
 
     for b in batches:
-        held.append(b.column(0).flatten().to_numpy())
-        if sum(map(len, held)) > 4_000_000:
+        held.append((b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()))
+        if sum(len(x) for x, _ in held) > 2_000_000:
             yield out()
             held.clear()
     if held:
@@ -168,7 +170,7 @@ class Shard:
     """
 
     def __init__(self, docs: np.ndarray, owner: np.ndarray, place: np.ndarray, impact: np.ndarray, terms: int):
-        """owner (row of docs), place (number of the term) and impact of every posting; docs in block order."""
+        """owner (row of docs), place (number of the term, ascending) and impact of every posting; docs in block order."""
         self.docs, n = docs, len(docs)
         n_docs = np.bincount(place, minlength=terms)
         common = np.flatnonzero(n_docs >= max(4, DENSE * n))
@@ -178,16 +180,15 @@ class Shard:
         column = self.column[place]
         dense = column >= 0
         self.matrix[owner[dense], column[dense]] = impact[dense]
+        self.fast = self.matrix.astype(np.float32)
         self.edges = np.arange(0, n, BLOCK)
         self.top = np.maximum.reduceat(self.matrix, self.edges, axis=0) if len(common) else np.zeros((len(self.edges), 0))
-        by = np.argsort(place, kind="stable")
         held = np.flatnonzero(n_docs)
         self.whole = np.zeros(terms, np.float32)
         # rounded up, so that it stays a bound
-        self.whole[held] = np.nextafter(np.maximum.reduceat(impact[by], (np.cumsum(n_docs) - n_docs)[held]).astype(np.float32), np.float32(np.inf)) if len(held) else 0
-        by = by[~dense[by]]
-        self.owner, self.impact = owner[by].astype(np.int32), impact[by]
-        self.start = np.concatenate(([0], np.cumsum(np.where(self.column >= 0, 0, n_docs))))
+        self.whole[held] = np.nextafter(np.maximum.reduceat(impact, (np.cumsum(n_docs) - n_docs)[held]).astype(np.float32), np.float32(np.inf)) if len(held) else 0
+        self.owner, self.impact = owner[~dense].astype(np.int32), impact[~dense]
+        self.start = np.concatenate(([0], np.cumsum(np.where(self.column >= 0, 0, n_docs)))).astype(np.int32)
 
     def rare(self, q: Queries, batch: np.ndarray) -> np.ndarray:
         """Scores of the batch's queries by terms with posting lists."""
@@ -219,20 +220,33 @@ class Shard:
         return out
 
 
-def shards(docs: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, average: float, vocabulary: np.ndarray) -> Iterator[Shard]:
-    """Indexes of documents given by lists of terms one after another; alike documents share shards and blocks."""
+def laid_out(docs: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Shards of documents given by lists of terms one after another; alike documents share shards and blocks.
+
+    A shard is (documents, lengths, distinct terms in ascending order, documents of each, then row and count of every
+    posting, term by term).
+    """
     owner = np.repeat(np.arange(len(docs)), sizes)
-    distinct, inverse = np.unique(terms, return_inverse=True)
+    distinct, place = np.unique(terms, return_inverse=True)
+    # only how alike texts are matters here, so any document length serves
+    tf = counts.astype(float)
+    first = np.cumsum(sizes) - sizes
+    for own in bisected(outline(owner, place, tf / (tf + K1), len(docs)), sizes, SHARD, SHARD_POSTINGS):
+        at = spans(first[own], sizes[own])
+        by = np.argsort(place[at], kind="stable")
+        t, n = np.unique(place[at], return_counts=True)
+        yield docs[own], lengths[own], distinct[t], n.astype(np.int32), np.repeat(np.arange(len(own), dtype=np.int32), sizes[own])[by], counts[at][by]
+
+
+def shard_of(row: tuple[np.ndarray, ...], average: float, vocabulary: np.ndarray) -> Shard:
+    """The index of a laid-out shard over the terms of a vocabulary."""
+    docs, lengths, distinct, n, owner, counts = row
     place = np.minimum(np.searchsorted(vocabulary, distinct), len(vocabulary) - 1)
-    place = np.where(vocabulary[place] == distinct, place, -1)[inverse]
-    known = place >= 0
-    owner, place, tf = owner[known], place[known], counts[known].astype(float)
+    known = vocabulary[place] == distinct
+    own = np.repeat(known, n)
+    owner, tf = owner[own], counts[own].astype(float)
     impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / average))[owner])
-    n = np.bincount(owner, minlength=len(docs))
-    first = np.cumsum(n) - n
-    for own in bisected(outline(owner, place, impact, len(docs)), n, SHARD, SHARD_POSTINGS):
-        at = spans(first[own], n[own])
-        yield Shard(docs[own], np.repeat(np.arange(len(own)), n[own]), place[at], impact[at], len(vocabulary))
+    return Shard(docs, owner, np.repeat(place[known], n[known]), impact, len(vocabulary))
 
 
 class Best:
@@ -282,49 +296,62 @@ def search_shard(shard: Shard, q: Queries, best: Best) -> int:
         open_ = np.flatnonzero(wanted.any(0))
         if not len(open_):
             continue
-        if len(open_) == len(shard.edges):
-            at, score = np.arange(len(shard.docs)), rare
-            score += weights @ shard.matrix.T
-        else:
-            at = (shard.edges[open_][:, None] + np.arange(BLOCK)).ravel()
-            at = at[at < len(shard.docs)]
-            score = rare[:, at]
-            score += weights @ shard.matrix[at].T
+        at = np.arange(len(shard.docs)) if len(open_) == len(shard.edges) else (shard.edges[open_][:, None] + np.arange(BLOCK)).ravel()
+        at = at[at < len(shard.docs)]
+        whole = len(at) == len(shard.docs)
+        score = (rare if whole else rare[:, at]).astype(np.float32)
+        score += weights.astype(np.float32) @ (shard.fast if whole else shard.fast[at]).T
+        # sums of positive numbers: single precision may lower them by this share at most
+        less = 1 - 1.3e-7 * (weights.shape[1] + 8)
         if len(at) > 4 * k:
             # k-th best of this shard, where many documents are over the floor
-            crowded = (score >= floor).sum(1) > 4 * k
+            crowded = (score >= floor * less).sum(1) > 4 * k
             if crowded.any():
                 edge = np.partition(score[crowded], len(at) - k, axis=1)[:, len(at) - k]
-                floor[crowded, 0] = np.maximum(floor[crowded, 0], edge - 1e-8)
-        row, col = np.nonzero((score >= floor) & (score > 0))
+                floor[crowded, 0] = np.maximum(floor[crowded, 0], edge * less - 1e-8)
+        row, col = np.nonzero((score >= (floor * less).astype(np.float32)) & (score > 0))
+        exact = rare[row, at[col]] + np.einsum("ij,ij->i", weights[row], shard.matrix[at[col]])
+        reached = exact >= floor[row, 0]
+        row, col, exact = row[reached], col[reached], exact[reached]
         if len(row):
-            best.add(own[row], np.round(score[row, col], 9), shard.docs[at[col]])
+            best.add(own[row], np.round(exact, 9), shard.docs[at[col]])
     return opened
 
 
-def _search(q: Queries, average: float, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, held, rows, postings = Best(len(q.ids), k), [], 0, 0
+_ROW = "docs array<long>, lengths array<long>, terms array<long>, sizes array<int>, owners array<int>, counts array<int>"
+
+
+def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of a task's documents, one to a row."""
+    held, rows, postings = [], 0, 0
 
-        def flush() -> None:
-            t = pa.Table.from_batches(held).combine_chunks()
-            lists, counts = t["terms"].combine_chunks(), t["counts"].combine_chunks().flatten().to_numpy()
-            for shard in shards(t["doc"].to_numpy(), t["length"].to_numpy().astype(float), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), counts, average, q.vocabulary):
-                search_shard(shard, q, best)
+    def flush() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        lists, counts = t["terms"].combine_chunks(), t["counts"].combine_chunks().flatten().to_numpy()
+        for row in laid_out(t["doc"].to_numpy(), t["length"].to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), counts):
+            yield pa.RecordBatch.from_arrays([_lists([x], x.dtype) for x in row], [f.split()[0] for f in _ROW.split(", ")])
 
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            held.append(part)
+            rows += part.num_rows
+            postings += len(part.column(2).flatten())
+            if rows >= GATHER or postings >= GATHER_POSTINGS:
+                yield from flush()
+                held, rows, postings = [], 0, 0
+    if rows:
+        yield from flush()
+
+
+def _search(q: Queries, average: float, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(q.vocabulary):
             return
+        best = Best(len(q.ids), k)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                held.append(part)
-                rows += part.num_rows
-                postings += len(part.column(2).flatten())
-                if rows >= GATHER or postings >= GATHER_POSTINGS:
-                    flush()
-                    held, rows, postings = [], 0, 0
-        if rows:
-            flush()
+            for i in range(b.num_rows):
+                search_shard(shard_of(tuple(b.column(j).slice(i, 1).flatten().to_numpy() for j in range(6)), average, q.vocabulary), q, best)
         row, col = np.nonzero(best.score > 0)
         yield pa.RecordBatch.from_arrays([pa.array(q.ids[row]), pa.array(best.doc[row, col]), pa.array(best.score[row, col])], ["query", "doc", "score"])
 
@@ -334,12 +361,13 @@ def _search(q: Queries, average: float, k: int):
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "doc_id", query_text: str = "text") -> DataFrame:
     """query_id, place, doc_id, score: the k documents of highest BM25 score for each query, exactly.
 
-    1. One pass turns texts into term counts, written to shared storage; the number of documents, their average
-       length and the document frequency of every query term are counted over all documents.
-    2. Queries go to the executors in blocks, bounded in rows and in terms. A block is searched in nested samples of
-       the documents, each SAMPLE times the one before, and at last in all: the k-th best score in one is a lower
-       bound on the k-th best in the next, so a task reports few documents besides the k best of all. Each task builds
-       inverted indexes of its documents, shard after shard, and searches them with block maxima (see search_shard).
+    1. One pass turns texts into term counts. Documents are dealt to shards, alike ones together, and the shards'
+       posting lists are written to shared storage once; the number of documents, their average length and the
+       document frequency of every query term are counted over all of them.
+    2. Queries of equal terms count once. They go to the executors in blocks, bounded in rows and in terms. A block is
+       searched in nested samples of the documents, each SAMPLE times the one before, and at last in all: the k-th best
+       score in one is a lower bound on the k-th best in the next, so a task reports few documents besides the k best
+       of all. Tasks search their shards with block maxima (see search_shard).
     3. The tasks' k best are merged by score; as all scores use the global counts, the merge is exact.
 
     A query is the bag of its text's terms. Texts without terms find and are found by nothing. Scores are rounded to
@@ -347,24 +375,28 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     found as often as they occur; queries that repeat an id count as one, the first by text. Rows with a null id are
     left out; other columns are ignored. Empty tables give an empty result.
     """
-    key = "long"
-    index = materialize(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(key).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_index, "doc long, length long, terms array<long>, counts array<int>"))
+    bag = "doc long, length long, terms array<long>, counts array<int>"
+    index = materialize(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_index, bag))
     n, total = index.agg(F.count("*"), F.sum("length")).first()
     if not n or not total:
         return docs.sparkSession.createDataFrame([], "query_id long, place int, doc_id long, score double")
-    q = queries.where(F.col(query_id).isNotNull()).groupBy(F.col(query_id).cast(key).alias("doc")).agg(F.min(F.col(query_text).cast("string")).alias("text"))
-    asked = materialize(q.mapInArrow(_index, "doc long, length long, terms array<long>, counts array<int>").where("length > 0"))
-    words = asked.select(F.col("doc").alias("query"), F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("query", F.col("t.terms").alias("term"), F.col("t.counts").alias("m"))
-    found = index.select("terms").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    samples, levels = [index], [materialize(index.mapInArrow(_lay_out, _ROW))]
+    while n / SAMPLE ** len(samples) * SAMPLE > FIRST:
+        own = F.pmod(F.xxhash64("doc"), F.lit(SAMPLE ** len(samples))) == 0
+        samples.append(materialize(samples[-1].where(own).repartition(math.ceil(n / SAMPLE ** len(samples) / SHARD))))
+        levels.append(materialize(samples[-1].mapInArrow(_lay_out, _ROW)))
+    release(*samples)
+    q = queries.where(F.col(query_id).isNotNull()).groupBy(F.col(query_id).cast("long").alias("doc")).agg(F.min(F.col(query_text).cast("string")).alias("text"))
+    every = materialize(q.mapInArrow(_index, bag).where("length > 0").withColumn("bag", F.xxhash64("terms", "counts")))
+    asked = materialize(every.groupBy("bag", "terms", "counts").agg(F.min("doc").alias("query")))
+    alike = every.select("bag", "terms", "counts", "doc").join(asked, ["bag", "terms", "counts"]).select("query", F.col("doc").alias("query_id"))
+    words = asked.select("query", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("query", F.col("t.terms").alias("term"), F.col("t.counts").alias("m"))
+    found = levels[0].select("terms", "sizes").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = words.join(found, "term").withColumn("w", F.col("m") * idf).groupBy("query").agg(F.collect_list(F.struct("term", "w")).alias("t"))
     queries_, terms_ = asked.agg(F.count("*"), F.sum(F.size("terms"))).first()
     blocks = max(1, math.ceil(queries_ / QUERIES), math.ceil((terms_ or 0) / QUERY_TERMS))
     ready = materialize(weighed.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))))
-    levels = [index]
-    while n / SAMPLE ** (len(levels) - 1) > FIRST:
-        own = F.pmod(F.xxhash64("doc"), F.lit(SAMPLE ** len(levels))) == 0
-        levels.append(materialize(levels[-1].where(own).repartition(math.ceil(n / SAMPLE ** len(levels) / SHARD))))
     parts, kind = [], "query long, doc long, score double"
     for i in range(blocks):
         block = Queries.of(ready.where(F.col("block") == i).select("query", F.col("t.term").alias("term"), F.col("t.w").alias("w")).orderBy("query").toArrow())
@@ -374,12 +406,12 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             last = _best(seen, k).where(F.col("place") == k).select("query", "score").toArrow()
             block.raise_floors(last["query"].to_numpy(), last["score"].to_numpy())
             release(seen)
-        parts.append(materialize(index.mapInArrow(_search(block, total / n, k), kind)))
-    release(ready, asked, *levels)
-    every = parts[0]
+        parts.append(materialize(levels[0].mapInArrow(_search(block, total / n, k), kind)))
+    release(ready, *levels)
+    merged = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p)
-    return _best(every, k).select(F.col("query").alias("query_id"), "place", F.col("doc").alias("doc_id"), "score")
+        merged = merged.unionByName(p)
+    return _best(merged, k).join(alike, "query").select("query_id", "place", F.col("doc").alias("doc_id"), "score")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

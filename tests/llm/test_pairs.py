@@ -152,7 +152,7 @@ def test_search_prunes():
     sizes, lengths = np.array([len(x) for x in lists]), np.array([len(x) for x in lists], float)
     own = [3, 4, 7, 8]
     q = search.Queries(np.arange(4), sizes[own], np.concatenate([lists[i] for i in own]), np.ones(sizes[own].sum()))
-    made = list(search.shards(np.arange(n), lengths, sizes, np.concatenate(lists), np.ones(sizes.sum(), int), lengths.mean(), q.vocabulary))
+    made = [search.shard_of(r, lengths.mean(), q.vocabulary) for r in search.laid_out(np.arange(n), lengths, sizes, np.concatenate(lists), np.ones(sizes.sum(), int))]
     best, pairs = search.Best(4, 5), 4 * sum(len(s.edges) for s in made)
     first = sum(search.search_shard(s, q, best) for s in made)
     again = sum(search.search_shard(s, q, best) for s in made)
@@ -174,7 +174,7 @@ def test_search_prunes_documents(spark):
     seen = df[np.searchsorted(known, terms)]
     q = search.Queries(ids[own], sizes[own], terms, np.concatenate([got[i][1] for i in own]) * np.log(1 + (len(rows) - seen + 0.5) / (seen + 0.5)))
     best = search.Best(len(own), 10)
-    made = list(search.shards(ids, lengths, sizes, flat, counts, lengths.mean(), q.vocabulary))
+    made = [search.shard_of(r, lengths.mean(), q.vocabulary) for r in search.laid_out(ids, lengths, sizes, flat, counts)]
     for s in made:
         search.search_shard(s, q, best)
     again = sum(search.search_shard(s, q, best) for s in made)
