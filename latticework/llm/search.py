@@ -52,7 +52,7 @@ def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _Hashes()
     for b in batches:
-        for part in slices(b, 1, 1024, 1 << 23):
+        for part in slices(b, 1, 512, 1 << 22):
             got = [terms(t, cache) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int(c.sum()) for _, c in got], pa.int64()), _lists([t for t, _ in got], np.int64), _lists([c for _, c in got], np.int32)], ["doc", "length", "terms", "counts"])
 
@@ -321,7 +321,7 @@ def search_shard(shard: Shard, q: Queries, best: Best) -> int:
 _ROW = "docs array<long>, lengths array<long>, terms array<long>, sizes array<int>, owners array<int>, counts array<int>"
 
 
-def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lay_out(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards of a task's documents, one to a row."""
     held, rows, postings = [], 0, 0
 
@@ -331,15 +331,13 @@ def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in laid_out(t["doc"].to_numpy(), t["length"].to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), counts):
             yield pa.RecordBatch.from_arrays([_lists([x], x.dtype) for x in row], [f.split()[0] for f in _ROW.split(", ")])
 
-    for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
-            held.append(part)
-            rows += part.num_rows
-            postings += len(part.column(2).flatten())
-            if rows >= GATHER or postings >= GATHER_POSTINGS:
-                yield from flush()
-                held, rows, postings = [], 0, 0
+    for part in _index(texts):
+        held.append(part)
+        rows += part.num_rows
+        postings += len(part.column(2).flatten())
+        if rows >= GATHER or postings >= GATHER_POSTINGS:
+            yield from flush()
+            held, rows, postings = [], 0, 0
     if rows:
         yield from flush()
 
@@ -376,15 +374,15 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     left out; other columns are ignored. Empty tables give an empty result.
     """
     bag = "doc long, length long, terms array<long>, counts array<int>"
-    index = materialize(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_index, bag))
-    n, total = index.agg(F.count("*"), F.sum("length")).first()
+    samples = [docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))]
+    levels = [materialize(samples[0].mapInArrow(_lay_out, _ROW))]
+    n, total = levels[0].agg(F.sum(F.size("docs")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     if not n or not total:
         return docs.sparkSession.createDataFrame([], "query_id long, place int, doc_id long, score double")
-    samples, levels = [index], [materialize(index.mapInArrow(_lay_out, _ROW))]
-    while n / SAMPLE ** len(samples) * SAMPLE > FIRST:
+    while n / SAMPLE ** (len(samples) - 1) > FIRST:
         own = F.pmod(F.xxhash64("doc"), F.lit(SAMPLE ** len(samples))) == 0
-        samples.append(materialize(samples[-1].where(own).repartition(math.ceil(n / SAMPLE ** len(samples) / SHARD))))
-        levels.append(materialize(samples[-1].mapInArrow(_lay_out, _ROW)))
+        samples.append(materialize(samples[-1].where(own)))
+        levels.append(materialize(samples[-1].repartition(math.ceil(n / SAMPLE ** (len(samples) - 1) / SHARD)).mapInArrow(_lay_out, _ROW)))
     release(*samples)
     q = queries.where(F.col(query_id).isNotNull()).groupBy(F.col(query_id).cast("long").alias("doc")).agg(F.min(F.col(query_text).cast("string")).alias("text"))
     every = materialize(q.mapInArrow(_index, bag).where("length > 0").withColumn("bag", F.xxhash64("terms", "counts")))
