@@ -24,6 +24,8 @@ QUERIES, QUERY_TERMS = 1 << 15, 2_500_000
 SAMPLE, FIRST = 16, 4096
 #: Terms in at least this share of a shard's documents are scored as dense columns.
 DENSE = 1 / 16
+#: Share of a group's spread along one axis that tells groups of unlike documents.
+APART = 0.15
 #: (term of a query, posting) pairs that are added up at a time.
 MATCHES = 1 << 19
 
@@ -81,7 +83,14 @@ def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def outline(owner: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int, width: int = 64) -> np.ndarray:
-    """Unit vectors of few dimensions that keep rows with common terms together: signed hashing of terms."""
+    """Unit vectors of few dimensions that keep rows with common terms together: signed hashing of the frequent ones.
+
+    Terms in less than one row of 32 are noise here; where no term is that frequent, all count.
+    """
+    wide = np.bincount(place) * 32 >= rows if len(place) else np.empty(0, bool)
+    if wide.any():
+        own = wide[place]
+        owner, place, value = owner[own], place[own], value[own]
     h = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     sign = np.where(h >> np.uint64(63), 1.0, -1.0)
     column = ((h >> np.uint64(20)) % np.uint64(width)).astype(np.int64)
@@ -92,8 +101,8 @@ def outline(owner: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int,
 def bisected(x: np.ndarray, weight: np.ndarray, most: int, heaviest: float) -> list[np.ndarray]:
     """Rows of x in groups of at most `most` rows and, unless it is one row, `heaviest` weight, alike rows together.
 
-    A group that is too large is cut where its principal axis crosses the mean, or, where that cuts off less than a
-    sixteenth of it, in the middle. Rows of a group come in the order of that axis.
+    A group that is too large, or whose principal axis holds more than APART of its spread, is cut where that axis
+    crosses the mean, or, where that cuts off less than a sixteenth of it, in the middle. Rows of a group come in the order of that axis.
     """
     done, open_ = [], [np.arange(len(x))]
     while open_:
@@ -106,9 +115,10 @@ def bisected(x: np.ndarray, weight: np.ndarray, most: int, heaviest: float) -> l
             v = y.T @ (y @ v)
             v /= np.linalg.norm(v) + 1e-12
         along = y @ v
+        mixed = len(own) >= 4 * BLOCK and along @ along > APART * (y * y).sum()
         order = np.argsort(along, kind="stable")
         own, along = own[order], along[order]
-        if len(own) == 1 or len(own) <= most and weight[own].sum() <= heaviest:
+        if len(own) == 1 or len(own) <= most and weight[own].sum() <= heaviest and not mixed:
             done.append(own)
             continue
         cut = int(np.searchsorted(along, 0))
@@ -303,13 +313,14 @@ def search_shard(shard: Shard, q: Queries, best: Best) -> int:
         score += weights.astype(np.float32) @ (shard.fast if whole else shard.fast[at]).T
         # sums of positive numbers: single precision may lower them by this share at most
         less = 1 - 1.3e-7 * (weights.shape[1] + 8)
-        if len(at) > 4 * k:
-            # k-th best of this shard, where many documents are over the floor
-            crowded = (score >= floor * less).sum(1) > 4 * k
-            if crowded.any():
-                edge = np.partition(score[crowded], len(at) - k, axis=1)[:, len(at) - k]
-                floor[crowded, 0] = np.maximum(floor[crowded, 0], edge * less - 1e-8)
-        row, col = np.nonzero((score >= (floor * less).astype(np.float32)) & (score > 0))
+        mask = score >= np.maximum(floor * less, 1e-30).astype(np.float32)
+        # the k-th best of this shard, where many documents are over the floor
+        crowded = np.flatnonzero(mask.sum(1) > 4 * k)
+        if len(crowded):
+            edge = np.partition(score[crowded], len(at) - k, axis=1)[:, len(at) - k]
+            floor[crowded, 0] = np.maximum(floor[crowded, 0], edge * less - 1e-8)
+            mask[crowded] = score[crowded] >= floor[crowded] * np.float32(less)
+        row, col = np.nonzero(mask)
         exact = rare[row, at[col]] + np.einsum("ij,ij->i", weights[row], shard.matrix[at[col]])
         reached = exact >= floor[row, 0]
         row, col, exact = row[reached], col[reached], exact[reached]
