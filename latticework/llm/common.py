@@ -96,29 +96,24 @@ def ranked(df: DataFrame, key: str, out: str) -> DataFrame:
     return parts.withColumn(out, (F.col("_row") - 1 + first).cast("long")).drop("_part", "_row")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """At most per_class training rows of each class (0 and 1), the first by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """At most per_class training rows of each class (0 and 1) as _id, _text, _y, and how many there are of either.
 
-    Rows whose crc32(id) mod 4 is 2 are held out. Documents over max_chars characters are not training
-    examples. Returns {"rows": [(id, text, label)], "counts": {label: rows available}}.
+    Training rows are the documents of docs with a label whose crc32(id) mod 4 is not 2; both numbers count these, each
+    id once. The sample takes the first by a hash of the id. An id with contradicting labels has the larger one; rows
+    that repeat an id count as one, the first by text. Null ids and labels other than 0 and 1 are left out.
     """
     lab = (
-        labels.select(F.col(id_col).alias("_id"), F.col(target).cast("int").alias("_y"))
+        labels.select(F.col(id_col).cast("long").alias("_id"), F.col(target).cast("int").alias("_y"))
         .where(F.col("_y").isin(0, 1) & (remainder("_id", 4) != 2))
         .groupBy("_id").agg(F.max("_y").alias("_y"))
     )
-    counts = {r["_y"]: r["count"] for r in lab.groupBy("_y").count().collect()}
+    known = materialize(docs.select(F.col(id_col).cast("long").alias("_id")).where(remainder("_id", 4) != 2).join(lab, "_id").groupBy("_id").agg(F.max("_y").alias("_y")))
+    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     ids = None
     for y in (0, 1):
-        part = lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    rows = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .where(F.length("_text") <= max_chars)
-        .join(F.broadcast(ids), "_id")
-        .groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(2 * per_class)
-        .collect()
-    )
-    return {"rows": [(r["_id"], r["_text"], r["_y"]) for r in rows], "counts": counts}
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    # the sample has 2 * per_class rows at most
+    return texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")), counts

@@ -18,8 +18,6 @@ from .common import remainder, slices
 SPACE, GRAMS = 1 << 18, (2, 3, 4, 5)
 #: Words of a language's lexicon; words to a training sequence; words to a lane of the parallel scan.
 LEXICON, SEQUENCE, LANE = 200, 64, 128
-#: Longest text that may serve as a training example, in characters; prediction reads whole texts.
-MAX_TRAIN_CHARS = 20_000
 UNKNOWN = "und"
 
 
@@ -238,10 +236,11 @@ class Crf:
 def fit(docs: DataFrame, per_language: int = 150, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
     """Train on at most per_language documents of each language, the first by a hash of the id.
 
-    Rows whose crc32(id) mod 3 is 1, with a null language, or of over MAX_TRAIN_CHARS characters, are not used.
+    Rows whose crc32(id) mod 3 is 1, with a null language, or without a letter, are not used; rows that repeat an id and
+    language count as one. Combining marks and other signs that are no letters are not part of a word.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    fits = rows.where(F.col("_lang").isNotNull() & (remainder("_id", 3) != 1) & (F.length("_text") <= MAX_TRAIN_CHARS) & F.col("_text").rlike("\\p{L}"))
+    fits = rows.where(F.col("_lang").isNotNull() & (remainder("_id", 3) != 1) & F.col("_text").rlike("\\p{L}"))
     first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     chosen = fits.select("_id", "_lang").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).drop("_n")
     got = fits.join(F.broadcast(chosen.distinct()), ["_id", "_lang"]).dropDuplicates(["_id", "_lang"]).select("_lang", "_id", "_text").collect()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, probe
-from .common import materialize, release
+from .common import materialize, release, slices
 from .graph import connected_components
 
 #: 64-bit words of an odd sketch (512 bits).
@@ -113,6 +113,17 @@ def _signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarr
     return keys.view(np.int64), sketch
 
 
+def band_keys(texts: list[str | None], words: int, bands: int, rows: int) -> np.ndarray:
+    """MinHash band keys (texts x bands) over word shingles; a text without words has keys of its own place only."""
+    cache = _WordHashes()
+    sets = [shingle_hashes(t, words, cache)[0] for t in texts]
+    full = [i for i, s in enumerate(sets) if len(s)]
+    keys = np.zeros((len(texts), bands), np.int64)
+    if full:
+        keys[full], _ = _signatures([sets[i] for i in full], bands, rows)
+    return keys
+
+
 def _parity(hashes: np.ndarray) -> np.ndarray:
     """Parity bitmap of a whole set: two bitmaps differ in at most as many bits as their sets in elements."""
     n = 64 * SKETCH_WORDS
@@ -124,8 +135,7 @@ def _sketch_batches(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, 512, 1 << 22):
                 sets, digests = [], []
                 for text in part.column(1).to_pylist():
                     s, d = shingle_hashes(text, words, cache)
@@ -150,8 +160,7 @@ def _set_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, 512, 1 << 22):
                 sets = [shingle_hashes(t, words, cache)[0].view(np.int64) for t in part.column(1).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.empty(0, np.int64)

@@ -2,213 +2,191 @@
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder
+from .common import labelled_sample, remainder, slices
+from .near_dedup import band_keys
+from .search import Best, Queries, Shard, bisected, outline, search_shard, spans
 
-#: Longest text that may serve as a labelled example, in characters; scoring reads whole texts.
-MAX_TRAIN_CHARS = 200_000
 #: Decision level of the score.
 LEVEL = 0.3
-#: Examples to a block of the index.
-BLOCK = 64
+#: Nearest examples that vote; evidence shown of them; folds of the calibration.
+NEIGHBOURS, EVIDENCE, FOLDS = 15, 3, 4
+#: Lengths of the word beginnings that count as terms; MinHash bands and rows that tell near copies among examples.
+BEGINNINGS, BANDS, ROWS = (4, 5, 6, 7), 12, 3
+#: Squared standard errors at which a term counts half, and what a term that tells nothing counts at least.
+HALF, LEAST = 40.0, 0.01
 
-_RUN = re.compile(r"[^\W\d_]+")
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, number of the word) of every word of whole texts, and the distinct words: lower-cased runs of letters."""
+    letters = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\p{L}]+", " ")
+    lists = pc.utf8_split_whitespace(letters)
+    flat = lists.values.dictionary_encode()
+    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    codes = flat.indices.to_numpy() if len(flat) else np.empty(0, np.int64)
+    full = pc.not_equal(flat.dictionary, "").to_numpy(zero_copy_only=False) if len(flat.dictionary) else np.empty(0, bool)
+    keep = full[codes] if len(codes) else np.empty(0, bool)
+    return owner[keep], codes[keep].astype(np.int64), flat.dictionary
 
-def _terms(token: str) -> list[str]:
-    """Terms of a white-space token: its letter runs, and their beginnings marked with a caret."""
-    out = []
-    for run in _RUN.findall(token):
-        out.append(run)
-        out += [f"^{run[:n]}" for n in range(4, 8) if len(run) > n]
-    return out
 
+def beginnings(words: pa.Array) -> list[pa.Array]:
+    """For each length of BEGINNINGS, the marked beginning of every word, null where the word is no longer than that."""
+    long = pc.utf8_length(words)
+    return [pc.if_else(pc.greater(long, n), pc.binary_join_element_wise(pa.scalar("^", pa.large_string()), pc.utf8_slice_codeunits(words, 0, n), pa.scalar("", pa.large_string())), pa.scalar(None, pa.large_string())) for n in BEGINNINGS]
 
-class _Ids(dict):
-    """token -> ids of its terms in the vocabulary; forgets everything when it holds too many tokens."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
+def summed(owner: np.ndarray, term: np.ndarray, count: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) in ascending order, equal pairs added up."""
+    key, back = np.unique(owner * terms + term, return_inverse=True)
+    return key // max(terms, 1), key % max(terms, 1), np.bincount(back, count, len(key))
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > 400_000:
-            self.clear()
-        v, found = self.vocabulary, []
-        for run in (token,) if token.isalpha() else _RUN.findall(token):
-            if run in v:
-                found.append(v[run])
-            if len(run) > 4:
-                for n in range(4, min(8, len(run))):
-                    if (t := "^" + run[:n]) in v:
-                        found.append(v[t])
-        out = self[token] = tuple(found)
-        return out
 
+class Examples:
+    """Labelled rows as counted terms: row, term, count of every pair; terms are places in `vocabulary`."""
 
-def distinct_examples(texts: list[str], bands: int = 12, rows: int = 3) -> list[int]:
-    """Positions of one example of each group of near copies (MinHash bands over three-word shingles).
+    def __init__(self, ids: list[int], labels: list[int], term_lists: pa.Array, count_lists: pa.Array, keys: np.ndarray):
+        """keys: MinHash band keys; of near copies within a class (rows that share a key) only the first stays.
 
-    Without this, words of one copied document look typical of its class.
-    """
-    rng, n = np.random.default_rng(7), bands * rows
-    mul = rng.integers(0, 2**62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    xor = rng.integers(0, 2**63, n, dtype=np.uint64)
-    root, first = list(range(len(texts))), {}
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, text in enumerate(texts):
-        w = (text or "").lower().split()
-        s = np.array([xxhash.xxh3_64_intdigest(" ".join(w[j : j + 3])) for j in range(max(1, len(w) - 2))], np.uint64)
-        low = np.array([((s ^ x) * m).min() for x, m in zip(xor, mul, strict=True)])
-        for b in range(bands):
-            a, c = find(i), find(first.setdefault((b, low[b * rows : (b + 1) * rows].tobytes()), i))
-            root[max(a, c)] = min(a, c)
-    return [i for i in range(len(texts)) if find(i) == i]
-
-
-def distinct_examples_of(texts: list[str], labels: list[int], label: int) -> list[int]:
-    own = [i for i, y in enumerate(labels) if y == label]
-    return [own[i] for i in distinct_examples([texts[i] for i in own])]
-
-
-class Index:
-    """Block-max inverted index over unit TF-IDF vectors of examples; exact top-k by cosine."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i].items(), key=lambda x: (-x[1], x[0])), i))
-        self.example = np.array(order, int)
-        self.n = len(order)
-        self.blocks = max(1, -(-self.n // BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for pos, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists[t].append((pos, w))
-        self.pos = [np.array([p for p, _ in x], int) for x in lists]
-        self.weight = [np.array([w for _, w in x], float) for x in lists]
-        self.top = np.zeros((n_terms, self.blocks))
-        for t in range(n_terms):
-            np.maximum.at(self.top[t], self.pos[t] // BLOCK, self.weight[t])
-
-    def search(self, q: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with positive cosine, ties by position.
-
-        Blocks are opened in waves of falling upper bound (sum over terms of query weight times block
-        maximum) and never once the bound is below the k-th best cosine found.
+        Without this, words of one copied document look typical of its class.
         """
-        if not q or not self.n:
-            return np.empty(0, int), np.empty(0)
-        terms = sorted(q)
-        bound = np.array([q[t] for t in terms]) @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        sims, opened, at, wave = np.zeros(self.n), np.zeros(self.blocks, bool), 0, 4
-        best = 0.0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= best - 1e-12:
-            now = np.zeros(self.blocks, bool)
-            now[[b for b in order[at : at + wave] if bound[b] > 0 and bound[b] >= best - 1e-12]] = True
-            for t in terms:
-                hit = now[self.pos[t] // BLOCK]
-                sims[self.pos[t][hit]] += q[t] * self.weight[t][hit]
-            opened |= now
-            at, wave = at + wave, wave * 4
-            seen = sims.copy()
-            if skip >= 0:
-                seen[self.example == skip] = 0
-            best = float(np.partition(seen, -k)[-k]) if self.n >= k else 0.0
-        if skip >= 0:
-            sims[self.example == skip] = 0
-        hits = np.flatnonzero(sims > 0)
-        hits = hits[np.lexsort((hits, -sims[hits].round(12)))][:k]
-        return self.example[hits], sims[hits]
+        labels = np.array(labels, np.int64)
+        root = np.arange(len(ids))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        first: dict = {}
+        for i, row in enumerate(keys.tolist()):
+            for b, key in enumerate(row):
+                a, c = find(i), find(first.setdefault((labels[i], b, key), i))
+                root[max(a, c)] = min(a, c)
+        kept = np.array([find(i) == i for i in range(len(ids))], bool)
+        sizes = term_lists.value_lengths().to_numpy() if len(ids) else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        own = kept[owner]
+        coded = pc.filter(term_lists.flatten(), pa.array(own)).dictionary_encode()
+        self.vocabulary = coded.dictionary
+        self.term = coded.indices.to_numpy().astype(np.int64)
+        self.count = count_lists.flatten().to_numpy()[own].astype(float)
+        self.owner = (np.cumsum(kept) - 1)[owner[own]]
+        self.ids, self.labels = np.array(ids, np.int64)[kept], labels[kept]
+
+
+def gains(term: np.ndarray, owner: np.ndarray, labels: np.ndarray, terms: int) -> np.ndarray:
+    """Weight of every term: inverse document frequency times how surely the term tells the classes apart.
+
+    The second factor is z^2 / (z^2 + HALF) with z the difference of the term's shares of the two classes in standard
+    errors, at least LEAST: no term is left out, and words that occur in either class alike hardly count.
+    """
+    d = [np.bincount(term[labels[owner] == y], minlength=terms) for y in (0, 1)]
+    n = [max(1, int((labels == y).sum())) for y in (0, 1)]
+    p0, p1 = (d[0] + 0.5) / (n[0] + 1), (d[1] + 0.5) / (n[1] + 1)
+    both = (d[0] + d[1] + 1) / (n[0] + n[1] + 2)
+    z2 = (p1 - p0) ** 2 / (both * (1 - both) * (1 / n[0] + 1 / n[1]))
+    idf = np.log((1 + n[0] + n[1]) / (1 + d[0] + d[1])) + 1
+    return idf * np.maximum(z2 / (z2 + HALF), LEAST)
 
 
 class Voter:
-    """Distance-weighted votes of the nearest examples, calibrated by isotonic regression."""
+    """Distance-weighted votes of the nearest examples, calibrated by isotonic regression on examples left out."""
 
-    def __init__(self, ids: list[int], texts: list[str], labels: list[int], counts: dict[int, int], k: int = 15):
-        one = [i for y in (0, 1) for i in distinct_examples_of(texts, labels, y)]
-        ids, texts, labels = ([x[i] for i in one] for x in (ids, texts, labels))
-        self.k, self.ids, self.labels = k, ids, np.array(labels, int)
-        own = lambda x: {t for w in set((x or "").lower().split()) for t in _terms(w)}
+    def __init__(self, examples: Examples, counts: dict[int, int]):
+        """counts: labelled training documents of each class, sampled or not; an example of a class stands for that many."""
+        self.vocabulary, self.ids, self.labels = examples.vocabulary, examples.ids, examples.labels
         n = [max(1, int((self.labels == y).sum())) for y in (0, 1)]
-        total = max(1, counts.get(0, 0) + counts.get(1, 0))
-        # each example stands for as many labelled rows as its class has for each sampled one
-        self.class_weight = np.array([counts.get(0, 0) / n[0], counts.get(1, 0) / n[1]])
-        # only terms of enough toxic examples are counted in the others, so that little is held at a time
-        least = min(12, max(2, n[1] // 8))
-        toxic = Counter(t for x, y in zip(texts, labels, strict=True) if y == 1 for t in own(x))
-        toxic = {t: d for t, d in toxic.items() if d >= least}
-        clean = Counter(t for x, y in zip(texts, labels, strict=True) if y == 0 for t in own(x) if t in toxic)
-        chosen = []
-        for t, d1 in toxic.items():
-            p1, p0 = d1 / n[1], clean[t] / n[0]
-            z = (p1 - p0) / math.sqrt(p1 * (1 - p1) / n[1] + p0 * (1 - p0) / n[0] + 1 / (n[0] + n[1]) ** 2)
-            if p1 >= 10 * p0 and z > 4:
-                chosen.append((t, d1 + clean[t]))
-        chosen.sort()
-        self.vocabulary = {t: i for i, (t, _) in enumerate(chosen)}
-        self.idf = np.array([math.log((1 + len(texts)) / (1 + d)) + 1 for _, d in chosen])
-        known = _Ids(self.vocabulary)
-        vectors = [self.unit(Counter(i for w in (x or "").lower().split() for i in known[w])) for x in texts]
-        self.index = Index(vectors, len(chosen))
-        weight = self.class_weight[self.labels] if len(labels) else np.empty(0)
-        empty = np.array([not v for v in vectors], bool)
-        base = counts.get(1, 0) / total
-        self.silent = float(((weight * self.labels)[empty].sum() + base) / (weight[empty].sum() + 1)) if len(labels) else 0.0
-        votes = [(self.vote(v, i)[0], self.labels[i], weight[i]) for i, v in enumerate(vectors) if v]
-        self.steps = _isotonic(votes)
-        self.memo: dict = {}
-
-    def unit(self, counts: Counter) -> dict[int, float]:
-        v = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def vote(self, v: dict[int, float], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        who, sims = self.index.search(v, self.k, skip)
-        y = self.labels[who]
-        w = 1 / (1.05 - np.minimum(sims, 1.0))
-        return (float((w * y).sum() / w.sum()) if len(who) else self.silent), who, sims
-
-    def calibrated(self, vote: float) -> float:
-        if not self.steps:
-            return vote
-        xs, ys = zip(*self.steps, strict=True)
-        return float(np.interp(vote, xs, ys))
-
-    def score(self, text: str | None, cache: dict) -> tuple[float, list[int], list[float]]:
-        """Calibrated score, ids of the nearest examples, their cosines."""
-        hits = Counter(i for ids in filter(None, map(cache.__getitem__, (text or "").lower().split())) for i in ids)
-        if not hits:
-            return min(1.0, max(0.0, self.silent)), [], []
-        key = frozenset(hits.items())
-        if key not in self.memo:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            vote, who, sims = self.vote(self.unit(hits))
-            self.memo[key] = (min(1.0, max(0.0, self.calibrated(vote))), [self.ids[i] for i in who[:3]], [float(s) for s in sims[:3]])
-        return self.memo[key]
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
-
-
-def _isotonic(votes: list[tuple[float, int, float]]) -> list[tuple[float, float]]:
+        weight = np.array([counts.get(0, 0) / n[0], counts.get(1, 0) / n[1]])[self.labels] if len(self.labels) else np.empty(0)
+        self.base = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+        votes, fold = np.full(len(self.ids), np.nan), np.arange(len(self.ids)) % FOLDS
+        for f in range(FOLDS):
+            inside = fold[examples.owner] != f
+            self._build(examples, inside, fold != f)
+            own = np.flatnonzero(fold == f)
+            at = np.flatnonzero(~inside)
+            v, who, _ = self.votes((np.cumsum(fold == f) - 1)[examples.owner[at]], examples.term[at], examples.count[at], len(own))
+            votes[own[who[:, 0] >= 0]] = v[who[:, 0] >= 0]
+        heard = ~np.isnan(votes)
+        self.steps = isotonic(list(zip(votes[heard].tolist(), self.labels[heard].tolist(), weight[heard].tolist(), strict=True)))
+        self._build(examples, np.ones(len(examples.term), bool), np.ones(len(self.ids), bool))
+
+    def _build(self, examples: Examples, pairs: np.ndarray, rows: np.ndarray) -> None:
+        """Index the examples in `rows`, whose postings are `pairs`."""
+        terms = len(self.vocabulary)
+        owner, term = examples.owner[pairs], examples.term[pairs]
+        place = np.cumsum(rows) - 1
+        ids, labels = np.flatnonzero(rows), examples.labels[rows]
+        self.gain = gains(term, place[owner], labels, terms)
+        self.gain[np.bincount(term, minlength=terms) == 0] = 0.0
+        value = self.weights(place[owner], term, examples.count[pairs], len(ids))
+        n = np.bincount(place[owner], minlength=len(ids))
+        first = np.cumsum(n) - n
+        self.shards = []
+        groups = bisected(outline(place[owner], term, value, len(ids)), n, 2048, 1 << 20) if len(ids) else []
+        for own in groups:
+            at = spans(first[own], n[own])
+            by = np.argsort(term[at], kind="stable")
+            self.shards.append(Shard(ids[own], np.repeat(np.arange(len(own)), n[own])[by], term[at][by], value[at][by], terms))
+
+    def weights(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
+        """Unit TF-IDF vectors, pair by pair."""
+        w = (1 + np.log(count)) * self.gain[term]
+        norm = np.sqrt(np.bincount(owner, w * w, rows))
+        return w / np.where(norm > 0, norm, 1)[owner]
+
+    def votes(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vote, nearest examples or -1, cosines) of `rows` texts; pairs come in the order of rows."""
+        w = self.weights(owner, term, count, rows)
+        known = w > 0
+        owner, term, w = owner[known], term[known], w[known]
+        n = np.bincount(owner, minlength=rows)
+        q = Queries.placed(np.arange(rows)[n > 0], n[n > 0], term, w)
+        best = Best(len(q.ids), NEIGHBOURS)
+        for shard in self.shards:
+            search_shard(shard, q, best)
+        who, sims = np.full((rows, NEIGHBOURS), -1), np.zeros((rows, NEIGHBOURS))
+        who[q.ids] = np.where(best.score > 0, best.doc, -1)
+        sims[q.ids] = best.score
+        near = np.where(who >= 0, 1 / (1.05 - np.minimum(sims, 1.0)), 0.0)
+        heard = near.sum(1)
+        return np.where(heard > 0, (near * np.append(self.labels, 0)[who]).sum(1) / np.where(heard > 0, heard, 1), np.nan), who, sims
+
+    def terms(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of whole texts for the terms that some example has."""
+        owner, code, words = words_of(texts)
+        if not len(owner) or not len(self.vocabulary):
+            return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+        row, word, count = summed(owner, code, np.ones(len(owner)), len(words))
+        rows, found, counts = [], [], []
+        for spelled in (words, *beginnings(words)):
+            place = pc.fill_null(pc.index_in(spelled, self.vocabulary, skip_nulls=True), -1).to_numpy()[word]
+            hit = place >= 0
+            rows.append(row[hit])
+            found.append(place[hit].astype(np.int64))
+            counts.append(count[hit])
+        return summed(np.concatenate(rows), np.concatenate(found), np.concatenate(counts), len(self.vocabulary))
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
+        """Calibrated scores, ids of the nearest examples, their cosines."""
+        vote, who, sims = self.votes(*self.terms(texts), len(texts))
+        if self.steps:
+            xs, ys = zip(*self.steps, strict=True)
+            vote = np.interp(vote, xs, ys)
+        score = np.clip(np.where(np.isnan(vote), self.base, vote), 0, 1)
+        shown = who[:, :EVIDENCE]
+        ids = [[int(self.ids[i]) for i in row if i >= 0] for row in shown]
+        return score, ids, [[float(s) for s in row[: len(i)]] for row, i in zip(sims, ids, strict=True)]
+
+
+def isotonic(votes: list[tuple[float, int, float]]) -> list[tuple[float, float]]:
     """Pool-adjacent-violators fit of the label on the vote: (vote, probability) in ascending order."""
     pools: list[list[float]] = []
     for x, y, w in sorted(votes):
@@ -219,37 +197,58 @@ def _isotonic(votes: list[tuple[float, int, float]]) -> list[tuple[float, float]
     return [(p[2] / p[0], p[1] / p[0]) for p in pools]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_id, _y, terms, counts, band keys of labelled texts."""
+    for b in batches:
+        for part in slices(b, 1, 512, 1 << 22):
+            owner, code, words = words_of(part.column(1))
+            spelled = pa.concat_arrays([words, *beginnings(words)]) if len(words) else pa.array([], pa.large_string())
+            coded = spelled.dictionary_encode()
+            number = pc.fill_null(coded.indices, -1).to_numpy().reshape(len(BEGINNINGS) + 1, -1)[:, code] if len(words) else np.empty((1, 0), np.int64)
+            who = np.tile(owner, len(number))
+            ok = number.ravel() >= 0
+            row, term, count = summed(who[ok], number.ravel()[ok].astype(np.int64), np.ones(ok.sum()), max(1, len(coded.dictionary)))
+            offsets = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+            named = coded.dictionary.take(pa.array(term)).cast(pa.string())
+            keys = band_keys(part.column(1).to_pylist(), 3, BANDS, ROWS)
+            cuts = pa.array(np.arange(0, (part.num_rows + 1) * BANDS, BANDS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, pa.array(count)), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel()))],
+                ["_id", "_y", "terms", "counts", "keys"],
+            )
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Voter:
     """Index at most per_class labelled training documents of either class (see labelled_sample).
 
-    The vocabulary holds the terms that are clearly commoner in toxic examples (ten times as common,
-    four standard errors apart): the cosine then compares what documents say that is toxic, not topics.
+    Terms are words and their beginnings; all terms of the examples are kept, weighted as in `gains`. Texts are
+    counted on the executors; the driver holds the examples' terms and counts.
     """
-    got = labelled_sample(docs, labels, "toxic", per_class, MAX_TRAIN_CHARS)
-    rows = got["rows"]
-    return Voter([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], got["counts"])
+    rows, counts = labelled_sample(docs, labels, "toxic", per_class)
+    got = rows.mapInArrow(_counted, "_id long, _y int, terms array<string>, counts array<double>, keys array<long>").toArrow().combine_chunks()
+    order = pc.sort_indices(got, [("_id", "ascending")])
+    got = got.take(order).combine_chunks()
+    lists = [got[c].combine_chunks() if got.num_rows else pa.array([], got[c].type) for c in ("terms", "counts", "keys")]
+    keys = lists[2].flatten().to_numpy().reshape(got.num_rows, BANDS)
+    return Voter(Examples(got["_id"].to_pylist(), got["_y"].to_pylist(), lists[0], lists[1], keys), counts)
 
 
 def score(docs: DataFrame, model: Voter, text_col: str = "text") -> DataFrame:
     """docs with toxic_score, evidence_ids, evidence_cosines (up to three nearest examples) appended.
 
-    Documents without any term of the vocabulary, empty and null texts included, get the weighted share
-    of toxic ones among such examples and no evidence. Equal texts get equal scores; clashing columns
-    are replaced. No row moves between partitions.
+    Null and empty texts, and those without a term of any example, get the share of toxic documents among the
+    labelled ones and no evidence. Equally near examples: the smaller id first. Equal texts get equal scores; clashing
+    columns are replaced. No row moves between partitions; long texts are taken in slices of bounded bytes.
     """
     new = ["toxic_score", "evidence_ids", "evidence_cosines"]
     rest = docs.drop(*new)
     at, names = rest.columns.index(text_col), [*rest.columns, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Ids(model.vocabulary)
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                got = [model.score(t, cache) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names
-                )
+            for part in slices(b, at, 1024, 1 << 22):
+                value, ids, sims = model.score(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return rest.mapInArrow(run, f"{schema}, toxic_score double, evidence_ids array<long>, evidence_cosines array<double>")

@@ -40,7 +40,10 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out(spark):
     out = queries.op5_toxicity(spark, SF)
-    assert held_accuracy(out, table(spark, SF, "labels"), "toxic", "predicted") >= 0.93
+    both = out.where("held_out").join(table(spark, SF, "labels").select("doc_id", "toxic"), "doc_id").collect()
+    hit = sum(r["toxic"] == 1 and r["predicted"] == 1 for r in both)
+    assert hit >= 0.75 * sum(r["toxic"] == 1 for r in both) and hit >= 0.9 * sum(r["predicted"] == 1 for r in both)
+    assert out.where("size(evidence_ids) = 0").join(table(spark, SF, "documents").where(F.col("text").rlike("\\p{L}")), "doc_id").count() == 0
     assert out.where("score NOT BETWEEN 0 AND 1 OR score IS NULL").count() == 0
 
 
@@ -61,36 +64,137 @@ def test_models_on_odd_rows(spark):
     assert [got[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und"] * 4 and got[1]["score"] == 0
     assert language_id.languages(docs.limit(0)).count() == 0
     clash = docs.withColumn("lang_pred", F.lit(1)).withColumn("toxic_score", F.lit("x")).withColumn("quality_score", F.lit("x"))
-    assert toxicity.score(clash, toxicity.Voter([], [], [], {})).columns.count("toxic_score") == 1
-    assert quality.score(clash, quality.Ranker([], [], {0: 0, 1: 0})).columns.count("quality_score") == 1
-
-
-def test_index_is_exact():
+    for out, name in (
+        (toxicity.score(clash, toxicity.fit(docs, labels)), "toxic_score"),
+        (quality.score(clash, quality.fit(docs, labels)), "quality_score"),
+        (language_id.identify(clash, language_id.fit(docs)), "lang_pred"),
+    ):
+        assert out.columns.count(name) == 1 and out.count() == len(ODD)
+        twice = out.where("doc_id = 5").select(name).collect()
+        assert twice[0] == twice[1]
+
+
+def counted(rows, beginnings=True):
+    """Terms of texts by a plain loop: words and the beginnings of longer words."""
+    import re
+
+    out = []
+    for t in rows:
+        c = Counter()
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            c[w] += 1
+            for n in toxicity.BEGINNINGS:
+                if len(w) > n:
+                    c["^" + w[:n]] += 1
+        out.append(c)
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    """Cosines, evidence and votes of whole texts against a plain loop over all examples."""
     rng = random.Random(6)
-    vectors = []
-    for _ in range(700):
-        v = {rng.randrange(30): rng.random() + 0.1 for _ in range(rng.randrange(0, 6))}
-        n = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({t: x / n for t, x in v.items()})
-    index = toxicity.Index(vectors, 30)
-    for q in vectors[:80]:
-        want = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9) for v in vectors), key=float)
-        _, sims = index.search(q, 15)
-        assert np.allclose(sims, [-w for w in want[:15] if w < 0], atol=1e-8)
+    words = [f"{a}{b}" for a in ("mora", "lito", "pen", "sudiro", "kal") for b in ("", "n", "ndo", "stera", "x", "qui")]
+    text = lambda bad: " ".join([rng.choice(words) for _ in range(rng.randrange(3, 40))] + ["vilebad"] * bad)
+    labelled = [(i, text(i % 4 == 0 and rng.random() < 0.9), int(i % 4 == 0)) for i in range(240)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id long, toxic int"))
+    train = {i: (t, y) for i, t, y in labelled if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(model.ids.tolist()) <= set(train) and len(model.ids) > 0.9 * len(train)
+    own = counted([train[i][0] for i in model.ids.tolist()])
+    labels = [train[i][1] for i in model.ids.tolist()]
+    n, d = Counter(labels), {y: Counter(t for c, z in zip(own, labels, strict=True) if z == y for t in c) for y in (0, 1)}
+
+    def gain(t):
+        if not d[0][t] + d[1][t]:
+            return 0.0
+        p0, p1, both = (d[0][t] + 0.5) / (n[0] + 1), (d[1][t] + 0.5) / (n[1] + 1), (d[0][t] + d[1][t] + 1) / (n[0] + n[1] + 2)
+        z2 = (p1 - p0) ** 2 / (both * (1 - both) * (1 / n[0] + 1 / n[1]))
+        return (np.log((1 + n[0] + n[1]) / (1 + d[0][t] + d[1][t])) + 1) * max(z2 / (z2 + toxicity.HALF), toxicity.LEAST)
+
+    def unit(c):
+        v = {t: (1 + np.log(k)) * gain(t) for t, k in c.items() if gain(t)}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [unit(c) for c in own]
+    asked = [t for _, t, _ in labelled[:60]] + ["", None, "zzz 12 !!", "VILEBAD vilebad"]
+    found = dict(zip(asked, zip(*model.score(pa.array(asked)), strict=True), strict=True))
+    for t, c in zip(asked, counted(asked), strict=True):
+        q = unit(c)
+        sims = sorted(((round(sum(x * v.get(w, 0) for w, x in q.items()), 9), -j) for j, v in enumerate(vectors)), reverse=True)
+        near = [(x, -j) for x, j in sims if x > 0][: toxicity.NEIGHBOURS]
+        score, ids, cosines = found[t]
+        assert np.allclose(cosines, [x for x, _ in near[: toxicity.EVIDENCE]], atol=1e-8)
+        if not near:
+            assert score == model.base and not ids
+            continue
+        weight = [1 / (1.05 - min(x, 1.0)) for x, _ in near]
+        vote = sum(w * labels[j] for w, (_, j) in zip(weight, near, strict=True)) / sum(weight)
+        xs, ys = zip(*model.steps, strict=True)
+        assert abs(score - np.clip(np.interp(vote, xs, ys), 0, 1)) < 1e-6
+    assert found["VILEBAD vilebad"][0] >= toxicity.LEVEL > found[asked[1]][0]
+
+
+def test_labelled_sample(spark):
+    """Numbers count documents that are there; contradicting labels, repeated ids, null ids and odd labels."""
+    from latticework.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(40)] + [(1, "again"), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (6, None), (8, 7), (None, 1)], "doc_id long, toxic int")
+    ok = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = {i: 1 if i == 4 else i % 2 for i in ok}
+    rows, counts = labelled_sample(docs, labels, "toxic", 100)
+    assert {r["_id"]: r["_y"] for r in rows.collect()} == want and counts == Counter(want.values())
+    assert {r["_id"]: r["_text"] for r in rows.collect()}.get(1, "again") == "again"
+    some, again = labelled_sample(docs, labels, "toxic", 5)
+    assert Counter(r["_y"] for r in some.collect()) == {0: 5, 1: 5} and again == counts
+    assert labelled_sample(docs.limit(0), labels, "toxic", 5)[0].count() == 0
 
 
 def test_isotonic():
-    steps = toxicity._isotonic([(0.1, 0, 1.0), (0.2, 1, 1.0), (0.3, 0, 1.0), (0.9, 1, 1.0)])
+    steps = toxicity.isotonic([(0.1, 0, 1.0), (0.2, 1, 1.0), (0.3, 0, 1.0), (0.9, 1, 1.0)])
     assert [round(y, 3) for _, y in steps] == [0.0, 0.5, 1.0]
 
 
 def test_bradley_terry_orders_pairs():
     good, bad = ["The cat sat on the mat and looked at the dog."] * 20, ["BUY!! NOW!! $$$ ### @@@"] * 20
-    m = quality.Ranker(good + bad, [1] * 20 + [0] * 20, {0: 20, 1: 20})
-    s = m.scores(["A dog looked at the cat on the mat.", "CHEAP!! $$$ BUY!! ###"])
+    m = quality.Ranker(quality.features(pa.array(good + bad)), [1] * 20 + [0] * 20, {0: 20, 1: 20})
+    s = m.scores(pa.array(["A dog looked at the cat on the mat.", "CHEAP!! $$$ BUY!! ###"]))
     assert s[0] >= quality.LEVEL > s[1]
 
 
+def test_quality_features_against_plain_loop():
+    texts = ["The cat sat. The cat ran!\nThe cat sat. The cat ran!\n\n x|y 12", "a a a", "É é 日本", " \n ", "", None, "word " * 5000]
+    x = quality.features(pa.array(texts))
+    for t, row in zip(texts, x, strict=True):
+        w, raw = (t or "").split(), (t or "").encode()
+        if not raw:
+            assert not row.any()
+            continue
+        lines = [y.strip() for y in t.split("\n") if y.strip()]
+        assert np.isclose(row[9], sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(1, len(w) - 1), atol=1e-6)
+        assert np.isclose(row[10], 1 - len(set(w)) / len(w) if w else 0, atol=1e-6)
+        assert np.isclose(row[14], 1 - len(set(zip(w, w[1:], strict=False))) / (len(w) - 1) if len(w) > 1 else 0, atol=1e-6)
+        assert np.isclose(row[16], 1 - len(set(lines)) / len(lines) if lines else 0, atol=1e-6)
+        assert np.isclose(row[7], sum(b > 127 for b in raw) / len(raw), atol=1e-6)
+        assert np.isclose((row[quality.SURFACE : quality.SURFACE + quality.BUCKETS] ** 2).sum(), 1 if w else 0, atol=1e-3)
+        assert np.isclose((row[quality.SURFACE + quality.BUCKETS :] ** 2).sum(), max(0, len(raw) - 2) / len(raw), atol=1e-3)
+    alone = np.concatenate([quality.features(pa.array([t], pa.string())) for t in texts])
+    assert np.allclose(x, alone)
+
+
+def test_quality_threshold_is_a_quantile():
+    """Ties, and the share of label 0 that the level cuts off."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30)) + ("." if y else "!!!") for y in [1] * 60 + [0] * 20]
+    m = quality.Ranker(quality.features(pa.array(texts)), [1] * 60 + [0] * 20, {0: 300, 1: 900})
+    s = m.scores(pa.array(texts + texts[:5]))
+    assert (s[:80] < quality.LEVEL).sum() == 20 and (s[60:80] < quality.LEVEL).all()
+    assert (s[80:] == s[:5]).all()
+    z = (quality.features(pa.array(texts)) - m.mean) / m.std @ m.w
+    assert (z[:60, None] > z[None, 60:]).mean() == 1  # the preferred one of every pair is ahead
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     m = language_id.Crf(["a", "b", "c"], [frozenset()] * 3)
@@ -238,10 +342,10 @@ def brute_stage(name, docs, texts, labels):
     """Ids that a stage keeps, by a plain loop over the texts; None where the stage draws."""
     if name == "quality":
         model = quality.fit(docs, labels)
-        return {i for i, t in texts.items() if model.scores([t])[0] >= quality.LEVEL}
+        return {i for i, t in texts.items() if model.scores(pa.array([t], pa.string()))[0] >= quality.LEVEL}
     if name == "toxicity":
         model = toxicity.fit(docs, labels)
-        return {i for i, t in texts.items() if model.score(t, toxicity._Ids(model.vocabulary))[0] < toxicity.LEVEL}
+        return {i for i, t in texts.items() if model.score(pa.array([t], pa.string()))[0][0] < toxicity.LEVEL}
     if name == "near_duplicates":
         _, comp = brute_near(texts, 80)
         return {i for i in texts if comp[i] == i}
