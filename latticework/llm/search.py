@@ -17,7 +17,7 @@ K1, B = 1.2, 0.75
 #: Documents to a shard and postings of one; documents to a block of it; queries to a batch.
 SHARD, SHARD_POSTINGS, BLOCK, BATCH = 2048, 1 << 19, 64, 256
 #: Documents and postings that are cut into shards together.
-GATHER, GATHER_POSTINGS = 4096, 1 << 20
+GATHER, GATHER_POSTINGS = 8192, 1 << 21
 #: Queries and terms of queries to a block that is sent to the executors.
 QUERIES, QUERY_TERMS = 1 << 15, 2_500_000
 #: Nested samples hold one document in SAMPLE, SAMPLE ** 2, ...; the smallest has at most FIRST documents.
@@ -200,11 +200,9 @@ class Shard:
         self.owner, self.impact = owner[~dense].astype(np.int32), impact[~dense]
         self.start = np.concatenate(([0], np.cumsum(np.where(self.column >= 0, 0, n_docs)))).astype(np.int32)
 
-    def rare(self, q: Queries, batch: np.ndarray) -> np.ndarray:
-        """Scores of the batch's queries by terms with posting lists."""
-        n = q.first[batch + 1] - q.first[batch]
-        at = spans(q.first[batch], n)
-        t, row = q.terms[at], np.repeat(np.arange(len(batch)), n)
+    def rare(self, q: Queries, batch: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Scores of the batch's queries by terms with posting lists; at, row: its terms and the query of each."""
+        t = q.terms[at]
         m = self.start[t + 1] - self.start[t]
         hit = np.flatnonzero(m)
         at, t, row, m = at[hit], t[hit], row[hit], m[hit]
@@ -221,12 +219,12 @@ class Shard:
             s = e
         return out
 
-    def common_weights(self, q: Queries, batch: np.ndarray) -> np.ndarray:
-        n = q.first[batch + 1] - q.first[batch]
-        at = spans(q.first[batch], n)
-        c, row = self.column[q.terms[at]], np.repeat(np.arange(len(batch)), n)
+    def common_weights(self, q: Queries, batch: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Weights of the batch's queries for the terms with columns."""
+        c = self.column[q.terms[at]]
+        hit = np.flatnonzero(c >= 0)
         out = np.zeros((len(batch), self.matrix.shape[1]))
-        out[row[c >= 0], c[c >= 0]] = q.weights[at][c >= 0]
+        out.ravel()[row[hit] * self.matrix.shape[1] + c[hit]] = q.weights[at[hit]]
         return out
 
 
@@ -299,7 +297,9 @@ def search_shard(shard: Shard, q: Queries, best: Best) -> int:
     asked = np.flatnonzero((reach >= floors) & (reach > 0))
     for i in range(0, len(asked), BATCH):
         own = asked[i : i + BATCH]
-        rare, weights, floor = shard.rare(q, own), shard.common_weights(q, own), floors[own][:, None]
+        n = q.first[own + 1] - q.first[own]
+        at, row = spans(q.first[own], n), np.repeat(np.arange(len(own)), n)
+        rare, weights, floor = shard.rare(q, own, at, row), shard.common_weights(q, own, at, row), floors[own][:, None]
         bound = weights @ shard.top.T + np.maximum.reduceat(rare, shard.edges, axis=1)
         wanted = (bound >= floor) & (bound > 0)
         opened += int(wanted.sum())
