@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,21 +121,34 @@ class Voter:
 
     def _build(self, examples: Examples, pairs: np.ndarray, rows: np.ndarray) -> None:
         """Index the examples in `rows`, whose postings are `pairs`."""
-        terms = len(self.vocabulary)
-        owner, term = examples.owner[pairs], examples.term[pairs]
         place = np.cumsum(rows) - 1
-        ids, labels = np.flatnonzero(rows), examples.labels[rows]
-        self.gain = gains(term, place[owner], labels, terms)
-        self.gain[np.bincount(term, minlength=terms) == 0] = 0.0
-        value = self.weights(place[owner], term, examples.count[pairs], len(ids))
-        n = np.bincount(place[owner], minlength=len(ids))
-        first = np.cumsum(n) - n
-        self.shards = []
-        groups = bisected(outline(place[owner], term, value, len(ids)), n, 2048, 1 << 20) if len(ids) else []
+        self.rows = np.flatnonzero(rows)
+        self.owner, self.term, self.count = place[examples.owner[pairs]], examples.term[pairs], examples.count[pairs]
+        terms = len(self.vocabulary)
+        self.gain = gains(self.term, self.owner, examples.labels[rows], terms)
+        self.gain[np.bincount(self.term, minlength=terms) == 0] = 0.0
+        self._shards()
+
+    def _shards(self) -> None:
+        value, n = self.weights(self.owner, self.term, self.count, len(self.rows)), np.bincount(self.owner, minlength=len(self.rows))
+        first, self.shards = np.cumsum(n) - n, []
+        groups = bisected(outline(self.owner, self.term, value, len(self.rows)), n, 2048, 1 << 20) if len(self.rows) else []
         for own in groups:
             at = spans(first[own], n[own])
-            by = np.argsort(term[at], kind="stable")
-            self.shards.append(Shard(ids[own], np.repeat(np.arange(len(own)), n[own])[by], term[at][by], value[at][by], terms))
+            by = np.argsort(self.term[at], kind="stable")
+            self.shards.append(Shard(self.rows[own], np.repeat(np.arange(len(own)), n[own])[by], self.term[at][by], value[at][by], len(self.vocabulary)))
+
+    def __getstate__(self) -> bytes:
+        """Postings travel compactly; the executors build the index of them."""
+        kept = {k: v for k, v in self.__dict__.items() if k != "shards"}
+        kept |= {"owner": self.owner.astype(np.int32), "term": self.term.astype(np.int32), "count": self.count.astype(np.float32)}
+        raw = pickle.dumps(kept, protocol=5)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+    def __setstate__(self, state: bytes) -> None:
+        kept = pickle.loads(pa.decompress(state[8:], int.from_bytes(state[:8], "little"), codec="zstd", asbytes=True))
+        self.__dict__.update(kept | {"owner": kept["owner"].astype(np.int64), "term": kept["term"].astype(np.int64), "count": kept["count"].astype(float)})
+        self._shards()
 
     def weights(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
         """Unit TF-IDF vectors, pair by pair."""
@@ -227,10 +241,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Voter:
     rows, counts = labelled_sample(docs, labels, "toxic", per_class)
     got = rows.mapInArrow(_counted, "_id long, _y int, terms array<string>, counts array<double>, keys array<long>").toArrow().combine_chunks()
     order = pc.sort_indices(got, [("_id", "ascending")])
-    got = got.take(order).combine_chunks()
+    got = got.take(order)
     lists = [got[c].combine_chunks() if got.num_rows else pa.array([], got[c].type) for c in ("terms", "counts", "keys")]
     keys = lists[2].flatten().to_numpy().reshape(got.num_rows, BANDS)
-    return Voter(Examples(got["_id"].to_pylist(), got["_y"].to_pylist(), lists[0], lists[1], keys), counts)
+    examples = Examples(got["_id"].to_pylist(), got["_y"].to_pylist(), lists[0], lists[1], keys)
+    del got, lists, keys
+    return Voter(examples, counts)
 
 
 def score(docs: DataFrame, model: Voter, text_col: str = "text") -> DataFrame:
