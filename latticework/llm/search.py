@@ -98,10 +98,10 @@ def outline(owner: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int,
     return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-12)
 
 
-def bisected(x: np.ndarray, weight: np.ndarray, most: int, heaviest: float) -> list[np.ndarray]:
+def bisected(x: np.ndarray, weight: np.ndarray, most: int, heaviest: float, apart: float = APART) -> list[np.ndarray]:
     """Rows of x in groups of at most `most` rows and, unless it is one row, `heaviest` weight, alike rows together.
 
-    A group that is too large, or whose principal axis holds more than APART of its spread, is cut where that axis
+    A group that is too large, or whose principal axis holds more than `apart` of its spread, is cut where that axis
     crosses the mean, or, where that cuts off less than a sixteenth of it, in the middle. Rows of a group come in the order of that axis.
     """
     done, open_ = [], [np.arange(len(x))]
@@ -115,7 +115,7 @@ def bisected(x: np.ndarray, weight: np.ndarray, most: int, heaviest: float) -> l
             v = y.T @ (y @ v)
             v /= np.linalg.norm(v) + 1e-12
         along = y @ v
-        mixed = len(own) >= 4 * BLOCK and along @ along > APART * (y * y).sum()
+        mixed = len(own) >= 4 * BLOCK and along @ along > apart * (y * y).sum()
         order = np.argsort(along, kind="stable")
         own, along = own[order], along[order]
         if len(own) == 1 or len(own) <= most and weight[own].sum() <= heaviest and not mixed:

@@ -20,7 +20,7 @@ LEVEL = 0.3
 #: Nearest examples that vote; evidence shown of them; folds of the calibration.
 NEIGHBOURS, EVIDENCE, FOLDS = 15, 3, 4
 #: Lengths of the word beginnings that count as terms; MinHash bands and rows that tell near copies among examples.
-BEGINNINGS, BANDS, ROWS = (4, 5, 6, 7), 12, 3
+BEGINNINGS, BANDS, ROWS = (4, 6), 12, 3
 #: Squared standard errors at which a term counts half, and what a term that tells nothing counts at least.
 HALF, LEAST = 40.0, 0.01
 
@@ -77,9 +77,9 @@ class Examples:
         own = kept[owner]
         coded = pc.filter(term_lists.flatten(), pa.array(own)).dictionary_encode()
         self.vocabulary = coded.dictionary
-        self.term = coded.indices.to_numpy().astype(np.int64)
-        self.count = count_lists.flatten().to_numpy()[own].astype(float)
-        self.owner = (np.cumsum(kept) - 1)[owner[own]]
+        self.term = coded.indices.to_numpy().astype(np.int32)
+        self.count = count_lists.flatten().to_numpy()[own].astype(np.float32)
+        self.owner = (np.cumsum(kept) - 1)[owner[own]].astype(np.int32)
         self.ids, self.labels = np.array(ids, np.int64)[kept], labels[kept]
 
 
@@ -121,7 +121,7 @@ class Voter:
 
     def _build(self, examples: Examples, pairs: np.ndarray, rows: np.ndarray) -> None:
         """Index the examples in `rows`, whose postings are `pairs`."""
-        place = np.cumsum(rows) - 1
+        self.shards, place = [], (np.cumsum(rows) - 1).astype(np.int32)
         self.rows = np.flatnonzero(rows)
         self.owner, self.term, self.count = place[examples.owner[pairs]], examples.term[pairs], examples.count[pairs]
         terms = len(self.vocabulary)
@@ -132,7 +132,7 @@ class Voter:
     def _shards(self) -> None:
         value, n = self.weights(self.owner, self.term, self.count, len(self.rows)), np.bincount(self.owner, minlength=len(self.rows))
         first, self.shards = np.cumsum(n) - n, []
-        groups = bisected(outline(self.owner, self.term, value, len(self.rows)), n, 2048, 1 << 20) if len(self.rows) else []
+        groups = bisected(outline(self.owner, self.term, value, len(self.rows)), n, 2048, 1 << 20, np.inf) if len(self.rows) else []
         for own in groups:
             at = spans(first[own], n[own])
             by = np.argsort(self.term[at], kind="stable")
@@ -147,12 +147,12 @@ class Voter:
 
     def __setstate__(self, state: bytes) -> None:
         kept = pickle.loads(pa.decompress(state[8:], int.from_bytes(state[:8], "little"), codec="zstd", asbytes=True))
-        self.__dict__.update(kept | {"owner": kept["owner"].astype(np.int64), "term": kept["term"].astype(np.int64), "count": kept["count"].astype(float)})
+        self.__dict__.update(kept)
         self._shards()
 
     def weights(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
         """Unit TF-IDF vectors, pair by pair."""
-        w = (1 + np.log(count)) * self.gain[term]
+        w = (1 + np.log(count.astype(float))) * self.gain[term]
         norm = np.sqrt(np.bincount(owner, w * w, rows))
         return w / np.where(norm > 0, norm, 1)[owner]
 
@@ -227,7 +227,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(part.column(1).to_pylist(), 3, BANDS, ROWS)
             cuts = pa.array(np.arange(0, (part.num_rows + 1) * BANDS, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, pa.array(count)), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel()))],
+                [part.column(0), part.column(2), pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel()))],
                 ["_id", "_y", "terms", "counts", "keys"],
             )
 
@@ -239,13 +239,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Voter:
     counted on the executors; the driver holds the examples' terms and counts.
     """
     rows, counts = labelled_sample(docs, labels, "toxic", per_class)
-    got = rows.mapInArrow(_counted, "_id long, _y int, terms array<string>, counts array<double>, keys array<long>").toArrow().combine_chunks()
-    order = pc.sort_indices(got, [("_id", "ascending")])
-    got = got.take(order)
+    got = rows.mapInArrow(_counted, "_id long, _y int, terms array<string>, counts array<int>, keys array<long>").orderBy("_id").toArrow()
     lists = [got[c].combine_chunks() if got.num_rows else pa.array([], got[c].type) for c in ("terms", "counts", "keys")]
     keys = lists[2].flatten().to_numpy().reshape(got.num_rows, BANDS)
     examples = Examples(got["_id"].to_pylist(), got["_y"].to_pylist(), lists[0], lists[1], keys)
     del got, lists, keys
+    pa.default_memory_pool().release_unused()
     return Voter(examples, counts)
 
 
