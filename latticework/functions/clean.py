@@ -11,6 +11,21 @@ from pyspark.sql import functions as F
 NA_HISTORIC = ("", "na", "n/a", "nan", "null", "-")
 NA_SPREADSHEET = ("", "n/a", "na", "-", "--")
 
+NA_COMBINED = ("", "n/a")
+
+# States by postal code.
+STATES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado",
+    "CT": "Connecticut", "DE": "Delaware", "DC": "District of Columbia", "FL": "Florida", "GA": "Georgia",
+    "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky",
+    "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota",
+    "MS": "Mississippi", "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire",
+    "NJ": "New Jersey", "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota",
+    "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island",
+    "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont",
+    "VA": "Virginia", "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming",
+}
+
 NUMBER = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -74,8 +89,8 @@ def compact_number(c: Column) -> Column:
 
 
 def percent_points(c: Column, decimals: int = 1) -> Column:
-    """Fraction as percentage points."""
-    return F.round(c * 100, decimals)
+    """Fraction as percentage points, halves to even."""
+    return F.bround(c * 100, decimals)
 
 
 def complement(c: Column) -> Column:
@@ -194,3 +209,43 @@ def composite_price(reported: Column, public: Column, private: Column) -> Column
 def both_sum(a: Column, b: Column, decimals: int = 6) -> Column:
     """Sum of two parts, null unless both are known."""
     return F.round(a + b, decimals)
+
+
+def contains_na(c: Column) -> Column:
+    """Whether a cell is missing or has the word N/A anywhere in it."""
+    return c.isNull() | (F.trim(c) == "") | F.upper(c).contains("N/A")
+
+
+def state_name(c: Column) -> Column:
+    """Name of a state by its code; other text as it is."""
+    return code_label(F.upper(F.trim(c)), STATES, c)
+
+
+def state_code(c: Column) -> Column:
+    """Code of a state by its name; other text as it is."""
+    return code_label(F.lower(F.trim(c)), {v.lower(): k for k, v in STATES.items()}, c)
+
+
+def is_entity_id(c: Column) -> Column:
+    """Whether an id is digits only."""
+    return F.coalesce(c.cast("string").rlike("^[0-9]+$"), F.lit(False))
+
+
+def cohort_year(edition: Column, shift: int = 2) -> Column:
+    """Year of the cohort that an edition reports; the edition stays in a column of its own."""
+    return edition.cast("int") - shift
+
+
+def coordinate(c: Column) -> Column:
+    """Latitude or longitude of a text cell; blanks and other text are null."""
+    return blank_to_null(c.cast("string")).try_cast("double")
+
+
+def name_or(c: Column, placeholder: str = "(Unnamed)") -> Column:
+    """The name, or a placeholder where it is blank."""
+    return F.coalesce(blank_to_null(c.cast("string")), F.lit(placeholder))
+
+
+def nested_metric(metrics: Column, name: str) -> Column:
+    """A metric of a map by name, null if it is absent."""
+    return F.try_element_at(metrics, F.lit(name))

@@ -191,3 +191,60 @@ def newest_year(df: DataFrame, year: str = "year") -> int | None:
 def grants(df: DataFrame, amount: str, percent: str) -> DataFrame:
     """Two facts of an aid file: rows without both go, a fraction of at least zero becomes a percentage of one decimal."""
     return df.where(F.col(amount).isNotNull() | F.col(percent).isNotNull()).withColumn(percent, F.when(F.col(percent) >= 0, F.round(F.col(percent) * 100, 1)))
+
+
+def through_crosswalk(source: DataFrame, crosswalk: DataFrame, master: DataFrame, name: str, entity: str, also: Sequence[str] = ()) -> DataFrame:
+    """Rows of a source by name, through a crosswalk of names to entities, to the master's rows; both must match.
+
+    also: further columns, such as the year, on which source and master meet.
+    """
+    return source.join(crosswalk.select(name, entity), name).join(master, [entity, *also])
+
+
+def with_fallbacks(base: DataFrame, sides: Sequence[tuple[str, DataFrame]], key: str, fields: dict[str, Sequence[str]]) -> DataFrame:
+    """base with each field from the first of its sources that knows it; sources are "base" or names of the sides."""
+    out = base.select(key, *[F.col(c).alias(f"base__{c}") for c in base.columns if c != key])
+    for name, side in sides:
+        out = out.join(side.select(key, *[F.col(c).alias(f"{name}__{c}") for c in side.columns if c != key]), key, "left")
+    known = lambda f, order: F.coalesce(*[F.nullif(F.trim(F.col(f"{s}__{f}").cast("string")), F.lit("")) for s in order])
+    return out.select(key, *[known(f, order).alias(f) for f, order in fields.items()])
+
+
+def with_cost(index: DataFrame, cost: DataFrame, key: str, value: str, absent: str = "NA") -> DataFrame:
+    """Index rows with their cost as text, or the mark of absence."""
+    return index.join(cost.select(key, F.col(value).cast("string").alias(value)), key, "left").withColumn(value, F.coalesce(value, F.lit(absent)))
+
+
+def by_vendor_id(rows: DataFrame, crosswalk: DataFrame, vendor: str, entity: str) -> DataFrame:
+    """Rows with the entity of their vendor id, null where it is unknown; a vendor id names one entity."""
+    return rows.join(crosswalk.groupBy(vendor).agg(F.min(entity).alias(entity)), vendor, "left")
+
+
+def roster(flags: DataFrame, directory: DataFrame, key: str, flag: Column) -> DataFrame:
+    """Flagged entities with the directory's columns, by id."""
+    return flags.where(flag).select(key).distinct().join(directory, key, "left").orderBy(key)
+
+
+def lookup(df: DataFrame, **at) -> DataFrame:
+    """Rows at a point, such as an entity and a year."""
+    for c, v in at.items():
+        df = df.where(F.col(c) == v)
+    return df
+
+
+def non_negative_series(df: DataFrame, series: Sequence[str], variable: str = "variable", value: str = "value") -> DataFrame:
+    """Rows without the negative values of the listed series; other series keep theirs."""
+    return df.where(~F.col(variable).isin(*series) | (F.col(value) >= 0))
+
+
+def within_coverage(df: DataFrame, covered: dict[str, tuple[int, int]], variable: str = "variable", year: str = "year") -> DataFrame:
+    """Rows of the years that their series covers; a series without entry has no bounds."""
+    keep = F.lit(True)
+    for name, (low, high) in covered.items():
+        keep = keep & ((F.col(variable) != name) | F.col(year).between(low, high))
+    return df.where(keep)
+
+
+def method_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows by method, confidence or flag."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"))

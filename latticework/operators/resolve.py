@@ -35,11 +35,19 @@ def first_name_index(names: DataFrame, key: str, entity: str, priority: str, ord
 
 
 def exact_match(queries: DataFrame, directory: DataFrame, keys: Sequence[str], entity: str, city: str | None = None, directory_city: str = "city") -> DataFrame:
-    """queries with entity and method: one hit on the keys, else one hit that is also in the query's city, else ambiguous."""
-    d = directory.select(*keys, F.col(entity).alias("_e"), *([F.lower(F.trim(F.col(directory_city))).alias("_c")] if city else [])).distinct()
-    hits = queries.join(d, list(keys), "left")
-    here = F.when(F.lower(F.trim(F.col(city))) == F.col("_c"), F.col("_e")) if city else F.lit(None).cast(d.schema["_e"].dataType)
-    got = hits.groupBy(*queries.columns).agg(F.count_distinct("_e").alias("_n"), F.min("_e").alias("_one"), F.count_distinct(here).alias("_m"), F.min(here).alias("_near"))
+    """queries with entity and method: one hit on the keys, else one hit that is also in the query's city, else ambiguous.
+
+    The directory is summed up by key, and by key and city, before it meets the queries: every query row stays, equal
+    ones too, and none is shuffled more than by its key.
+    """
+    d = directory.select(*keys, F.col(entity).alias("_e"), F.lower(F.trim(F.col(directory_city))).alias("_c") if city else F.lit(None).cast("string").alias("_c"))
+    one = d.groupBy(*keys).agg(F.count_distinct("_e").alias("_n"), F.min("_e").alias("_one"))
+    got = queries.join(one, list(keys), "left")
+    if city:
+        near = d.where("_c IS NOT NULL").groupBy(*keys, "_c").agg(F.count_distinct("_e").alias("_m"), F.min("_e").alias("_near"))
+        got = got.withColumn("_c", F.lower(F.trim(F.col(city)))).join(near, [*keys, "_c"], "left")
+    else:
+        got = got.withColumn("_m", F.lit(0)).withColumn("_near", F.col("_one"))
     entity_c = F.when(F.col("_n") == 1, F.col("_one")).when(F.col("_m") == 1, F.col("_near"))
     method = F.when(F.col("_n") == 1, "exact").when(F.col("_m") == 1, "exact_city").when(F.col("_n") > 1, "ambiguous_exact")
     return got.select(*queries.columns, entity_c.alias(entity), method.alias("method"))
@@ -65,12 +73,11 @@ def shared_words(queries: DataFrame, directory: DataFrame, query_key: str, entit
     return pairs.groupBy(query_key, entity, "n_query", "n_entity").agg(F.count("*").alias("n_shared"))
 
 
-def block_candidates(queries: DataFrame, directory: DataFrame, block: str, query_key: str, entity: str) -> DataFrame:
-    """Pairs within a block; queries without one meet the whole directory, which must be small for that."""
+def block_candidates(queries: DataFrame, directory: DataFrame, block: str, query_key: str, entity: str, words: str = "words") -> DataFrame:
+    """Pairs (query_key, entity) within a block; queries without one meet all entities that share a word with them."""
     d = directory.select(F.col(block).alias("_b"), entity)
     some = queries.where(F.col(block).isNotNull()).join(d, F.col(block) == F.col("_b")).select(query_key, entity)
-    rest = queries.where(F.col(block).isNull()).select(query_key, F.explode(F.array(F.lit(0))).alias("_x")).join(directory.select(entity, F.lit(0).alias("_x")), "_x").select(query_key, entity)
-    return some.unionByName(rest)
+    return some.unionByName(word_candidates(queries.where(F.col(block).isNull()), directory, query_key, entity, words)).distinct()
 
 
 def blended_score(ratio: Column, recall: Column, same_city: Column, n_missing: Column) -> Column:
@@ -84,12 +91,16 @@ def fuzzy_candidates(queries: DataFrame, directory: DataFrame, query_key: str, e
     """query_key, entity, score, ratio, recall, same_city, n_missing of all pairs in a block.
 
     queries: name, city; directory: name, aliases (array), city. Both spellings of a system name are tried against
-    every alias; the pair of spelling and alias with the best recall, then fewest missing words, counts.
+    every alias; the pair of spelling and alias with the best recall, then fewest missing words, counts. Queries
+    without a block meet the names they share a core word with, whatever their block.
     """
     q = queries.select(query_key, block, F.lower(F.trim("city")).alias("q_city"), F.explode(F.array_distinct(F.array(*[F.struct(N.listing_form(F.col("name"), x).alias("form"), F.split(N.listing_core(F.col("name"), x), " ").alias("words")) for x in (True, False)]))).alias("_q"))
     names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
     d = directory.select(entity, F.col(block).alias("_b"), F.lower(F.trim("city")).alias("d_city"), F.explode(names).alias("n")).select(entity, "_b", "d_city", N.listing_form(F.col("n")).alias("d_form"), F.split(N.listing_core(F.col("n")), " ").alias("d_words"))
-    pairs = q.join(d, F.col(block) == F.col("_b")).withColumn("ratio", N.gestalt_ratio(F.col("_q.form"), F.col("d_form")))
+    pairs = q.join(d, F.col(block) == F.col("_b"))
+    blank = q.where(F.col(block).isNull()).withColumn("_w", F.explode(F.array_distinct("_q.words")))
+    named = d.withColumn("_w", F.explode(F.array_distinct("d_words")))
+    pairs = pairs.unionByName(blank.join(named, "_w").drop("_w").distinct().select(*pairs.columns)).withColumn("ratio", N.gestalt_ratio(F.col("_q.form"), F.col("d_form")))
     rec, miss = N.recall(F.col("_q.words"), F.col("d_words")), F.size(N.missing(F.col("_q.words"), F.col("d_words")))
     best = pairs.groupBy(query_key, entity).agg(F.max("ratio").alias("ratio"), F.max(F.struct(rec.alias("recall"), (-miss).alias("less"))).alias("b"), F.max(F.coalesce(F.col("q_city") == F.col("d_city"), F.lit(False))).alias("same_city"))
     out = best.select(query_key, entity, "ratio", F.col("b.recall").alias("recall"), "same_city", (-F.col("b.less")).alias("n_missing"))
@@ -134,12 +145,16 @@ def export_tiers(scored: DataFrame, query_key: str, entity: str) -> DataFrame:
 
 
 def jaccard_match(pairs: DataFrame, query_key: str, entity: str, query_words: str, entity_words: str) -> DataFrame:
-    """Best entity by Jaccard similarity of word sets, from 0.6 on and clearly (0.12) ahead of the second."""
+    """Best entity by Jaccard similarity of word sets, from 0.6 on and clearly (0.12) ahead of every other word set.
+
+    Entities of equal word sets have one key: if several share the best one, none is taken.
+    """
     scored = pairs.withColumn("score", N.jaccard(F.col(query_words), F.col(entity_words)))
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc(entity))
-    scored = scored.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("place = 1")
-    ok = (F.col("score") >= JACCARD_LEAST) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= JACCARD_MARGIN))
-    return scored.where(ok).select(query_key, entity, "score")
+    by_key = scored.groupBy(query_key, F.array_sort(F.array_distinct(entity_words)).alias("_k")).agg(F.max("score").alias("score"), F.min(entity).alias("_lo"), F.max(entity).alias("_hi"))
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc("_hi"))
+    best = by_key.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("place = 1")
+    ok = (F.col("score") >= JACCARD_LEAST) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= JACCARD_MARGIN)) & (F.col("_lo") == F.col("_hi"))
+    return best.where(ok).select(query_key, F.col("_lo").alias(entity), "score")
 
 
 def containment(pairs: DataFrame, query_key: str, entity: str, query_words: str, entity_words: str) -> DataFrame:
@@ -157,11 +172,14 @@ def reverse_containment(pairs: DataFrame, query_key: str, entity: str, query_wor
 
 
 def nearest_rank(queries: DataFrame, truth: DataFrame, keys: Sequence[str], rank: str, entity: str) -> DataFrame:
-    """Of several entities under one key the one whose rank is nearest to the query's; without a rank the first."""
-    t = truth.select(*keys, F.col(entity), F.col(rank).alias("_r"))
-    both = queries.join(t, list(keys))
-    far = F.coalesce(F.abs(F.coalesce(F.col("_r"), F.lit(10**6)) - F.col(rank)), F.lit(0))
-    return both.groupBy(*queries.columns).agg(F.min_by(F.col(entity), F.struct(far, F.col(entity))).alias(entity))
+    """queries with the entity of several under one key whose rank is nearest; without a rank the first, without any null.
+
+    The candidates of a key are gathered once and searched in place, so every query row stays, equal ones too.
+    """
+    t = truth.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(F.col(entity).alias("e"), F.col(rank).alias("r")))).alias("_all"))
+    far = lambda x: F.coalesce(F.abs(F.coalesce(x["r"], F.lit(10**6)) - F.col(rank)), F.lit(0))
+    best = F.array_min(F.transform("_all", lambda x: F.struct(far(x).alias("far"), x["e"].alias("e"))))
+    return queries.join(t, list(keys), "left").withColumn(entity, best["e"]).drop("_all")
 
 
 def truth_decision(entity: Column, truth: Column, location_exact: Column) -> Column:
@@ -209,3 +227,80 @@ def match_bands(rows: DataFrame, columns: DataFrame, key: str, stored: str, band
     same = F.col(stored) == F.col(bands)
     got = both.groupBy(key).agg(F.max_by(value, F.when(same, F.col(position))).alias("_same"), F.max(F.when(same, 1)).alias("_hit"), F.max_by(value, F.when(F.col(value).isNotNull(), F.col(position))).alias("_any"))
     return got.select(key, F.when(F.col("_hit") == 1, F.col("_same")).otherwise(F.col("_any")).alias(value), (F.col("_hit").isNotNull()).alias("matched"))
+
+
+def resolve_listing(queries: DataFrame, directory: DataFrame, truth: DataFrame | None = None, query_key: str = "qid", entity: str = "unitid") -> DataFrame:
+    """query_key, entity, confidence, method, review: the listing matcher's whole cascade.
+
+    queries: query_key (unique), name, city, state; directory: entity, name, aliases (array), city, state;
+    truth: query_key, truth. In order: exact normal form within the state, then its city; the core form likewise, if no
+    exact form was met; the fuzzy tiers; containment either way; a place with one entity, for what is unresolved or of
+    low confidence; the truth, which confirms or overrides all but exact locations. An ambiguous mark stays only where
+    nothing later resolves.
+    """
+    names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
+    d = directory.select(entity, "state", "city", F.explode(names).alias("n")).select(entity, "state", "city", N.listing_form(F.col("n")).alias("form"), N.listing_core(F.col("n")).alias("core"))
+    q = queries.select(query_key, "name", "city", F.nullif(F.trim("state"), F.lit("")).alias("state"), N.listing_form(F.col("name")).alias("form"), N.listing_core(F.col("name")).alias("core"))
+    exact = exact_match(q, d, ["form", "state"], entity, "city").select(query_key, F.col(entity).alias("e1"), F.col("method").alias("m1"))
+    core = exact_match(q.where("core <> ''"), d.where("core <> ''"), ["core", "state"], entity, "city").select(query_key, F.col(entity).alias("e2"), F.regexp_replace("method", "exact", "core").alias("m2"))
+    pairs = fuzzy_candidates(q, directory, query_key, entity, "state")
+    fuzzy = listing_tiers(pairs, query_key, entity).select(query_key, F.col(entity).alias("e3"), F.col("confidence").alias("c3"), F.col("method").alias("m3"))
+    missing = ranked_candidates(pairs, query_key, entity, 1).select(query_key, "n_missing")
+    words = lambda c: F.array_distinct(N.words(c))
+    near = block_candidates(q.withColumn("words", words(F.col("core"))), d.withColumn("words", words(F.col("core"))), "state", query_key, entity)
+    wide = near.join(q.select(query_key, words(F.col("core")).alias("qw"), "form"), query_key).join(d.select(entity, words(F.col("core")).alias("dw"), F.col("form").alias("df")), entity)
+    inside = containment(wide, query_key, entity, "qw", "dw").select(query_key, F.col(entity).alias("e4"))
+    around = reverse_containment(
+        wide.where((F.size("dw") >= 2) & (F.size(F.array_except("dw", "qw")) == 0)).withColumn("r", N.gestalt_ratio(F.col("form"), F.col("df")))
+        .groupBy(query_key, entity).agg(F.max("r").alias("r"), F.first("qw").alias("qw"), F.max("dw").alias("dw")), query_key, entity, "qw", "dw", "r",
+    ).select(query_key, F.col(entity).alias("e5"))
+    place = city_unique(q.select(query_key, "city", "state"), directory, entity).select(query_key, F.col(entity).alias("e6"))
+    all_ = q
+    for part in (exact, core, fuzzy, missing, inside, around, place):
+        all_ = all_.join(part, query_key, "left")
+    is_ = lambda who, confidence, method: F.struct(who.alias("e"), F.lit(confidence).cast("string").alias("c"), (method if isinstance(method, Column) else F.lit(method)).alias("m"))
+    none = F.lit(None).cast(directory.schema[entity].dataType)
+    met = F.col("m1").isNotNull()
+    first = (
+        F.when(F.col("e1").isNotNull(), is_(F.col("e1"), "high", F.col("m1")))
+        .when(~met & F.col("e2").isNotNull(), is_(F.col("e2"), "high", F.col("m2")))
+        .when(F.col("e3").isNotNull(), F.struct(F.col("e3").alias("e"), F.col("c3").alias("c"), F.col("m3").alias("m")))
+        .when(F.col("e4").isNotNull(), is_(F.col("e4"), "medium", "token_contain"))
+        .when(F.col("e5").isNotNull(), is_(F.col("e5"), "medium", "reverse_contain"))
+        .otherwise(is_(none, None, F.coalesce("m1", "m2", "m3", F.lit("unresolved"))))
+    )
+    got = all_.withColumn("_f", first)
+    doubt = F.col("_f.e").isNull() | (F.col("_f.c") == "low")
+    got = got.withColumn("_f", F.when(doubt & F.col("e6").isNotNull() & ~F.col("e6").eqNullSafe(F.col("_f.e")), is_(F.col("e6"), "medium", "city_unique")).otherwise(F.col("_f")))
+    if truth is not None:
+        got = got.join(truth.select(query_key, F.col("truth").alias("_t")), query_key, "left")
+        here = F.col("_f.m").isin("exact_city", "core_city")
+        decided = truth_decision(F.col("_f.e"), F.col("_t"), here)
+        got = got.withColumn("_f", F.struct(decided["entity"].alias("e"), F.when(F.col("_t").isNotNull() & ~(here & F.col("_f.e").isNotNull()), F.lit("high")).otherwise(F.col("_f.c")).alias("c"), F.coalesce(decided["method"], F.col("_f.m")).alias("m")))
+    sure = F.col("_f.m").startswith("exact") | F.col("_f.m").startswith("truth")
+    return got.select(query_key, F.col("_f.e").alias(entity), F.col("_f.c").alias("confidence"), F.col("_f.m").alias("method"), needs_review(F.col("_f.e"), F.col("_f.c"), F.col("_f.m"), F.when(~sure, F.col("n_missing"))).alias("review"))
+
+
+def resolve_scores(queries: DataFrame, directory: DataFrame, overrides: DataFrame | None = None, query_key: str = "qid", entity: str = "unitid") -> DataFrame:
+    """query_key, entity, method: the score list's cascade: manual, exact, loose, then Jaccard within the state.
+
+    queries: query_key (unique), name, state; directory: entity, name, aliases (array), state; overrides: name, entity.
+    """
+    names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
+    d = directory.select(entity, "state", F.explode(names).alias("n")).select(entity, "state", N.score_form(F.col("n")).alias("form"), N.score_form(F.col("n"), True).alias("loose"))
+    q = queries.select(query_key, "state", "name", N.score_form(F.col("name")).alias("form"), N.score_form(F.col("name"), True).alias("loose"))
+    exact = exact_match(q, d, ["form", "state"], entity).select(query_key, F.col(entity).alias("e1"))
+    loose = exact_match(q, d, ["loose", "state"], entity).select(query_key, F.col(entity).alias("e2"))
+    pairs = q.select(query_key, "state", F.array_distinct(N.words(F.col("loose"))).alias("qw")).join(d.select(entity, "state", F.array_distinct(N.words(F.col("loose"))).alias("dw")).distinct(), "state")
+    fuzzy = jaccard_match(pairs, query_key, entity, "qw", "dw").select(query_key, F.col(entity).alias("e3"))
+    got = q.join(exact, query_key, "left").join(loose, query_key, "left").join(fuzzy, query_key, "left")
+    manual = F.lit(None).cast(directory.schema[entity].dataType)
+    if overrides is not None:
+        got, manual = got.join(overrides.select("name", F.col(entity).alias("e0")), "name", "left"), F.col("e0")
+    method = F.when(manual.isNotNull(), "manual").when(F.col("e1").isNotNull(), "exact").when(F.col("e2").isNotNull(), "loose").when(F.col("e3").isNotNull(), "jaccard").otherwise("unmatched")
+    return got.select(query_key, F.coalesce(manual, "e1", "e2", "e3").alias(entity), method.alias("method"))
+
+
+def best_per_entity(pairs: DataFrame, query_key: str, entity: str, score: str) -> DataFrame:
+    """Of several spellings of an entity the one with the best score: one pair of query and entity."""
+    return pairs.groupBy(query_key, entity).agg(F.max(score).alias(score))

@@ -135,8 +135,28 @@ def facet_index(df: DataFrame, region: str, state: str) -> DataFrame:
     return df.where(plottable(region, state)).groupBy(region).agg(F.array_join(F.array_sort(F.collect_set(state)), ",").alias("states"))
 
 
-def envelope(df: DataFrame, generated_at: str) -> DataFrame:
-    """One JSON text {data, meta} of a bounded result."""
+def regions_per_state(df: DataFrame, region: str, state: str) -> DataFrame:
+    """Regions of each state in order, as one text."""
+    return facet_index(df, state, region)
+
+
+def region_marks(states: Column, regions: dict[str, Sequence[str]]) -> Column:
+    """struct of region -> whether all of its states are selected, and `all`: whether those of every region are."""
+    own = {r: F.size(F.array_except(F.array(*map(F.lit, s)), states)) == 0 for r, s in regions.items()}
+    return F.struct(*[c.alias(r) for r, c in own.items()], reduce(lambda a, b: a & b, own.values(), F.lit(True)).alias("all"))
+
+
+def axis_values(df: DataFrame, bands: Sequence[str], chosen: str, key: str) -> DataFrame:
+    """key, value, no_data: the chosen band's values as the axis; entities without a number are marked."""
+    value = metric(df, chosen, bands).try_cast("double")
+    return df.select(key, value.alias("value"), value.isNull().alias("no_data"))
+
+
+def envelope(df: DataFrame, generated_at: str, query: str = "", columns: Sequence[str] = (), most: int = 100_000) -> DataFrame:
+    """One JSON text {data, meta} of the rows with the query in one of the columns; more than `most` rows raise."""
+    from ..sources.sinks import bounded
+
+    df = bounded(search(df, query, columns) if query and columns else df, most)
     one = df.agg(F.collect_list(F.struct(*df.columns)).alias("data"), F.count("*").alias("n"))
     return one.select(F.to_json(F.struct("data", F.struct(F.col("n").alias("count"), F.lit(generated_at).alias("generatedAt")).alias("meta"))).alias("body"))
 

@@ -17,17 +17,24 @@ def pearson(df: DataFrame, x: str, y: str, least: int = 10, by: Sequence[str] =
 
 
 def rank_predictors(df: DataFrame, target: str, predictors: Sequence[str], top: int = 5, least: int = 10) -> DataFrame:
-    """predictor, n, r, place, verdict of the `top` predictors by |r|; one pass over the data for all of them."""
+    """predictor, n, r, place, joint_r2, verdict of the `top` predictors by |r|.
+
+    One pass over the data for all correlations, one for the joint fit of the best: joint_r2 and the verdict are those of
+    all of them together, null and WEAK where no fit is possible.
+    """
     aggs = []
     for p in predictors:
         both = F.col(p).isNotNull() & F.col(target).isNotNull()
         xs, ys = F.when(both, F.col(p).cast("double")), F.when(both, F.col(target).cast("double"))
         ok = (F.count(xs) >= least) & (F.stddev_pop(xs) > 0) & (F.stddev_pop(ys) > 0)
         aggs.append(F.struct(F.count(xs).alias("n"), F.when(ok, F.corr(xs, ys)).alias("r")).alias(p))
-    one = df.agg(*aggs)
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(f"{p}.n").alias("n"), F.col(f"{p}.r").alias("r")) for p in predictors])).alias("s")).select("s.*")
-    place = F.row_number().over(Window.orderBy(F.abs("r").desc_nulls_last(), "predictor"))
-    return long.withColumn("place", place).where(F.col("place") <= top).withColumn("verdict", verdict(F.col("r") * F.col("r")))
+    one = df.agg(*aggs).first()
+    found = [(p, one[p]["n"], one[p]["r"]) for p in predictors]
+    found = sorted((x for x in found if x[2] is not None), key=lambda x: (-abs(x[2]), x[0]))[:top]
+    fit = least_squares(df, target, [p for p, _, _ in found]) if found else None
+    rows = [(p, n, r, i + 1, fit["r2"] if fit else None) for i, (p, n, r) in enumerate(found)]
+    out = df.sparkSession.createDataFrame(rows, "predictor string, n long, r double, place int, joint_r2 double")
+    return out.withColumn("verdict", verdict(F.col("joint_r2")))
 
 
 def verdict(r2: Column) -> Column:
@@ -129,12 +136,18 @@ def padded_extent(df: DataFrame, value: str, pad: float = 0.04, default: tuple[f
 
 
 def nearest_point(df: DataFrame, x: Column, y: Column, at: tuple[float, float], radius: float) -> DataFrame:
-    """The row nearest to a point if it lies within the radius."""
+    """The row nearest to a point if it lies within the radius; of equally near ones the first by the other columns."""
     d = F.hypot(x - at[0], y - at[1])
-    return df.withColumn("distance", d).where(F.col("distance") <= radius).orderBy("distance").limit(1)
+    return df.withColumn("distance", d).where(F.col("distance") <= radius).orderBy("distance", *df.columns).limit(1)
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Aggregate: weighted mean over rows with both."""
     both = value.isNotNull() & weight.isNotNull()
     return F.try_divide(F.sum(F.when(both, value * weight)), F.sum(F.when(both, weight)))
+
+
+def legend_labels(domain: DataFrame) -> DataFrame:
+    """position, label of a legend's ends and middle: smallest, median and largest value of the domain."""
+    marks = F.array(*[F.struct(F.lit(p).alias("position"), F.format_string("%.1f", F.col(c)).alias("label")) for p, c in ((0.0, "lo"), (0.5, "mid"), (1.0, "hi"))])
+    return domain.withColumn("_m", F.explode(marks)).select(*[c for c in domain.columns if c not in ("lo", "mid", "hi")], "_m.*")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import panel_queries, serve_queries, text_queries
+from . import more_queries, panel_queries, serve_queries, text_queries
 from .registry import QueryFn
 
-_PARTS = (panel_queries.R, serve_queries.R, text_queries.R)
+_PARTS = (panel_queries.R, serve_queries.R, text_queries.R, more_queries.R)
 
 
 def queries() -> dict[str, QueryFn]:

@@ -183,7 +183,15 @@ _PRED = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 @R.query("WITH p AS (" + " UNION ALL ".join(f"SELECT '{p}' predictor, count(*) n, round(corr({p}, l_extendedprice), 6) r FROM lineitem" for p in _PRED) + """)
 SELECT predictor, n, r, row_number() OVER (ORDER BY abs(r) DESC, predictor) place, CASE WHEN r * r >= 0.6 THEN 'STRONG' WHEN r * r >= 0.35 THEN 'DECENT' ELSE 'WEAK' END verdict FROM p""")
 def pearson_matrix(spark, d):
-    return S.rank_predictors(table(spark, d, "lineitem"), "l_extendedprice", _PRED).withColumn("r", F.round("r", 6))
+    """The best predictors with the verdict of each alone; joint_predictors has that of all together."""
+    out = S.rank_predictors(table(spark, d, "lineitem"), "l_extendedprice", _PRED).drop("joint_r2")
+    return out.withColumn("verdict", S.verdict(F.col("r") * F.col("r"))).withColumn("r", F.round("r", 6))
+
+
+@R.query()
+def joint_predictors(spark, d):
+    """The best predictors with one verdict, from the joint fit of them all (no SQL: a fit of several predictors)."""
+    return S.rank_predictors(table(spark, d, "lineitem"), "l_extendedprice", _PRED)
 
 
 @R.query("""SELECT count(*)::BIGINT n, round(regr_intercept(l_extendedprice, l_quantity), 4) intercept, round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_r2(l_extendedprice, l_quantity), 6) r2 FROM lineitem""")

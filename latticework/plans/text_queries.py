@@ -92,7 +92,7 @@ def nearest_rank(spark, d):
     o = table(spark, d, "orders").withColumn("rnk", F.floor("o_totalprice").cast("bigint"))
     q = o.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey", "rnk")
     t = o.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("e"), "rnk")
-    return M.nearest_rank(q, t, ["o_custkey"], "rnk", "e")
+    return M.nearest_rank(q, t, ["o_custkey"], "rnk", "e").where("e IS NOT NULL")
 
 
 @R.query()

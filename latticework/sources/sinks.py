@@ -22,13 +22,25 @@ def write_csv(df: DataFrame, path: str, order: Sequence[Column] = (), columns: S
 
 
 def replace_atomically(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write beside the target, then swap by rename; readers never see half a table. df may read the target."""
-    staged = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
+    """Write beside the target, move the old table aside, move the new one in, then delete the old. df may read the target.
+
+    Nothing is deleted before the new table is in place: after a crash between the moves the old table lies at
+    `<path>__old_...`, and a failed move is undone.
+    """
+    mark = uuid.uuid4().hex
+    staged, aside = f"{path.rstrip('/')}__staged_{mark}", f"{path.rstrip('/')}__old_{mark}"
     df.write.format(fmt).save(staged)
     jvm, fs, target = _fs(df, path)
-    fs.delete(target, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
+    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, aside))
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"could not move {staged} to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def replace_slices(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -53,14 +65,39 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def script_text(df: DataFrame, name: str) -> str:
-    """A bounded result as a script that assigns it to window.<name>."""
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df if it has `most` rows at most; else an error, so that nothing is gathered or cut in silence."""
+    if len(df.select(F.lit(1)).limit(most + 1).collect()) > most:
+        raise ValueError(f"more than {most} rows")
+    return df
+
+
+def json_array(df: DataFrame, order: Sequence[Column] = (), most: int = 100_000) -> str:
+    """A result of `most` rows at most as one JSON array in order, nulls kept."""
+    rows = bounded(df, most)
+    made = (rows.orderBy(*order) if order else rows).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).collect()
+    return "[" + ",".join(r[0] for r in made) + "]"
+
+
+def script_text(df: DataFrame, name: str, most: int = 100_000) -> str:
+    """A result of `most` rows at most as a script that assigns it to window.<name>."""
+    df = bounded(df, most)
     body = df.agg(F.to_json(F.collect_list(F.struct(*df.columns)))).first()[0]
     return f"window.{name} = {body};\n"
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A bounded report as a Markdown table."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A report of `most` rows at most as a Markdown table; more rows raise."""
+    rows = bounded(df, most).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def replace_assignment(source: str, name: str, body: str) -> str:
+    """A script with the value assigned to a name replaced; an error unless the name is assigned exactly once."""
+    import re
+
+    found = re.compile(rf"(\b{re.escape(name)}\s*=\s*)([^;]*)(;)")
+    if len(found.findall(source)) != 1:
+        raise ValueError(f"{name} is not assigned exactly once")
+    return found.sub(lambda m: m[1] + body + m[3], source)
