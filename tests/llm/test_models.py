@@ -39,12 +39,15 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    out = queries.op5_toxicity(spark, SF)
-    both = out.where("held_out").join(table(spark, SF, "labels").select("doc_id", "toxic"), "doc_id").collect()
+    """Recall and precision, not accuracy, as few documents are toxic; evidence for every text with a letter."""
+    out, large = queries.op5_toxicity(spark, "/root/testdata/sf0.1"), "/root/testdata/sf0.1"
+    both = out.where("held_out").join(table(spark, large, "labels").select("doc_id", "toxic"), "doc_id").collect()
     hit = sum(r["toxic"] == 1 and r["predicted"] == 1 for r in both)
-    assert hit >= 0.75 * sum(r["toxic"] == 1 for r in both) and hit >= 0.9 * sum(r["predicted"] == 1 for r in both)
-    assert out.where("size(evidence_ids) = 0").join(table(spark, SF, "documents").where(F.col("text").rlike("\\p{L}")), "doc_id").count() == 0
-    assert out.where("score NOT BETWEEN 0 AND 1 OR score IS NULL").count() == 0
+    assert hit >= 0.9 * sum(r["toxic"] == 1 for r in both) and hit >= 0.9 * sum(r["predicted"] == 1 for r in both)
+    assert all(0 <= r["score"] <= 1 for r in both)
+    small = queries.op5_toxicity(spark, SF)
+    assert small.where("score NOT BETWEEN 0 AND 1 OR score IS NULL").count() == 0
+    assert small.where("size(evidence_ids) = 0").join(table(spark, SF, "documents").where(F.col("text").rlike("\\p{L}")), "doc_id").count() == 0
 
 
 def test_languages_held_out(spark):
