@@ -69,18 +69,19 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], listed: DataFrame, url_col
     driver and become part of the plan; the list of urls may be of any size.
 
     Null urls and urls without '://' have empty host and path, no rule and are not listed. Repeated rows are
-    judged each; extra columns stay. An empty list blocks nothing.
+    judged each; extra columns stay, whatever their names. An empty list blocks nothing.
     """
     new = ["host", "path", "canonical", "rule", "listed", "verdict"]
     listed_urls = with_canonical(with_parts(listed.select(F.col(listed_col).alias("_u")), "_u")).where("host <> ''").select(F.col("canonical").alias("_listed")).distinct()
     bloom, blocks = bloom_filter(listed_urls, "_listed", listed_urls.count())
     keep = [c for c in pages.columns if c not in new]
-    judged = with_canonical(with_parts(pages.select(*keep), url_col))
+    # the caller's columns travel as one, so that no name of theirs meets a name used here
+    judged = with_canonical(with_parts(pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(url_col).cast("string").alias("_u")), "_u"))
     judged = judged.withColumn("_best", best_rule(rules) if rules else F.lit(None).cast("struct<size:int,rule:string,verdict:string>"))
-    out = [*keep, "host", "path", "canonical", "rule", "listed", "verdict"]
+    out = [*[F.col("_row")[c].alias(c) for c in keep], *new]
     ruled = judged.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.col("_best.verdict"))
     probed = probe(ruled, "canonical", bloom, blocks).withColumn("_maybe", F.col("_maybe") & F.col("rule").isNull() & (F.col("host") != ""))
     sure = probed.where(~F.col("_maybe")).withColumn("listed", F.lit(False))
     maybe = probed.where("_maybe").join(listed_urls, F.col("canonical") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull())
-    both = sure.select(*keep, *new[:3], "rule", "listed", "verdict").unionByName(maybe.select(*keep, *new[:3], "rule", "listed", "verdict"))
+    both = sure.select("_row", *new[:3], "rule", "listed", "verdict").unionByName(maybe.select("_row", *new[:3], "rule", "listed", "verdict"))
     return both.withColumn("verdict", F.coalesce("verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))).select(*out)

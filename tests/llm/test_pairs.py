@@ -201,6 +201,11 @@ def test_url_parts_and_rules(spark):
     listed = spark.createDataFrame([("HTTPS://BAD.com/a/",), ("http://bad.com/a?a=1&b=2",), (None,), ("http://bad.com/a/#z",)], "url string")
     got = [tuple(r) for r in url_filter.url_verdicts(pages, rules, listed).select("page_id", "url", "host", "path", "rule", "verdict").collect()]
     assert sorted(got, key=repr) == sorted([*rows, rows[4]], key=repr)
+    clash = pages
+    for c in ("w0", "w7", "_listed", "_rest", "_maybe", "_best", "_url", "_u", "_row", "canonical", "block"):
+        clash = clash.withColumn(c, F.lit(c))
+    kept = url_filter.url_verdicts(clash, rules, listed)
+    assert [tuple(r) for r in kept.select("w0", "w7", "_listed", "_rest", "_maybe", "_best", "_url", "_u", "_row", "block").distinct().collect()] == [("w0", "w7", "_listed", "_rest", "_maybe", "_best", "_url", "_u", "_row", "block")]
     none = url_filter.url_verdicts(pages, [], listed.limit(0))
     assert none.where("verdict = 'block'").count() == 0 and none.count() == len(rows) + 1
     assert url_filter.url_verdicts(pages.limit(0), rules, listed).count() == 0
