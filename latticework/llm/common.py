@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,15 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def give_back() -> None:
+    """Return the memory that a finished fit freed to the system; a C library without malloc_trim keeps its part."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: int, max_rows: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice has max_rows rows at most and, unless it is one row, max_bytes of the column."""
     length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

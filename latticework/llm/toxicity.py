@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder, slices
+from .common import give_back, labelled_sample, remainder, slices
 from .near_dedup import band_keys
 from .search import Best, Queries, Shard, bisected, outline, search_shard, spans
 
@@ -19,6 +19,8 @@ from .search import Best, Queries, Shard, bisected, outline, search_shard, spans
 LEVEL = 0.3
 #: Nearest examples that vote; evidence shown of them; folds of the calibration.
 NEIGHBOURS, EVIDENCE, FOLDS = 15, 3, 4
+#: Examples that the calibration asks about at a time.
+ASKED = 256
 #: Lengths of the word beginnings that count as terms; MinHash bands and rows that tell near copies among examples.
 BEGINNINGS, BANDS, ROWS = (4, 6), 12, 3
 #: Squared standard errors at which a term counts half, and what a term that tells nothing counts at least.
@@ -112,43 +114,52 @@ class Voter:
             inside = fold[examples.owner] != f
             self._build(examples, inside, fold != f)
             own = np.flatnonzero(fold == f)
-            at = np.flatnonzero(~inside)
-            v, who, _ = self.votes((np.cumsum(fold == f) - 1)[examples.owner[at]], examples.term[at], examples.count[at], len(own))
-            votes[own[who[:, 0] >= 0]] = v[who[:, 0] >= 0]
+            for part in np.split(own, range(ASKED, len(own), ASKED)):
+                place = np.full(len(fold), -1)
+                place[part] = np.arange(len(part))
+                at = np.flatnonzero(place[examples.owner] >= 0)
+                v, who, _ = self.votes(place[examples.owner[at]], examples.term[at], examples.count[at], len(part))
+                votes[part[who[:, 0] >= 0]] = v[who[:, 0] >= 0]
         heard = ~np.isnan(votes)
         self.steps = isotonic(list(zip(votes[heard].tolist(), self.labels[heard].tolist(), weight[heard].tolist(), strict=True)))
         self._build(examples, np.ones(len(examples.term), bool), np.ones(len(self.ids), bool))
 
     def _build(self, examples: Examples, pairs: np.ndarray, rows: np.ndarray) -> None:
-        """Index the examples in `rows`, whose postings are `pairs`."""
-        self.shards, place = [], (np.cumsum(rows) - 1).astype(np.int32)
+        """Take the examples in `rows`, whose postings are `pairs`; the first vote indexes them."""
+        self._index, place = None, (np.cumsum(rows) - 1).astype(np.int32)
         self.rows = np.flatnonzero(rows)
         self.owner, self.term, self.count = place[examples.owner[pairs]], examples.term[pairs], examples.count[pairs]
         terms = len(self.vocabulary)
         self.gain = gains(self.term, self.owner, examples.labels[rows], terms)
         self.gain[np.bincount(self.term, minlength=terms) == 0] = 0.0
-        self._shards()
 
-    def _shards(self) -> None:
+    @property
+    def shards(self) -> list[Shard]:
+        """The index, built where it is first asked: a driver that only sends the model holds none."""
+        if self._index is None:
+            self._index = self._shards()
+        return self._index
+
+    def _shards(self) -> list[Shard]:
         value, n = self.weights(self.owner, self.term, self.count, len(self.rows)), np.bincount(self.owner, minlength=len(self.rows))
-        first, self.shards = np.cumsum(n) - n, []
+        first, shards = np.cumsum(n) - n, []
         groups = bisected(outline(self.owner, self.term, value, len(self.rows)), n, 2048, 1 << 20, np.inf) if len(self.rows) else []
         for own in groups:
             at = spans(first[own], n[own])
             by = np.argsort(self.term[at], kind="stable")
-            self.shards.append(Shard(self.rows[own], np.repeat(np.arange(len(own)), n[own])[by], self.term[at][by], value[at][by], len(self.vocabulary)))
+            shards.append(Shard(self.rows[own], np.repeat(np.arange(len(own)), n[own])[by], self.term[at][by], value[at][by], len(self.vocabulary)))
+        return shards
 
     def __getstate__(self) -> bytes:
         """Postings travel compactly; the executors build the index of them."""
-        kept = {k: v for k, v in self.__dict__.items() if k != "shards"}
+        kept = {k: v for k, v in self.__dict__.items() if k != "_index"}
         kept |= {"owner": self.owner.astype(np.int32), "term": self.term.astype(np.int32), "count": self.count.astype(np.float32)}
         raw = pickle.dumps(kept, protocol=5)
         return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
     def __setstate__(self, state: bytes) -> None:
         kept = pickle.loads(pa.decompress(state[8:], int.from_bytes(state[:8], "little"), codec="zstd", asbytes=True))
-        self.__dict__.update(kept)
-        self._shards()
+        self.__dict__.update(kept | {"_index": None})
 
     def weights(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
         """Unit TF-IDF vectors, pair by pair."""
@@ -244,8 +255,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Voter:
     keys = lists[2].flatten().to_numpy().reshape(got.num_rows, BANDS)
     examples = Examples(got["_id"].to_pylist(), got["_y"].to_pylist(), lists[0], lists[1], keys)
     del got, lists, keys
-    pa.default_memory_pool().release_unused()
-    return Voter(examples, counts)
+    give_back()
+    model = Voter(examples, counts)
+    del examples
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Voter, text_col: str = "text") -> DataFrame:
