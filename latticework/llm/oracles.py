@@ -61,3 +61,15 @@ links AS (SELECT p.vec_id a, q.vec_id b FROM ok p JOIN ok q ON p.vec_id <> q.vec
 nodes AS (SELECT DISTINCT vec_id id FROM embeddings), {_COMPONENTS}
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) n_links, component_id, vec_id = component_id kept FROM v JOIN component ON node = vec_id
 """
+
+
+OP11 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') x, sha256('1:' || coalesce(doc_id::VARCHAR, '')) h FROM documents),
+u AS (SELECT doc_id, x, length(x) n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) h FROM t),
+c AS (SELECT doc_id, x, n, least(h[1] % (n + 1), h[2] % (n + 1)) a, greatest(h[1] % (n + 1), h[2] % (n + 1)) b,
+  CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END form FROM u),
+p AS (SELECT *, left(x, a) pre, substr(x, a + 1, b - a) mid, substr(x, b + 1) suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END prefix_chars, CASE WHEN form <> 'plain' THEN b - a END middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) output_sha256, sha256(x) restored_sha256
+FROM p
+"""

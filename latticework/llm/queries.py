@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, near_dedup, oracles, packing, preferences, quality, search, toxicity, url_filter
+from . import byte_bpe, embedding_dedup, fill_middle, language_id, mixing, near_dedup, oracles, packing, preferences, quality, search, toxicity, url_filter, whitening
 from .common import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -82,8 +82,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix; digests of the outputs and of the texts restored from them."""
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return out.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(restored.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's BPE ids and the text decoded from them, as digests."""
+    vocabulary = byte_bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return byte_bpe.decode(docs, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to four whitened coordinates of every embedding. Deviations past 64 bits are null (see whiten for their digits)."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+    each = out.select("vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_chat_preferences, op2_bm25_search, op3_near_dedup, op4_url_filter, op5_toxicity, op6_mix_sources, op7_pack_hilbert, op8_quality, op9_embedding_dedup, op10_language_id)
+    every = (op1_chat_preferences, op2_bm25_search, op3_near_dedup, op4_url_filter, op5_toxicity, op6_mix_sources, op7_pack_hilbert, op8_quality, op9_embedding_dedup, op10_language_id, op11_fill_middle, op12_byte_bpe, op13_whitening)
     return {f.__name__: f for f in every}
 
 
@@ -94,4 +119,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_dedup": oracles.OP3,
         "op4_url_filter": oracles.op4(URL_RULES, LISTED_SITES),
         "op9_embedding_dedup": oracles.OP9,
+        "op11_fill_middle": oracles.OP11,
     }
