@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Keys per bucket of the perfect hash, and pilots tried at a time.
 PER_BUCKET, TRIES = 3, 256
-#: Pre-tokens that are looked up at a time; a longer text is matched piece by piece.
-PIECES = 1 << 19
+#: Pre-tokens that are looked up at a time where one text may have more.
+PIECES = 1 << 18
+#: A space that need not start a pre-token (RE2).
+SPACES = r" ([\s\x0b\x{85}\p{Z}]|\z)"
 #: Misses a worker remembers, and the longest of them in bytes.
 KEPT, LONGEST_KEPT = 1 << 18, 64
 
@@ -122,8 +124,8 @@ def _ranges(points: set[str]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in parts)
 
 
-def disputed(pattern: str) -> tuple[str, str]:
-    """(class, pattern): the code points that `regex` and the reference library put into different classes, as their
+def disputed(pattern: str) -> tuple[str, str, int]:
+    """(class, pattern, least first byte in UTF-8): the code points that `regex` and the reference library put into different classes, as their
     Unicode versions differ, and the pattern with the library's classes. Texts without such code points need neither.
 
     Asked of the library in the driver: all code points go once through an encoding of bytes whose pattern is the class.
@@ -141,17 +143,18 @@ def disputed(pattern: str) -> tuple[str, str]:
         if less := ours - theirs:
             strict = strict.replace(name, f"[{name}--[{_ranges(less)}]]")
         points |= theirs ^ ours
-    return (f"[{_ranges(points)}]" if points else ""), "(?V1)" + strict
+    return (f"[{_ranges(points)}]" if points else ""), "(?V1)" + strict, min((p.encode()[0] for p in points), default=256)
 
 
 class Vocabulary:
     """Ranks of byte strings with their perfect hash; what tasks need of a rank file, in a few flat arrays."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, space_led: bool = True):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no rank for the bytes {missing[:5]}")
-        self.pattern, (self._disputed, self._strict) = pattern, disputed(pattern)
+        self.space_led, self.pattern = space_led, pattern
+        self._disputed, self._strict, self._lead = disputed(pattern)
         keys = list(ranks)
         self._hash = PerfectHash(keys, np.array([ranks[k] for k in keys], np.int64))
         size = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -162,26 +165,24 @@ class Vocabulary:
         self._prepared = None
 
     @classmethod
-    def from_file(cls, path: str, pattern: str) -> Vocabulary:
+    def from_file(cls, path: str, pattern: str, space_led: bool = True) -> Vocabulary:
         """A file of lines "base64 rank", read in the driver."""
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern, space_led)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_prepared": None}
 
     def _ready(self):
-        """(pattern for a text, encoder of missed pre-tokens), made once in a worker."""
+        """(usual pattern, strict pattern, search for disputed code points, ranks, short_ranks, remembered
+        misses), made once in a worker."""
         if self._prepared is None:
             import regex
 
             raw = self._bytes.tobytes()
             ranks = {raw[s : s + n]: i for i, (s, n) in enumerate(zip(self._start.tolist(), self._size.tolist(), strict=True)) if n}
-            kept = lru_cache(KEPT)(lambda piece: merged(piece, ranks))
-            usual, strict = regex.compile(self.pattern), regex.compile(self._strict)
-            rare = regex.compile(self._disputed).search if self._disputed else lambda text: None
-            split = lambda text: usual if text.isascii() or not rare(text) else strict
-            self._prepared = split, lambda piece: kept(piece) if len(piece) <= LONGEST_KEPT else merged(piece, ranks)
+            rare = regex.compile(self._disputed).search if self._disputed else None
+            self._prepared = regex.compile(self.pattern), regex.compile(self._strict), rare, ranks, short_ranks(ranks), {}
         return self._prepared
 
     def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,53 +192,83 @@ class Vocabulary:
         offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
         data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
         found = self._hash.find(data, offsets[:-1], np.diff(offsets))
-        missed, counts = np.flatnonzero(found < 0), np.ones(len(words), np.int64)
-        encode, raw = self._ready()[1], memoryview(data)
-        parts = [encode(bytes(raw[offsets[i] : offsets[i + 1]])) for i in missed]
-        counts[missed] = [len(p) for p in parts]
-        first = np.cumsum(counts) - counts
-        ids = np.empty(int(counts.sum()), np.int32)
-        ids[first[found >= 0]] = found[found >= 0]
-        for i, p in zip(missed, parts, strict=True):
-            ids[first[i] : first[i] + len(p)] = p
-        n = counts[codes]
-        before = np.cumsum(n) - n
-        return ids[np.repeat(first[codes] - before, n) + np.arange(int(n.sum()))], n
+        _, _, _, ranks, pairs, kept = self._ready()
+        missed, parts = np.flatnonzero(found < 0), []
+        for word in words.take(pa.array(missed)).to_pylist():
+            ids = kept.get(word)
+            if ids is None:
+                ids = merged(word.encode(), ranks, pairs)
+                if len(word) <= LONGEST_KEPT and len(kept) < KEPT:
+                    kept[word] = ids
+            parts.append(ids)
+        counts = np.ones(len(words), np.int64)
+        counts[missed] = np.fromiter(map(len, parts), np.int64, len(parts))
+        single = np.repeat(found >= 0, counts)
+        flat = np.empty(len(single), np.int32)
+        flat[single] = found[found >= 0]
+        flat[~single] = np.fromiter(chain.from_iterable(parts), np.int32, int(counts[missed].sum()))
+        return _gathered(flat, counts, codes), counts[codes]
+
+    def _split(self, texts: list[str], strict: bool) -> tuple[list[str], np.ndarray]:
+        """Pre-tokens of texts end to end, and how many each has."""
+        usual, exact, rare = self._ready()[:3]
+        held, n = [], np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            found = (exact if strict and rare(text) else usual).findall(text)
+            held += found
+            n[i] = len(found)
+        return held, n
+
+    def _long(self, text: str, strict: bool) -> np.ndarray:
+        """Ids of one text, whose pre-tokens are taken PIECES at a time."""
+        usual, exact, rare = self._ready()[:3]
+        matches, out = (m.group() for m in (exact if strict and rare(text) else usual).finditer(text)), []
+        while part := list(islice(matches, PIECES)):
+            out.append(self.pieces(part)[0])
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        """Ids of each text (null: none)."""
-        split = self._ready()[0]
-        out, lengths, held, ends = [], np.zeros(len(texts), np.int64), [], []
-
-        def flush() -> None:
-            """Encodes the pre-tokens held; ends are (text, pre-tokens held up to its end or its part's)."""
-            nonlocal held, ends
+        """Ids of each text (null: none).
+
+        A space before anything but white space starts a pre-token, so a text without other spaces is the
+        concatenation of its space-led chunks: each distinct chunk is matched and encoded once. Other texts are matched
+        whole. (Vocabularies whose pattern does not split there say space_led=False: all texts are matched whole.)
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        size = pc.binary_length(texts).to_numpy()
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer((texts.buffers()[2] if len(texts) else None) or b"", np.uint8)[offsets[0] : offsets[-1]]
+        strict = bool(self._disputed) and bool((data >= self._lead).any())
+        spaced = pc.match_substring_regex(texts, SPACES).to_numpy(zero_copy_only=False) if self.space_led else np.ones(len(texts), bool)
+        long = size > PIECES
+        chunked, whole = np.flatnonzero(~spaced), np.flatnonzero(spaced & ~long)
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        if len(chunked):
+            lists = pc.split_pattern(texts.take(pa.array(chunked)), " ")
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            follows = np.ones(int(starts[-1]), np.int64)
+            follows[starts[:-1]] = 0
+            coded = lists.flatten().dictionary_encode()
+            # a chunk with a space before it and the same at a text's start are two
+            keys, codes = np.unique(coded.indices.to_numpy().astype(np.int64) * 2 + follows, return_inverse=True)
+            chunks = [" " + c if k & 1 else c for c, k in zip(coded.dictionary.take(pa.array(keys >> 1)).to_pylist(), keys.tolist(), strict=True)]
+            held, n = self._split(chunks, strict)
+            ids, each = self.pieces(held) if held else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            counts = _summed_runs(each, n)
+            flat, upto = _gathered(ids, counts, codes), np.concatenate(([0], np.cumsum(counts[codes])))[starts]
+            for j, i in enumerate(chunked):
+                out[i] = flat[upto[j] : upto[j + 1]]
+        if len(whole):
+            held, n = self._split(texts.take(pa.array(whole)).to_pylist(), strict)
             if held:
-                ids, n = self.pieces(held)
-                out.append(ids)
-                upto = np.concatenate(([0], np.cumsum(n)))[[e for _, e in ends]]
-                np.add.at(lengths, [i for i, _ in ends], np.diff(upto, prepend=0))
-            held, ends = [], []
-
-        for i, text in enumerate(texts):
-            text = text.as_py()
-            if not text:
-                continue
-            if len(text) <= PIECES:
-                held += split(text).findall(text)
-                ends.append((i, len(held)))
-            else:
-                matches = (m.group() for m in split(text).finditer(text))
-                while part := list(islice(matches, PIECES)):
-                    held += part
-                    ends.append((i, len(held)))
-                    if len(held) >= PIECES:
-                        flush()
-            if len(held) >= PIECES:
-                flush()
-        flush()
-        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat, pa.int32()))
+                ids, each = self.pieces(held)
+                upto = np.concatenate(([0], np.cumsum(_summed_runs(each, n))))
+                for j, i in enumerate(whole):
+                    out[i] = ids[upto[j] : upto[j + 1]]
+        for i in np.flatnonzero(spaced & long):
+            out[i] = self._long(texts[int(i)].as_py(), strict)
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
 
     def decode(self, ids: pa.Array) -> pa.Array:
         """Bytes of each list of ids (null: none); ids outside the vocabulary raise."""
@@ -252,34 +283,64 @@ class Vocabulary:
         return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def _gathered(flat: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Segments of flat, with counts entries each, in the order of codes."""
+    first, n = np.cumsum(counts) - counts, counts[codes]
+    before = np.cumsum(n) - n
+    return flat[np.repeat(first[codes] - before, n) + np.arange(int(n.sum()))]
+
+
+def _summed_runs(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of values, of the lengths given."""
+    upto = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(lengths)
+    return upto[ends] - upto[ends - lengths]
+
+
+def short_ranks(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """The rank of each byte, and that of each two bytes at 256 * first + second; -1 without one."""
+    return [ranks.get(bytes([a]), -1) for a in range(256)], [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+
+
+def merged(piece: bytes, ranks: dict[bytes, int], pairs: tuple[list[int], list[int]]) -> tuple[int, ...]:
     """Ids of a pre-token: the neighbours whose joint rank is lowest are merged first, the leftmost of equal ones.
 
-    Parts are a linked list over byte positions; a heap holds (rank, left part, ends of both parts) for neighbours with
-    a joint rank, and entries whose parts have changed since are passed over: O(n log n) for n bytes.
+    Parts are a linked list over byte positions; joint holds each part's rank together with the next (-1: none), and a
+    heap holds (rank, position), as one number, of all that were ever set: entries that no longer agree with joint are passed over.
+    O(n log n) for n bytes.
     """
-    n = len(piece)
-    end, before = list(range(1, n + 1)), list(range(-1, n))
-    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    n, get = len(piece), ranks.get
+    shift, last = n.bit_length(), (1 << n.bit_length()) - 1
+    single, pairs = pairs
+    following, previous, ids = list(range(1, n + 1)), list(range(-1, n)), [single[a] for a in piece]
+    joint = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+    heap = [r << shift | i for i, r in enumerate(joint) if r >= 0]
+    joint.append(-1)
     heapify(heap)
     while heap:
-        _, left, middle, right = heappop(heap)
-        if end[left] != middle or (middle < n and end[middle] != right):
+        top = heappop(heap)
+        left, rank = top & last, top >> shift
+        if joint[left] != rank:
             continue
-        end[left], end[middle] = right, -1
+        gone = following[left]
+        right = following[left] = following[gone]
+        joint[gone] = joint[left] = ids[gone] = -1
+        ids[left] = rank
         if right < n:
-            before[right] = left
-            if (r := ranks.get(piece[left : end[right]])) is not None:
-                heappush(heap, (r, left, right, end[right]))
-        if left > 0:
-            at = before[left]
-            if (r := ranks.get(piece[at:right])) is not None:
-                heappush(heap, (r, at, left, right))
-    out, at = [], 0
-    while at < n:
-        out.append(ranks[piece[at : end[at]]])
-        at = end[at]
-    return out
+            previous[right] = left
+            rank = get(piece[left : following[right]])
+            if rank is not None:
+                joint[left] = rank
+                heappush(heap, rank << shift | left)
+        if left:
+            before = previous[left]
+            rank = get(piece[before:right])
+            if rank is not None:
+                joint[before] = rank
+                heappush(heap, rank << shift | before)
+            else:
+                joint[before] = -1
+    return tuple([i for i in ids if i >= 0])
 
 
 def _slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
@@ -302,17 +363,12 @@ def encoded(text: Column, vocabulary: Vocabulary) -> Column:
     return F.arrow_udf(ids, "array<int>")(text)
 
 
-def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
-    """binary: the bytes that ids stand for."""
-    return F.arrow_udf(vocabulary.decode, "binary")(ids)
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """docs with out_col: array<int> of the BPE ids of each whole text.
 
     1. The pattern splits a text into pre-tokens; each is encoded separately, no special token is known.
-    2. Tier one: the distinct pre-tokens of some 2^19 at a time are looked up in the vocabulary's minimal perfect hash,
-       all in one numpy pass, with a comparison of bytes. In natural text this resolves most of them.
+    2. Tier one: the distinct pre-tokens of some megabytes of text are looked up in the vocabulary's minimal perfect
+       hash, all in one numpy pass, with a comparison of bytes. In natural text this resolves most of them.
     3. Tier two: a missed pre-token is merged from its bytes by a heap over a linked list (`merged`), O(n log n) in its
        length. A worker remembers up to 2^18 short ones (some 70 MB).
 
@@ -324,5 +380,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with out_col: the bytes that ids_col stands for (null: none). Inverse of encode for every valid text."""
-    return df.withColumn(out_col, decoded(F.col(f"`{ids_col}`"), vocabulary))
+    """df with out_col: the bytes that ids_col stands for (null: none). Inverse of encode for every valid text.
+
+    Rows pass through Arrow as they are, so that ids made by `encode` are not made a second time for the decoder.
+    Extra columns stay; a column called out_col is replaced.
+    """
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out_col])
+    names, at = df.columns, df.columns.index(ids_col)
+    df = df.toDF(*[f"c{i}" for i in range(len(names))])  # any name may be the caller's
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("decoded", vocabulary.decode(batch.column(at)))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", BinaryType())])).toDF(*names, out_col)

@@ -95,9 +95,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's BPE ids and the text decoded from them, as digests."""
     vocabulary = byte_bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    docs = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    docs = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
-    return byte_bpe.decode(docs, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "ids")
+    return byte_bpe.decode(coded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

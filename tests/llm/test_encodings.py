@@ -1,6 +1,7 @@
 """Fill-in-middle, byte-level BPE and whitening against brute force, on whole tables and on odd rows."""
 
 import base64
+import copy
 import hashlib
 import random
 
@@ -173,7 +174,7 @@ def test_merges():
             a, b = rng.sample(list(ranks), 2) if rng.random() < 0.7 else [rng.choice(list(ranks))] * 2
             ranks.setdefault(a + b, len(ranks))
         piece = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 30)))
-        assert byte_bpe.merged(piece, ranks) == slow_merge(piece, ranks)
+        assert list(byte_bpe.merged(piece, ranks, byte_bpe.short_ranks(ranks))) == slow_merge(piece, ranks)
 
 
 @settings(max_examples=200, deadline=None)
@@ -181,6 +182,9 @@ def test_merges():
 def test_bpe_on_any_text(vocabulary, library, texts):
     got = vocabulary.encode(pa.array(texts, pa.string()))
     assert got.to_pylist() == [library.encode_ordinary(t or "") for t in texts]
+    whole = copy.copy(vocabulary)
+    whole.space_led = False
+    assert whole.encode(pa.array(texts, pa.string())) == got
     assert vocabulary.decode(got).to_pylist() == [(t or "").encode() for t in texts]
 
 
@@ -195,6 +199,7 @@ def test_bpe_on_every_code_point(vocabulary, library):
 def test_bpe_pieces_in_parts(monkeypatch, vocabulary, library):
     """Long texts are matched in parts, and pre-tokens of any length are merged whole."""
     monkeypatch.setattr(byte_bpe, "PIECES", 5)
+    monkeypatch.setattr(vocabulary, "space_led", False)
     texts = ["one two  three\n\nfour five six seven eight", "", None, "x y", "ab" * 50000, "漢字" * 3000, " " * 3000 + "z"]
     assert vocabulary.encode(pa.array(texts)).to_pylist() == [library.encode_ordinary(t or "") for t in texts]
 
