@@ -18,6 +18,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 PER_BUCKET, TRIES = 3, 256
 #: Pre-tokens that are looked up at a time where one text may have more.
 PIECES = 1 << 18
+#: Ids that are decoded at a time.
+DECODED = 1 << 18
 #: A space that need not start a pre-token (RE2).
 SPACES = r" ([\s\x0b\x{85}\p{Z}]|\z)"
 #: Misses a worker remembers, and the longest of them in bytes.
@@ -272,15 +274,20 @@ class Vocabulary:
 
     def decode(self, ids: pa.Array) -> pa.Array:
         """Bytes of each list of ids (null: none); ids outside the vocabulary raise."""
-        ids = ids.fill_null([]) if ids.null_count else ids
         flat = ids.flatten().to_numpy(zero_copy_only=False)
         if len(flat) and not (flat.min() >= 0 and flat.max() < len(self._size) and (self._size[flat] > 0).all()):
             raise ValueError("ids outside the vocabulary")
-        size = self._size[flat]
-        before = np.cumsum(size) - size
-        data = self._bytes[np.repeat(self._start[flat] - before, size) + np.arange(int(size.sum()))]
-        ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))))]
-        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # bytes are gathered for some ids at a time, as their positions take eight times their room
+        data, sizes = [], np.empty(len(flat), np.int32)
+        for at in range(0, len(flat), DECODED):
+            part = flat[at : at + DECODED]
+            sizes[at : at + len(part)] = size = self._size[part]
+            before = np.cumsum(size) - size
+            data.append(self._bytes[np.repeat(self._start[part] - before, size) + np.arange(int(size.sum()))])
+        ends = np.concatenate(([0], np.cumsum(_summed_runs(sizes, counts)))).astype(np.int64)
+        joined = np.concatenate(data) if data else np.zeros(0, np.uint8)
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(joined)]).cast(pa.binary())
 
 
 def _gathered(flat: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -343,7 +350,7 @@ def merged(piece: bytes, ranks: dict[bytes, int], pairs: tuple[list[int], list[i
     return tuple([i for i in ids if i >= 0])
 
 
-def _slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+def _slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
     """Parts of an array of at most `most` bytes, unless one text has more."""
     upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
     at = 0

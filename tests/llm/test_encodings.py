@@ -199,9 +199,12 @@ def test_bpe_on_every_code_point(vocabulary, library):
 def test_bpe_pieces_in_parts(monkeypatch, vocabulary, library):
     """Long texts are matched in parts, and pre-tokens of any length are merged whole."""
     monkeypatch.setattr(byte_bpe, "PIECES", 5)
+    monkeypatch.setattr(byte_bpe, "DECODED", 7)
     monkeypatch.setattr(vocabulary, "space_led", False)
     texts = ["one two  three\n\nfour five six seven eight", "", None, "x y", "ab" * 50000, "漢字" * 3000, " " * 3000 + "z"]
-    assert vocabulary.encode(pa.array(texts)).to_pylist() == [library.encode_ordinary(t or "") for t in texts]
+    got = vocabulary.encode(pa.array(texts))
+    assert got.to_pylist() == [library.encode_ordinary(t or "") for t in texts]
+    assert vocabulary.decode(got).to_pylist() == [(t or "").encode() for t in texts]
 
 
 def test_bpe_query(spark, library):
