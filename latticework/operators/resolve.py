@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..storage import written
+from . import similarity as J
 
 # Decision levels of the listing matcher, the export matcher and the score matcher.
 LISTING_HIGH, LISTING_MEDIUM, LISTING_GAP = 0.93, 0.84, 0.04
@@ -145,18 +147,36 @@ def export_tiers(scored: DataFrame, query_key: str, entity: str) -> DataFrame:
 
 
 def jaccard_match(pairs: DataFrame, query_key: str, entity: str, query_words: str, entity_words: str) -> DataFrame:
-    """Best entity by Jaccard similarity of word sets, from 0.6 on and clearly (0.12) ahead of every other word set.
+    """Best entity by Jaccard similarity of word sets; see clear_best."""
+    scored = pairs.withColumn("score", N.jaccard(F.col(query_words), F.col(entity_words))).withColumn("_k", F.array_sort(F.array_distinct(entity_words)))
+    return clear_best(scored, query_key, entity, "_k")
 
-    Entities of equal word sets have one key: if several share the best one, none is taken.
+
+def clear_best(scored: DataFrame, query_key: str, entity: str, key: str) -> DataFrame:
+    """query_key, entity, score: the best by score, from 0.6 on and clearly (0.12) ahead of every other key.
+
+    Entities of one key (equal word sets) count as one; if several share the best key, none is taken. Pairs below
+    0.6 - 0.12 change nothing, so `scored` need not hold them.
     """
-    scored = pairs.withColumn("score", N.jaccard(F.col(query_words), F.col(entity_words)))
-    by_key = scored.groupBy(query_key, F.array_sort(F.array_distinct(entity_words)).alias("_k")).agg(F.max("score").alias("score"), F.min(entity).alias("_lo"), F.max(entity).alias("_hi"))
+    by_key = scored.groupBy(query_key, key).agg(F.max("score").alias("score"), F.min(entity).alias("_lo"), F.max(entity).alias("_hi"))
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc("_hi"))
     best = by_key.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("place = 1")
     ok = (F.col("score") >= JACCARD_LEAST) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= JACCARD_MARGIN)) & (F.col("_lo") == F.col("_hi"))
     return best.where(ok).select(query_key, F.col("_lo").alias(entity), "score")
 
 
+def word_match(queries: DataFrame, directory: DataFrame, query_key: str, entity: str, words: str = "words", block: str | None = None, other: Column | None = None) -> DataFrame:
+    """clear_best over the directory rows of a query's block, found by a prefix-filtered join (similarity.similar).
+
+    Keys must be unique on both sides. other: a condition on query_key and entity that pairs must meet.
+    """
+    sides = J.word_sides(queries, directory, query_key, entity, words, block)
+    close = J.similar(sides, JACCARD_LEAST - JACCARD_MARGIN - J.SLACK)
+    close = close.where(other) if other is not None else close
+    sets = directory.select(entity, F.array_sort(F.array_distinct(words)).alias("_k"))
+    return clear_best(close.join(sets, entity), query_key, entity, "_k")
+
+
 def containment(pairs: DataFrame, query_key: str, entity: str, query_words: str, entity_words: str) -> DataFrame:
     """Queries of two words or more whose words all occur in exactly one candidate."""
     inside = pairs.where((F.size(query_words) >= 2) & (F.size(F.array_except(query_words, entity_words)) == 0))
@@ -215,10 +235,12 @@ def candidate_text(entity: Column, name: Column, city: Column, state: Column, sc
     return F.concat_ws("|", entity, name, F.concat_ws(", ", city, state), F.format_string("%.3f", score))
 
 
-def needs_review(entity: Column, confidence: Column, method: Column, n_missing: Column) -> Column:
-    """Unresolved, less than high confidence, ambiguous or disagreeing decisions, or missing words."""
+def needs_review(entity: Column, confidence: Column, method: Column, n_missing: Column, other_city: Column | None = None) -> Column:
+    """Unresolved, less than high confidence, ambiguous or disagreeing decisions, missing words, or another entity as
+    the best candidate of the query's city."""
     doubtful = method.startswith("ambiguous") | method.contains("disagree") | method.contains("over_truth")
-    return entity.isNull() | F.coalesce(confidence != "high", F.lit(True)) | F.coalesce(doubtful, F.lit(False)) | F.coalesce(n_missing > 0, F.lit(False))
+    other = F.lit(False) if other_city is None else other_city
+    return entity.isNull() | F.coalesce(confidence != "high", F.lit(True)) | F.coalesce(doubtful, F.lit(False)) | F.coalesce(n_missing > 0, F.lit(False)) | other
 
 
 def match_bands(rows: DataFrame, columns: DataFrame, key: str, stored: str, bands: str, position: str, value: str) -> DataFrame:
@@ -235,28 +257,32 @@ def resolve_listing(queries: DataFrame, directory: DataFrame, truth: DataFrame |
     queries: query_key (unique), name, city, state; directory: entity, name, aliases (array), city, state;
     truth: query_key, truth. In order: exact normal form within the state, then its city; the core form likewise, if no
     exact form was met; the fuzzy tiers; containment either way; a place with one entity, for what is unresolved or of
-    low confidence; the truth, which confirms or overrides all but exact locations. An ambiguous mark stays only where
-    nothing later resolves.
+    low confidence; the truth, which confirms or overrides all but exact locations. An exact location is an exact form,
+    a core form with its city, or a best candidate of the same city whose form is equal. An ambiguous mark stays only
+    where nothing later resolves. Names are compared letter by letter only for queries without an exact form.
     """
     names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
     d = directory.select(entity, "state", "city", F.explode(names).alias("n")).select(entity, "state", "city", N.listing_form(F.col("n")).alias("form"), N.listing_core(F.col("n")).alias("core"))
     q = queries.select(query_key, "name", "city", F.nullif(F.trim("state"), F.lit("")).alias("state"), N.listing_form(F.col("name")).alias("form"), N.listing_core(F.col("name")).alias("core"))
-    exact = exact_match(q, d, ["form", "state"], entity, "city").select(query_key, F.col(entity).alias("e1"), F.col("method").alias("m1"))
+    exact = written(exact_match(q, d, ["form", "state"], entity, "city").select(query_key, F.col(entity).alias("e1"), F.col("method").alias("m1")))
     core = exact_match(q.where("core <> ''"), d.where("core <> ''"), ["core", "state"], entity, "city").select(query_key, F.col(entity).alias("e2"), F.regexp_replace("method", "exact", "core").alias("m2"))
-    pairs = fuzzy_candidates(q, directory, query_key, entity, "state")
+    rest = q.join(exact.where("e1 IS NOT NULL").select(query_key), query_key, "left_anti")
+    pairs = written(fuzzy_candidates(rest, directory, query_key, entity, "state"))
     fuzzy = listing_tiers(pairs, query_key, entity).select(query_key, F.col(entity).alias("e3"), F.col("confidence").alias("c3"), F.col("method").alias("m3"))
-    missing = ranked_candidates(pairs, query_key, entity, 1).select(query_key, "n_missing")
+    top = ranked_candidates(pairs, query_key, entity, 1).select(query_key, "n_missing", F.when((F.abs(F.col("ratio") - 1) < 1e-9) & F.col("same_city"), F.col(entity)).alias("_equal"))
+    in_city = pairs.where("same_city").groupBy(query_key).agg(F.min_by(entity, F.struct(-F.col("score"), -F.col("ratio"), "n_missing", entity)).alias("_in_city"))
     words = lambda c: F.array_distinct(N.words(c))
-    near = block_candidates(q.withColumn("words", words(F.col("core"))), d.withColumn("words", words(F.col("core"))), "state", query_key, entity)
-    wide = near.join(q.select(query_key, words(F.col("core")).alias("qw"), "form"), query_key).join(d.select(entity, words(F.col("core")).alias("dw"), F.col("form").alias("df")), entity)
+    left = rest.withColumn("words", words(F.col("core")))
+    near = block_candidates(left, d.withColumn("words", words(F.col("core"))), "state", query_key, entity)
+    wide = near.join(left.select(query_key, F.col("words").alias("qw"), "form", "state"), query_key).join(d.select(entity, words(F.col("core")).alias("dw"), F.col("form").alias("df")), entity)
     inside = containment(wide, query_key, entity, "qw", "dw").select(query_key, F.col(entity).alias("e4"))
     around = reverse_containment(
-        wide.where((F.size("dw") >= 2) & (F.size(F.array_except("dw", "qw")) == 0)).withColumn("r", N.gestalt_ratio(F.col("form"), F.col("df")))
+        wide.where(F.col("state").isNotNull() & (F.size("dw") >= 2) & (F.size(F.array_except("dw", "qw")) == 0)).withColumn("r", N.gestalt_ratio(F.col("form"), F.col("df")))
         .groupBy(query_key, entity).agg(F.max("r").alias("r"), F.first("qw").alias("qw"), F.max("dw").alias("dw")), query_key, entity, "qw", "dw", "r",
     ).select(query_key, F.col(entity).alias("e5"))
     place = city_unique(q.select(query_key, "city", "state"), directory, entity).select(query_key, F.col(entity).alias("e6"))
     all_ = q
-    for part in (exact, core, fuzzy, missing, inside, around, place):
+    for part in (exact, core, fuzzy, top, in_city, inside, around, place):
         all_ = all_.join(part, query_key, "left")
     is_ = lambda who, confidence, method: F.struct(who.alias("e"), F.lit(confidence).cast("string").alias("c"), (method if isinstance(method, Column) else F.lit(method)).alias("m"))
     none = F.lit(None).cast(directory.schema[entity].dataType)
@@ -271,32 +297,46 @@ def resolve_listing(queries: DataFrame, directory: DataFrame, truth: DataFrame |
     )
     got = all_.withColumn("_f", first)
     doubt = F.col("_f.e").isNull() | (F.col("_f.c") == "low")
-    got = got.withColumn("_f", F.when(doubt & F.col("e6").isNotNull() & ~F.col("e6").eqNullSafe(F.col("_f.e")), is_(F.col("e6"), "medium", "city_unique")).otherwise(F.col("_f")))
+    got = got.withColumn("_f", F.when(doubt & F.col("e6").isNotNull() & ~F.col("e6").eqNullSafe(F.col("_f.e")), is_(F.col("e6"), "low", "city_unique")).otherwise(F.col("_f")))
+    here = F.col("_f.m").isin("exact", "exact_city", "core_city") | F.coalesce(F.col("_equal") == F.col("_f.e"), F.lit(False))
     if truth is not None:
         got = got.join(truth.select(query_key, F.col("truth").alias("_t")), query_key, "left")
-        here = F.col("_f.m").isin("exact_city", "core_city")
         decided = truth_decision(F.col("_f.e"), F.col("_t"), here)
-        got = got.withColumn("_f", F.struct(decided["entity"].alias("e"), F.when(F.col("_t").isNotNull() & ~(here & F.col("_f.e").isNotNull()), F.lit("high")).otherwise(F.col("_f.c")).alias("c"), F.coalesce(decided["method"], F.col("_f.m")).alias("m")))
-    sure = F.col("_f.m").startswith("exact") | F.col("_f.m").startswith("truth")
-    return got.select(query_key, F.col("_f.e").alias(entity), F.col("_f.c").alias("confidence"), F.col("_f.m").alias("method"), needs_review(F.col("_f.e"), F.col("_f.c"), F.col("_f.m"), F.when(~sure, F.col("n_missing"))).alias("review"))
+        got = got.withColumn("_f", F.struct(decided["entity"].alias("e"), F.when(F.col("_t").isNotNull(), F.lit("high")).otherwise(F.col("_f.c")).alias("c"), F.coalesce(decided["method"], F.col("_f.m")).alias("m")))
+    clean = F.col("_f.m").isin("exact", "exact_city", "core", "core_city", "truth_confirmed")
+    other_city = ~clean & F.coalesce(F.col("_in_city") != F.col("_f.e"), F.lit(False))
+    return got.select(query_key, F.col("_f.e").alias(entity), F.col("_f.c").alias("confidence"), F.col("_f.m").alias("method"), needs_review(F.col("_f.e"), F.col("_f.c"), F.col("_f.m"), F.when(~clean, F.col("n_missing")), other_city).alias("review"))
+
+
+def truth_counts(decided: DataFrame, truth: DataFrame, query_key: str = "qid", entity: str = "unitid") -> DataFrame:
+    """n, agree, override, disagree over the queries with a truth: exact locations that beat it count as overrides."""
+    both = decided.join(truth.select(query_key, "truth"), query_key).where("truth IS NOT NULL")
+    same, over = F.coalesce(F.col(entity) == F.col("truth"), F.lit(False)), F.col("method") == "exact_location_over_truth"
+    return both.agg(F.count("*").alias("n"), F.count_if(same).alias("agree"), F.count_if(~same & over).alias("override"), F.count_if(~same & ~over).alias("disagree"))
 
 
 def resolve_scores(queries: DataFrame, directory: DataFrame, overrides: DataFrame | None = None, query_key: str = "qid", entity: str = "unitid") -> DataFrame:
     """query_key, entity, method: the score list's cascade: manual, exact, loose, then Jaccard within the state.
 
-    queries: query_key (unique), name, state; directory: entity, name, aliases (array), state; overrides: name, entity.
+    queries: query_key (unique), name, state; directory: entity, name, aliases (array), state; overrides: name, state,
+    entity, one row for a name and state at most. Jaccard compares the words of the exact form, over the names of the
+    state (see word_match); queries without a state meet none.
     """
     names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
     d = directory.select(entity, "state", F.explode(names).alias("n")).select(entity, "state", N.score_form(F.col("n")).alias("form"), N.score_form(F.col("n"), True).alias("loose"))
     q = queries.select(query_key, "state", "name", N.score_form(F.col("name")).alias("form"), N.score_form(F.col("name"), True).alias("loose"))
     exact = exact_match(q, d, ["form", "state"], entity).select(query_key, F.col(entity).alias("e1"))
     loose = exact_match(q, d, ["loose", "state"], entity).select(query_key, F.col(entity).alias("e2"))
-    pairs = q.select(query_key, "state", F.array_distinct(N.words(F.col("loose"))).alias("qw")).join(d.select(entity, "state", F.array_distinct(N.words(F.col("loose"))).alias("dw")).distinct(), "state")
-    fuzzy = jaccard_match(pairs, query_key, entity, "qw", "dw").select(query_key, F.col(entity).alias("e3"))
+    # a name that several entities or aliases share is one row with all of them, so that keys are unique
+    forms = d.groupBy("state", "form").agg(F.min(entity).alias("_lo"), F.max(entity).alias("_hi")).withColumn("_key", F.struct("state", "form")).withColumn("words", N.words(F.col("form")))
+    sides = J.word_sides(q.withColumn("words", N.words(F.col("form"))), forms, query_key, "_key", "words", "state")
+    close = J.similar(sides, JACCARD_LEAST - JACCARD_MARGIN - J.SLACK).join(forms.select("_key", "_lo", "_hi"), "_key")
+    spread = close.select(query_key, "_key", "score", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias(entity))
+    fuzzy = clear_best(spread, query_key, entity, "_key").select(query_key, F.col(entity).alias("e3"))
     got = q.join(exact, query_key, "left").join(loose, query_key, "left").join(fuzzy, query_key, "left")
     manual = F.lit(None).cast(directory.schema[entity].dataType)
     if overrides is not None:
-        got, manual = got.join(overrides.select("name", F.col(entity).alias("e0")), "name", "left"), F.col("e0")
+        got, manual = got.join(overrides.select("name", "state", F.col(entity).alias("e0")), ["name", "state"], "left"), F.col("e0")
     method = F.when(manual.isNotNull(), "manual").when(F.col("e1").isNotNull(), "exact").when(F.col("e2").isNotNull(), "loose").when(F.col("e3").isNotNull(), "jaccard").otherwise("unmatched")
     return got.select(query_key, F.coalesce(manual, "e1", "e2", "e3").alias(entity), method.alias("method"))
 

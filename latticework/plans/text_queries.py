@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..functions import names as N
 from ..operators import extract as X
+from ..operators import gestalt as G
 from ..operators import resolve as M
+from ..operators import similarity as J
+from ..operators.order import numbered
 from .registry import Registry, table
 
 R = Registry()
@@ -29,60 +32,53 @@ def exact_unique_match(spark, d):
     return M.exact_match(p.select("p_brand", "p_name").distinct(), p, ["p_brand", "p_name"], "p_partkey")
 
 
-_WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 9))"
+_ALL_WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+_SHARED = f"""WITH b AS (SELECT item_id, {_ALL_WORDS.format(c="text")} q FROM benchmark), x AS (SELECT doc_id, {_ALL_WORDS.format(c="text")} c FROM documents),
+s AS (SELECT item_id, doc_id, nq, nc, count(*) n FROM (SELECT item_id, len(q) nq, unnest(q) w FROM b) JOIN (SELECT doc_id, len(c) nc, unnest(c) w FROM x) USING (w) GROUP BY ALL)"""
 
 
-def _words(c: str):
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) >= 9))
+_BEST_SQL = f"{_SHARED} SELECT item_id, round(max(n::DOUBLE / (nq + nc - n)), 6) score, count(*) candidates FROM s GROUP BY item_id"
+_INSIDE_SQL = f"{_SHARED} SELECT item_id, min(doc_id) doc_id FROM s WHERE nq >= 2 AND n = nq GROUP BY item_id HAVING count(DISTINCT doc_id) = 1"
 
 
-def _benchmark_pairs(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", _words("text").alias("words"))
-    docs = table(spark, d, "documents").select("doc_id", _words("text").alias("words"))
-    pairs = M.word_candidates(b, docs, "item_id", "doc_id")
-    return pairs.join(b.withColumnRenamed("words", "q"), "item_id").join(docs.withColumnRenamed("words", "c"), "doc_id")
+def _benchmark_words(spark, d):
+    words = F.array_distinct(N.words(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")))
+    return [table(spark, d, t).select(k, words.alias("words")) for t, k in (("benchmark", "item_id"), ("documents", "doc_id"))]
 
 
-@R.query(f"""WITH b AS (SELECT item_id, {_WORDS.format(c="text")} q FROM benchmark), x AS (SELECT doc_id, {_WORDS.format(c="text")} c FROM documents),
-s AS (SELECT item_id, doc_id, len(list_intersect(q, c))::DOUBLE / len(list_distinct(list_concat(q, c))) score FROM b JOIN x ON len(list_intersect(q, c)) > 0)
-SELECT item_id, round(max(score), 6) score, count(*) candidates FROM s GROUP BY item_id""")
+@R.query(_BEST_SQL)
 def token_jaccard(spark, d):
-    """Best Jaccard similarity of each item over candidates that share a long word."""
-    p = _benchmark_pairs(spark, d).withColumn("score", N.jaccard(F.col("q"), F.col("c")))
-    return p.groupBy("item_id").agg(F.round(F.max("score"), 6).alias("score"), F.count("*").alias("candidates"))
-
-
-@R.query(f"""WITH b AS (SELECT item_id, {_WORDS.format(c="text")} q FROM benchmark), x AS (SELECT doc_id, {_WORDS.format(c="text")} c FROM documents),
-s AS (SELECT item_id, doc_id FROM b JOIN x ON len(q) >= 2 AND list_has_all(c, q))
-SELECT item_id, min(doc_id) doc_id FROM s GROUP BY item_id HAVING count(DISTINCT doc_id) = 1""")
-def token_containment(spark, d):
-    """Items whose long words all occur in exactly one document."""
-    return M.containment(_benchmark_pairs(spark, d), "item_id", "doc_id", "q", "c")
+    """Best Jaccard similarity of each item over all documents, and how many share a word with it."""
+    items, docs = _benchmark_words(spark, d)
+    best = J.most_similar(J.word_sides(items, docs, "item_id", "doc_id"))
+    dense = numbered(docs, ["doc_id"], "i").withColumn("i", F.col("i") - 1)
+    return best.select("item_id", F.round("score", 6).alias("score")).join(J.sharing(items, dense, "item_id", "i").withColumnRenamed("n", "candidates"), "item_id")
 
 
-_ALL_WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''))"
-_SHARED = f"""WITH b AS (SELECT item_id, {_ALL_WORDS.format(c="text")} q FROM benchmark), x AS (SELECT doc_id, {_ALL_WORDS.format(c="text")} c FROM documents),
-s AS (SELECT item_id, doc_id, nq, nc, count(*) n FROM (SELECT item_id, len(q) nq, unnest(q) w FROM b) JOIN (SELECT doc_id, len(c) nc, unnest(c) w FROM x) USING (w) GROUP BY ALL)"""
+@R.query(_BEST_SQL)
+def token_jaccard_all(spark, d):
+    """The same as token_jaccard, under the name it had while that one took long words only."""
+    return token_jaccard(spark, d)
 
 
-def _benchmark_shared(spark, d):
-    words = N.words(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    b, docs = (table(spark, d, t).select(k, F.array_distinct(words).alias("words")) for t, k in (("benchmark", "item_id"), ("documents", "doc_id")))
-    return M.shared_words(b, docs, "item_id", "doc_id")
+@R.query(_INSIDE_SQL)
+def token_containment(spark, d):
+    """Items whose words all occur in exactly one document: documents are looked up by an item's rarest word."""
+    inside = J.containing(J.word_sides(*_benchmark_words(spark, d), "item_id", "doc_id"), 2)
+    return M.unique_by_key(inside, ["item_id"], "doc_id")
 
 
-@R.query(f"""{_SHARED} SELECT item_id, round(max(n::DOUBLE / (nq + nc - n)), 6) score, count(*) candidates FROM s GROUP BY item_id""")
-def token_jaccard_all(spark, d):
-    """token_jaccard on all words: best similarity of each item over the documents that share a word."""
-    score = F.col("n_shared") / (F.col("n_query") + F.col("n_entity") - F.col("n_shared"))
-    return _benchmark_shared(spark, d).groupBy("item_id").agg(F.round(F.max(score), 6).alias("score"), F.count("*").alias("candidates"))
+@R.query(_INSIDE_SQL)
+def token_containment_all(spark, d):
+    """The same as token_containment, under the name it had while that one took long words only."""
+    return token_containment(spark, d)
 
 
-@R.query(f"""{_SHARED} SELECT item_id, min(doc_id) doc_id FROM s WHERE nq >= 2 AND n = nq GROUP BY item_id HAVING count(DISTINCT doc_id) = 1""")
-def token_containment_all(spark, d):
-    """token_containment on all words: items whose words all occur in exactly one document."""
-    inside = _benchmark_shared(spark, d).where("n_query >= 2 AND n_shared = n_query")
-    return M.unique_by_key(inside, ["item_id"], "doc_id")
+@R.query(f"{_SHARED} SELECT item_id, doc_id, round(n::DOUBLE / (nq + nc - n), 6) score FROM s WHERE 10 * n >= nq + nc - n")
+def similar_documents(spark, d):
+    """All documents with a Jaccard similarity of 0.1 or more to an item, by prefixes of rare words."""
+    pairs = J.similar(J.word_sides(*_benchmark_words(spark, d), "item_id", "doc_id"), 0.1)
+    return pairs.select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @R.query("""WITH q AS (SELECT o_orderkey, o_custkey, floor(o_totalprice)::BIGINT rnk FROM orders WHERE o_orderstatus = 'P'), t AS (SELECT o_custkey, o_orderkey e, floor(o_totalprice)::BIGINT r FROM orders WHERE o_orderstatus = 'F')
@@ -95,13 +91,73 @@ def nearest_rank(spark, d):
     return M.nearest_rank(q, t, ["o_custkey"], "rnk", "e").where("e IS NOT NULL")
 
 
+def _name_pairs(spark, d):
+    """Different names of a brand, in their normal form."""
+    p = table(spark, d, "part").select("p_brand", "p_name").distinct().select(F.xxhash64("p_brand", "p_name").alias("id"), "p_brand", N.export_form(F.col("p_name")).alias("form"))
+    q = p.select(F.col("id").alias("q"), "p_brand", F.col("form").alias("q_form"))
+    return q.join(p, "p_brand").where("q <> id").select("q", "id", "q_form", "form")
+
+
 @R.query()
 def fuzzy_ratio_match(spark, d):
     """Gestalt similarity of names within a block, by tiers (no SQL form; tested against difflib)."""
-    p = table(spark, d, "part").select("p_brand", "p_name").distinct().withColumn("id", F.xxhash64("p_brand", "p_name"))
-    q = p.select(F.col("id").alias("q"), "p_brand", F.col("p_name").alias("q_name"))
-    pairs = q.join(p, "p_brand").where("q <> id").withColumn("score", N.gestalt_ratio(N.export_form(F.col("q_name")), N.export_form(F.col("p_name"))))
-    return M.export_tiers(pairs, "q", "id")
+    return M.export_tiers(G.top_ratios(_name_pairs(spark, d), "q", "id", "q_form", "form", 2, "score"), "q", "id")
+
+
+@R.query()
+def near_miss_names(spark, d):
+    """The two nearest names of a brand from 0.92 on, to be reported only (no SQL form; tested against difflib)."""
+    close = G.ratios_from(_name_pairs(spark, d), "q_form", "form", 0.92)
+    return M.near_misses(close, "q", "id", "ratio").select("q", "id", "ratio", "place")
+
+
+_LANDED = "SELECT o_custkey q, o_orderkey e, round(o_totalprice * 100)::BIGINT % 4001 / 4000.0::DOUBLE score"
+
+
+@R.query(f"""WITH s AS ({_LANDED} FROM orders), r AS (SELECT *, row_number() OVER w n, coalesce(lead(score) OVER w, 0) s2 FROM s WINDOW w AS (PARTITION BY q ORDER BY score DESC, e))
+SELECT q, CASE WHEN score >= 0.86 AND score - s2 >= 0.03 THEN e END e, CASE WHEN score >= 0.92 AND score - s2 >= 0.03 THEN 'high' WHEN score >= 0.86 AND score - s2 >= 0.03 THEN 'medium' ELSE 'low' END confidence,
+CASE WHEN score >= 0.86 AND score - s2 >= 0.03 THEN 'fuzzy' WHEN score - s2 < 0.03 THEN 'ambiguous' ELSE 'low' END AS method FROM r WHERE n = 1""")
+def export_tiers_landed(spark, d):
+    """The export matcher's tiers on scores that were landed with the orders."""
+    score = (F.round(F.col("o_totalprice") * 100).cast("bigint") % 4001) / F.lit(4000.0)
+    return M.export_tiers(table(spark, d, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("e"), score.alias("score")), "q", "e")
+
+
+@R.query("""WITH s AS (SELECT l_orderkey q, l_linenumber e, round(l_extendedprice * 100)::BIGINT % 101 / 100.0::DOUBLE score, l_linenumber % 2 = 1 same_city, l_partkey % 11 / 10.0::DOUBLE ratio, l_suppkey % 5 / 4.0::DOUBLE recall, l_partkey % 3 n_missing FROM lineitem),
+r AS (SELECT *, row_number() OVER w n, score - coalesce(lead(score) OVER w, 0) gap FROM s WINDOW w AS (PARTITION BY q ORDER BY score DESC, same_city DESC, ratio DESC, n_missing, e)),
+t AS (SELECT q, e, CASE WHEN score >= 0.93 AND gap >= 0.04 THEN 1 WHEN score >= 0.93 AND same_city AND ratio >= 0.84 THEN 2 WHEN score >= 0.84 AND (gap >= 0.04 OR same_city) THEN 3 WHEN score >= 0.55 AND n_missing = 0 OR same_city AND recall >= 0.5 AND ratio >= 0.55 THEN 4 ELSE 5 END k FROM r WHERE n = 1)
+SELECT q, CASE WHEN k < 5 THEN e END e, CASE k WHEN 1 THEN 'high' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' WHEN 4 THEN 'low' END confidence, CASE k WHEN 1 THEN 'fuzzy_state' WHEN 2 THEN 'fuzzy_state_city' WHEN 3 THEN 'fuzzy_state' WHEN 4 THEN 'fuzzy_state_weak' ELSE 'low_fuzzy' END AS method FROM t""")
+def listing_tiers_landed(spark, d):
+    """The listing matcher's tiers on scores, ratios, recalls and missing words that were landed with the line items."""
+    li = table(spark, d, "lineitem")
+    pairs = li.select(
+        F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("e"), ((F.round(F.col("l_extendedprice") * 100).cast("bigint") % 101) / F.lit(100.0)).alias("score"), (F.col("l_linenumber") % 2 == 1).alias("same_city"),
+        ((F.col("l_partkey") % 11) / F.lit(10.0)).alias("ratio"), ((F.col("l_suppkey") % 5) / F.lit(4.0)).alias("recall"), (F.col("l_partkey") % 3).alias("n_missing"),
+    )
+    return M.listing_tiers(pairs, "q", "e")
+
+
+_ASKED = """CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' Main Campus' WHEN 2 THEN lower(p_type) || ' ' || p_name ELSE p_type END"""
+
+
+@R.query(f"""WITH d AS (SELECT p_partkey e, p_brand st, trim(p_name) f FROM part), a AS (SELECT p_partkey q, p_brand st, {_ASKED} "name", lower({_ASKED}) f FROM part),
+o AS (SELECT p_brand st, {_ASKED} "name", min(p_partkey) e FROM part WHERE p_size = 7 GROUP BY ALL),
+l AS (SELECT *, trim(regexp_replace(f, ' *main campus', '')) lf FROM a), x AS (SELECT st, f, min(e) e FROM d GROUP BY ALL HAVING count(DISTINCT e) = 1),
+k AS (SELECT st, f, min(e) lo, max(e) hi, list_distinct(string_split(f, ' ')) w FROM d GROUP BY st, f), kq AS (SELECT q, st, list_distinct(string_split(f, ' ')) w FROM a),
+s AS (SELECT q, lo, hi, list_sort(k.w) ks, len(list_intersect(kq.w, k.w))::DOUBLE / len(list_distinct(list_concat(kq.w, k.w))) score FROM kq JOIN k USING (st)),
+g AS (SELECT q, ks, max(score) score, min(lo) lo, max(hi) hi FROM s GROUP BY q, ks),
+r AS (SELECT *, row_number() OVER w n, lead(score) OVER w s2 FROM g WINDOW w AS (PARTITION BY q ORDER BY score DESC, hi DESC)),
+j AS (SELECT q, lo e FROM r WHERE n = 1 AND score >= 0.6 AND lo = hi AND (s2 IS NULL OR score - s2 >= 0.12))
+SELECT l.q, coalesce(o.e, x.e, y.e, j.e) e, CASE WHEN o.e IS NOT NULL THEN 'manual' WHEN x.e IS NOT NULL THEN 'exact' WHEN y.e IS NOT NULL THEN 'loose' WHEN j.e IS NOT NULL THEN 'jaccard' ELSE 'unmatched' END AS method
+FROM l LEFT JOIN o ON o.st = l.st AND o.name = l.name LEFT JOIN x ON x.st = l.st AND x.f = l.f LEFT JOIN x y ON y.st = l.st AND y.f = l.lf LEFT JOIN j ON j.q = l.q""")
+def score_cascade(spark, d):
+    """The score list's whole cascade over all parts: names as they are, with a campus, with more words, or of another kind;
+    overrides by name and brand for one size."""
+    p = table(spark, d, "part")
+    asked = p.select(F.col("p_partkey").alias("qid"), F.expr(_ASKED).alias("name"), F.col("p_brand").alias("state"), "p_size")
+    known = p.select(F.col("p_partkey").alias("unitid"), F.col("p_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.col("p_brand").alias("state"))
+    manual = asked.where("p_size = 7").groupBy("name", "state").agg(F.min("qid").alias("unitid"))
+    return M.resolve_scores(asked.drop("p_size"), known, manual).select(F.col("qid").alias("q"), F.col("unitid").alias("e"), "method")
 
 
 @R.query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS txt FROM pages""")
@@ -212,9 +268,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, e DESC) n
 SELECT q, e, round(score, 6) score FROM r WHERE n = 1 AND score >= 0.6 AND (s2 IS NULL OR score - s2 >= 0.12)""")
 def token_jaccard_match(spark, d):
     """Best match by Jaccard similarity within a block, if clearly ahead of the second."""
-    w = table(spark, d, "part").select("p_partkey", "p_brand", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("w"))
-    pairs = w.select(F.col("p_partkey").alias("q"), "p_brand", F.col("w").alias("qw")).join(w.select(F.col("p_partkey").alias("e"), "p_brand", F.col("w").alias("ew")), "p_brand").where("q <> e")
-    return M.jaccard_match(pairs, "q", "e", "qw", "ew").withColumn("score", F.round("score", 6))
+    w = table(spark, d, "part").select("p_brand", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("words"), F.col("p_partkey").alias("e"))
+    return M.word_match(w.withColumnRenamed("e", "q"), w, "q", "e", block="p_brand", other=F.col("q") != F.col("e")).withColumn("score", F.round("score", 6))
 
 
 @R.query("""SELECT c_name AS city, p_type AS state, min(p_partkey) p_partkey FROM (SELECT lower(p_name) c_name, p_type, p_partkey FROM part) GROUP BY ALL HAVING count(*) = 1""")

@@ -26,6 +26,10 @@ DIRECTORY = [
     (228723, "Texas A & M University-College Station", [], "College Station", "TX"),
     (149781, "Wheaton College", [], "Wheaton", "IL"),
     (168281, "Wheaton College", [], "Norton", "MA"),
+    (214652, "Pennsylvania State University-Penn State Worthington Scranton", [], "Dunmore", "PA"),
+    (214777, "Pennsylvania State University-Main Campus", [], "University Park", "PA"),
+    (214689, "Pennsylvania State University-Penn State Altoona", [], "Altoona", "PA"),
+    (228325, "Nelson University", [], "Waxahachie", "TX"),
 ]
 QUERIES = [
     (1, "Princeton University", "Princeton", "NJ"),
@@ -38,6 +42,12 @@ QUERIES = [
     (8, "Wheaton College", "Norton", "MA"),
     (9, "High Point University", "High Point", None),
     (10, "Unheard of Academy of Nothing", "Nowhere", "WY"),
+    (11, "Pennsylvania State University -- Scranton", "", None),
+    (12, "California State University--Fullerton", "Fullerton", "CA"),
+    (13, "Southwestern Assemblies of God University", "Waxahachie", "TX"),
+    (14, "Texas A&M University--Victoria", "Victoria", "TX"),
+    (15, "Wheaton College", "Wheaton", "IL"),
+    (16, "Princeton University", "Princeton", "NJ"),
 ]
 
 
@@ -48,24 +58,39 @@ def frames(spark):
 
 def test_listing_cascade(spark):
     q, d = frames(spark)
-    truth = spark.createDataFrame([(1, 186131), (7, 110565), (10, 5)], "qid long, truth long")
-    got = {r["qid"]: r for r in M.resolve_listing(q, d, truth).collect()}
+    truth = spark.createDataFrame([(1, 186131), (7, 110565), (10, 5), (12, 110583), (16, 110565)], "qid long, truth long")
+    decided = M.resolve_listing(q, d, truth)
+    got = {r["qid"]: r for r in decided.collect()}
     assert len(got) == len(QUERIES)
-    want = {1: 186131, 2: 168342, 3: 198695, 4: 104586, 5: 110422, 6: 126562, 8: 168281, 9: 198695}
+    want = {1: 186131, 2: 168342, 3: 198695, 4: 104586, 5: 110422, 6: 126562, 7: 110583, 8: 168281, 9: 198695, 11: 214652, 12: 110565, 13: 228325, 15: 149781, 16: 186131}
     assert {k: got[k]["unitid"] for k in want} == want
     assert got[1]["method"] == "truth_confirmed" and not got[1]["review"]
+    assert [got[k]["method"] for k in (7, 12, 16)] == ["exact_location_over_truth"] * 3 and all(got[k]["review"] and got[k]["confidence"] == "high" for k in (7, 12, 16))
     assert got[10]["unitid"] == 5 and got[10]["method"] == "truth_only"
+    # a renamed school is found by its place alone, and flagged; a campus that is not listed is no other campus
+    assert got[13]["method"] == "city_unique" and got[13]["confidence"] == "low" and got[13]["review"]
+    assert got[14]["unitid"] not in (228723, 228343) and got[14]["review"]
     bare = {r["qid"]: r for r in M.resolve_listing(q, d).collect()}
     assert bare[7]["unitid"] == 110583 and bare[10]["unitid"] is None and bare[10]["review"]
+    counts = M.truth_counts(decided, truth).first()
+    assert (counts["n"], counts["agree"], counts["override"], counts["disagree"]) == (5, 2, 3, 0)
     assert M.resolve_listing(q.limit(0), d).count() == 0 and M.resolve_listing(q, d.limit(0)).where("unitid IS NOT NULL").count() == 0
 
 
+def test_review_of_another_entity_in_the_city(spark):
+    """A good match elsewhere is looked at again where another candidate lies in the query's city."""
+    d = spark.createDataFrame([(1, "Alpha College of Fine Arts", [], "Far", "OH"), (2, "Alpha Institute", [], "Near", "OH"), (3, "Beta Institute", [], "Near", "OH")], "unitid long, name string, aliases array<string>, city string, state string")
+    q = spark.createDataFrame([(1, "Alpha College Fine Arts", "Near", "OH"), (2, "Alpha College Fine Arts", "Far", "OH")], "qid long, name string, city string, state string")
+    got = {r["qid"]: r for r in M.resolve_listing(q, d).collect()}
+    assert got[1]["unitid"] == got[2]["unitid"] == 1 and not got[2]["review"]
+
+
 def test_score_cascade(spark):
     d = spark.createDataFrame([(1, "Alpha State University-Main Campus", None, "PA"), (2, "Beta College of Science", ["Beta Sci"], "OH"), (3, "Gamma University", [], "TX"), (4, "Gamma University", [], "TX"), (6, "Delta College of Science", [], "OH")], "unitid long, name string, aliases array<string>, state string")
-    q = spark.createDataFrame([(1, "Alpha State Univ", "PA"), (2, "Beta Sci", "OH"), (3, "Gamma University", "TX"), (4, "Odd One", "TX"), (5, "Delta College Science", "OH")], "qid long, name string, state string")
-    over = spark.createDataFrame([("Odd One", 4)], "name string, unitid long")
+    q = spark.createDataFrame([(1, "Alpha State Univ", "PA"), (2, "Beta Sci", "OH"), (3, "Gamma University", "TX"), (4, "Odd One", "TX"), (5, "Delta College Science", "OH"), (6, "Odd One", "OH"), (7, "Odd One", None)], "qid long, name string, state string")
+    over = spark.createDataFrame([("Odd One", "TX", 4), ("Odd One", "PA", 1)], "name string, state string, unitid long")
     got = {r["qid"]: (r["unitid"], r["method"]) for r in M.resolve_scores(q, d, over).collect()}
-    assert got == {1: (1, "loose"), 2: (2, "exact"), 3: (None, "unmatched"), 4: (4, "manual"), 5: (6, "jaccard")}
+    assert got == {1: (1, "loose"), 2: (2, "exact"), 3: (None, "unmatched"), 4: (4, "manual"), 5: (6, "jaccard"), 6: (None, "unmatched"), 7: (None, "unmatched")}
 
 
 def test_equal_queries_stay(spark):
