@@ -249,3 +249,29 @@ def name_or(c: Column, placeholder: str = "(Unnamed)") -> Column:
 def nested_metric(metrics: Column, name: str) -> Column:
     """A metric of a map by name, null if it is absent."""
     return F.try_element_at(metrics, F.lit(name))
+
+
+# Regions and their states, in the order in which they are shown.
+REGIONS = {
+    "New England": ["Connecticut", "Maine", "Massachusetts", "New Hampshire", "Rhode Island", "Vermont"],
+    "Mid East": ["Delaware", "Washington DC", "Maryland", "New Jersey", "New York", "Pennsylvania"],
+    "Great Lakes": ["Illinois", "Indiana", "Michigan", "Ohio", "Wisconsin"],
+    "Plains": ["Iowa", "Kansas", "Minnesota", "Missouri", "Nebraska", "North Dakota", "South Dakota"],
+    "Southeast": ["Alabama", "Arkansas", "Florida", "Georgia", "Kentucky", "Louisiana", "Mississippi", "North Carolina", "South Carolina", "Tennessee", "Virginia", "West Virginia"],
+    "Southwest": ["Arizona", "New Mexico", "Oklahoma", "Texas"],
+    "Rocky Mountains": ["Colorado", "Idaho", "Montana", "Utah", "Wyoming"],
+    "Far West": ["Alaska", "California", "Hawaii", "Nevada", "Oregon", "Washington"],
+}
+
+# Columns of the race codes of enrolment files.
+RACES = {1: "pct_white", 2: "pct_black", 3: "pct_hispanic", 4: "pct_asian", 5: "pct_aian", 6: "pct_nhpi", 7: "pct_two_or_more", 8: "pct_international", 9: "pct_unknown"}
+
+
+def region_of(state: Column) -> Column:
+    """Region of a state by its name; null for others."""
+    return code_label(state, {name: region for region, names in REGIONS.items() for name in names})
+
+
+def race_column(code: Column) -> Column:
+    """Column of an enrolment file's race code; null for totals and others."""
+    return code_label(code.cast("int"), RACES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import gestalt_ratio
 from ..storage import written
+from . import similarity as J
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
@@ -67,3 +68,31 @@ def top_ratios(pairs: DataFrame, query_key: str, entity: str, a: str, b: str, to
 def ratios_from(pairs: DataFrame, a: str, b: str, least: float, out: str = "ratio") -> DataFrame:
     """pairs with `out` where it is `least` or more; only pairs whose bound reaches that are scored."""
     return scored(bounded(pairs, a, b, least).drop("bound"), a, b, out).where(F.col(out) >= least)
+
+
+def bigrams(text: Column) -> Column:
+    """Neighbouring letters of a text, each with its number among equal ones: a set as large as the text has pairs."""
+    pairs = F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
+def close_names(queries: DataFrame, directory: DataFrame, query_key: str, entity: str, text: str, least: float = 0.92) -> DataFrame:
+    """query_key, entity, ratio of all pairs with a ratio of `least` (above 2/3) or more, without any block.
+
+    Texts of n and m letters with M matched ones in k runs share M - k bigrams, and k - 1 is at most the number of
+    unmatched letters; so a ratio t leaves at least (1.5 t - 1)(n + m) - 1 shared bigrams. Pairs that may share so many
+    are found by prefixes of rare bigrams (similarity.candidates); then the bounds above, then the exact ratio. Pairs
+    too short to need a shared bigram can only be equal, and are joined as such. Keys must be unique; null texts are in no pair.
+    """
+    if least <= 2 / 3:
+        raise ValueError("ratios of 2/3 and less need no common bigram")
+    q, d = (df.select(F.col(k).alias(k), F.col(text).alias(t)).where(F.col(text).isNotNull()).withColumn("grams", bigrams(F.col(t))) for df, k, t in ((queries, query_key, "_qtext"), (directory, entity, "_etext")))
+    sides, share = J.word_sides(q, d, query_key, entity, "grams"), 1.5 * least - 1
+    # sizes are of bigrams, one less than letters each
+    need = lambda n, m: (n + m + 2) * (share * (1 - J.SLACK)) - 1
+    most = lambda n, left: F.floor((left + 1) / (share * (1 - J.SLACK)) - n - 2)
+    longer = J.candidates(sides, need, most, lambda n: F.ceil((n + 1) * (least / (2 - least)) * (1 - J.SLACK)) - 1)
+    longer = longer.select(F.col("qk").alias(query_key), F.col("ek").alias(entity)).join(q.drop("grams"), query_key).join(d.drop("grams"), entity)
+    equal = q.drop("grams").join(d.drop("grams"), F.col("_qtext") == F.col("_etext"))
+    pairs = longer.where("_qtext <> _etext").unionByName(equal)
+    return ratios_from(pairs, "_qtext", "_etext", least).select(query_key, entity, "ratio")

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def melt(df: DataFrame, keys: Sequence[str], values: Sequence[str], variable: str = "variable", value: str = "value") -> DataFrame:
     """Wide to long, without missing values."""
@@ -134,9 +136,14 @@ def shares(df: DataFrame, keys: Sequence[str], category: str, amount: str, codes
     return base.select(*keys, *[F.round(F.col(f"_{n}") / F.col("_total"), 4).alias(n) for n in codes.values()], F.round(rest, 4).alias("rest"))
 
 
+def canonical_keys(entity: str, year: str, variable: str, names: Sequence[str]) -> list[Column]:
+    """Keys of the deterministic order: entity as text, year as number, position in the list of variables."""
+    return [F.col(entity).cast("string"), F.col(year).cast("int"), F.array_position(F.array(*map(F.lit, names)), F.col(variable))]
+
+
 def canonical_order(df: DataFrame, entity: str, year: str, variable: str, names: Sequence[str]) -> DataFrame:
-    """Deterministic order: entity as text, year as number, position in the list of variables."""
-    return df.orderBy(F.col(entity).cast("string"), F.col(year).cast("int"), F.array_position(F.array(*map(F.lit, names)), F.col(variable)))
+    """df in the order of canonical_keys."""
+    return df.orderBy(*canonical_keys(entity, year, variable, names))
 
 
 def distinct_in_order(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -144,9 +151,10 @@ def distinct_in_order(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias("first_row")).orderBy("first_row")
 
 
-def numbered_batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Batch numbers of `size` rows in order, for request planning over a bounded id list."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("int"))
+def numbered_batches(df: DataFrame, order: Sequence[Column | str] | str, size: int) -> DataFrame:
+    """df with batch: rows in order, `size` to a batch from 0 on, for request planning (see order.numbered)."""
+    rows = numbered(df, [order] if isinstance(order, str) else order, "batch")
+    return rows.withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))
 
 
 def nonblank_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,7 +5,8 @@ Candidates always come from an equi-join on a block (state, word, key); Python r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -341,6 +342,64 @@ def resolve_scores(queries: DataFrame, directory: DataFrame, overrides: DataFram
     return got.select(query_key, F.coalesce(manual, "e1", "e2", "e3").alias(entity), method.alias("method"))
 
 
+def second_pass(queries: DataFrame, directory: DataFrame, gaps: DataFrame | None = None, query_key: str = "qid", entity: str = "unitid", most_gap: float = 25.0) -> DataFrame:
+    """query_key, entity, method: the conservative pass over what is left: one entity by the second-pass form of a name
+    or alias, else one by the loose form. Nothing is taken on similarity alone (close_names lists what is near).
+
+    queries: query_key (unique), name; directory: entity, name, aliases (array); gaps: query_key, entity, gap, where a match
+    can be checked against a measure: one further off than most_gap is rejected, one that cannot be checked is kept.
+    """
+    names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
+    d = directory.select(entity, F.explode(names).alias("n")).select(entity, N.second_pass_form(F.col("n")).alias("form"), N.second_pass_form(F.col("n"), True).alias("loose"))
+    q = queries.select(query_key, N.second_pass_form(F.col("name")).alias("form"), N.second_pass_form(F.col("name"), True).alias("loose"))
+    for key, out in (("form", "e1"), ("loose", "e2")):
+        q = q.join(unique_by_key(d.where(F.col(key) != ""), [key], entity).withColumnRenamed(entity, out), key, "left")
+    got = q.select(query_key, F.coalesce("e1", "e2").alias(entity), F.when(F.col("e1").isNotNull(), "exact_alias").otherwise("loose_nocampus").alias("method")).where(F.col(entity).isNotNull())
+    if gaps is None:
+        return got
+    known = gaps.groupBy(query_key, entity).agg(F.max("gap").alias("_gap"))
+    return got.join(known, [query_key, entity], "left").where(F.coalesce(F.col("_gap") <= most_gap, F.lit(True))).drop("_gap")
+
+
+def settle(queue: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]], folder: str, query_key: str = "qid") -> DataFrame:
+    """Decisions (query_key, ..., round) on a queue, made in rounds until a round over all steps decides nothing new.
+
+    A round is one step over what no earlier round has decided; it sees nothing else. Its decisions are written as
+    <folder>/round=<n> and are final: a run that starts over, after a crash or with a longer queue, reads them and goes
+    on, and a run without news writes nothing. A step may look at earlier decisions in the folder. Decisions need a non-null query_key, one row each;
+    queue rows without a key are never decided.
+    """
+    spark, rounds, idle = queue.sparkSession, _rounds(queue, folder), 0
+    while idle < len(steps):
+        left = queue.where(F.col(query_key).isNotNull())
+        for n in rounds:
+            done = spark.read.parquet(f"{folder}/round={n}")
+            left = left.join(done.select(query_key), query_key, "left_anti")
+        n = max(rounds, default=-1) + 1
+        step = steps[(n + idle) % len(steps)]
+        news = written(step(left))
+        if news.isEmpty():
+            idle += 1
+            continue
+        news.write.mode("overwrite").parquet(f"{folder}/round={n}")
+        rounds, idle = [*rounds, n], 0
+    if not rounds:
+        return written(steps[0](queue.limit(0))).withColumn("round", F.lit(0))
+    parts = [spark.read.parquet(f"{folder}/round={n}").withColumn("round", F.lit(n)) for n in rounds]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rounds(df: DataFrame, folder: str) -> list[int]:
+    """Numbers of the finished rounds in a folder."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("round=")]
+    return sorted(int(p.getName().removeprefix("round=")) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def best_per_entity(pairs: DataFrame, query_key: str, entity: str, score: str) -> DataFrame:
     """Of several spellings of an entity the one with the best score: one pair of query and entity."""
     return pairs.groupBy(query_key, entity).agg(F.max(score).alias(score))

@@ -172,7 +172,12 @@ def without_entity(plotted: DataFrame, key: str, value) -> DataFrame:
 
 def no_data_first(df: DataFrame, metric_column: str, name: str) -> DataFrame:
     """df with has_data, rows with data first, then by name."""
-    return df.withColumn("has_data", F.col(metric_column).isNotNull()).orderBy(F.desc("has_data"), F.asc(name))
+    return df.withColumn("has_data", F.col(metric_column).isNotNull()).orderBy(*data_first_keys("has_data", name))
+
+
+def data_first_keys(has_data: str, name: str) -> list[Column]:
+    """Sort keys: rows with data first, then by name."""
+    return [F.desc(has_data), F.asc(name)]
 
 
 def deep_link(base: str, key: Column) -> Column:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .percentiles import exact_percentiles
+
 
 def pearson(df: DataFrame, x: str, y: str, least: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """n and r over rows with both values; r is null for fewer than `least` rows or without variance."""
@@ -88,9 +90,9 @@ def residuals(df: DataFrame, target: str, predictors: Sequence[str], out: str =
 
 
 def colour_domain(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """lo, mid, hi: interpolated 2nd percentile, median and interpolated 98th percentile."""
-    q = F.percentile(value, F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98)))
-    return df.groupBy(*by).agg(q.alias("_q")).select(*by, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("mid"), F.col("_q")[2].alias("hi"))
+    """lo, mid, hi: interpolated 2nd percentile, median and interpolated 98th percentile, exact for groups of any size."""
+    q = exact_percentiles(df, value, (0.02, 0.5, 0.98), by)
+    return q.select(*by, F.col("percentiles")[0].alias("lo"), F.col("percentiles")[1].alias("mid"), F.col("percentiles")[2].alias("hi"))
 
 
 def colour_position(value: Column, lo: Column, mid: Column, hi: Column, diverging: bool, reverse: bool = False) -> Column:
@@ -141,6 +143,25 @@ def nearest_point(df: DataFrame, x: Column, y: Column, at: tuple[float, float],
     return df.withColumn("distance", d).where(F.col("distance") <= radius).orderBy("distance", *df.columns).limit(1)
 
 
+def nearest_points(points: DataFrame, clicks: DataFrame, point: str, click: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
+    """click, point, distance: the point nearest to each click within the radius; of equally near ones the smallest.
+
+    The plane is cut into squares of the radius's width. A click is sent to the nine squares around it and meets only the
+    points there, by an equi-join; points of one place count as their smallest before that. Clicks without a point in
+    reach, and rows without coordinates, have no row.
+    """
+    square = lambda c: F.floor(F.col(c) / radius).cast("long")
+    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).agg(F.min(point).alias(point))
+    known = known.withColumn("_i", square("_px")).withColumn("_j", square("_py"))
+    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    asked = clicks.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(click, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    asked = asked.withColumn("_di", F.explode(around)).withColumn("_dj", F.explode(around)).withColumn("_i", square("_x") + F.col("_di")).withColumn("_j", square("_y") + F.col("_dj"))
+    dx, dy = F.col("_px") - F.col("_x"), F.col("_py") - F.col("_y")
+    met = asked.join(known, ["_i", "_j"]).withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(F.col("_d") <= radius)
+    best = met.groupBy(click).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(point).alias("p"))).alias("_b"))
+    return best.select(click, F.col("_b.p").alias(point), F.col("_b.d").alias("distance"))
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Aggregate: weighted mean over rows with both."""
     both = value.isNotNull() & weight.isNotNull()

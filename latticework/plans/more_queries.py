@@ -12,6 +12,7 @@ from ..operators import resolve as M
 from ..operators import serve as V
 from ..operators import stats as S
 from ..operators import upsert as U
+from ..operators.order import numbered
 from .registry import Registry, table
 
 R = Registry()
@@ -33,11 +34,11 @@ def field_fallbacks(spark, d):
     return P.with_fallbacks(base, [("side", side)], "id", {"label": ["base", "side"], "name": ["side", "base"]})
 
 
-@R.query("""SELECT c_custkey, coalesce(s_acctbal::VARCHAR, 'NA') IS DISTINCT FROM 'NA' AS known FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey""")
+@R.query("""SELECT c_custkey, coalesce(s_suppkey::VARCHAR, 'NA') AS cost FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey""")
 def index_with_cost(spark, d):
     """Index rows with a cost, or the mark of its absence."""
-    cost = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_acctbal")
-    return P.with_cost(table(spark, d, "customer").select("c_custkey"), cost, "c_custkey", "s_acctbal").select("c_custkey", (F.col("s_acctbal") != "NA").alias("known"))
+    cost = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_suppkey").alias("cost"))
+    return P.with_cost(table(spark, d, "customer").select("c_custkey"), cost, "c_custkey", "cost").select("c_custkey", F.col("cost").cast("string").alias("cost"))
 
 
 @R.query("""SELECT o_orderkey, entity FROM orders LEFT JOIN (SELECT s_suppkey, min(s_nationkey) entity FROM supplier GROUP BY 1) ON o_custkey = s_suppkey""")
@@ -60,10 +61,11 @@ def point_lookup(spark, d):
     return P.lookup(table(spark, d, "orders"), o_custkey=7, o_orderstatus="F").select("o_orderkey", "o_totalprice")
 
 
-@R.query("""SELECT l_orderkey, l_linenumber, year(l_shipdate)::INTEGER AS edition, (year(l_shipdate) - 2)::INTEGER AS cohort FROM lineitem WHERE regexp_matches(l_partkey::VARCHAR, '^[0-9]+$')""")
+@R.query("""SELECT l_orderkey, l_linenumber, year(l_shipdate)::INTEGER AS edition, (year(l_shipdate) - 2)::INTEGER AS cohort FROM lineitem WHERE l_linestatus = 'O'""")
 def cohort_shift(spark, d):
-    """Cohort year beside the edition, for rows whose id is digits only."""
-    li = table(spark, d, "lineitem").where(C.is_entity_id(F.col("l_partkey"))).withColumn("edition", F.year("l_shipdate"))
+    """Cohort year beside the edition, for rows whose id is digits only: those of closed lines carry a letter."""
+    li = table(spark, d, "lineitem").withColumn("id", F.when(F.col("l_linestatus") == "O", F.col("l_partkey").cast("string")).otherwise(F.concat("l_linestatus", "l_partkey")))
+    li = li.where(C.is_entity_id(F.col("id"))).withColumn("edition", F.year("l_shipdate"))
     return li.select("l_orderkey", "l_linenumber", "edition", C.cohort_year(F.col("edition")).alias("cohort"))
 
 
@@ -92,15 +94,11 @@ def first_row_wins(spark, d):
     return P.first_wins(c, ["c_nationkey"], "at").select("c_nationkey", "c_custkey")
 
 
-@R.query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey::VARCHAR, year(o_orderdate), list_position(['F', 'O', 'P'], o_orderstatus), o_orderkey) AS place FROM orders WHERE o_custkey < 40""")
+@R.query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey::VARCHAR, year(o_orderdate), list_position(['F', 'O', 'P'], o_orderstatus), o_orderkey) AS place FROM orders""")
 def canonical_places(spark, d):
-    """Entity as text, year as number, position of the variable."""
-    o = table(spark, d, "orders").where("o_custkey < 40").withColumn("year", F.year("o_orderdate"))
-    o = P.canonical_order(o.orderBy("o_orderkey"), "o_custkey", "year", "o_orderstatus", ["F", "O", "P"])
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.col("o_custkey").cast("string"), "year", F.array_position(F.array(*map(F.lit, "FOP")), F.col("o_orderstatus")), "o_orderkey")
-    return o.select("o_orderkey", F.row_number().over(w).cast("long").alias("place"))
+    """Places of all orders: entity as text, year as number, position of the variable."""
+    o = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    return numbered(o, [*P.canonical_keys("o_custkey", "year", "o_orderstatus", ["F", "O", "P"]), "o_orderkey"]).select("o_orderkey", "place")
 
 
 @R.query("""SELECT p_partkey, 'https://x.example/parts/' || p_partkey AS link, CASE WHEN p_size < 10 THEN '20' || lpad((p_size + 10)::VARCHAR, 2, '0') || '-20' || (p_size + 11) END AS "year",
@@ -134,14 +132,13 @@ def regions_of_states(spark, d):
     return V.regions_per_state(n, "r_name", "n_nationkey")
 
 
-@R.query("""SELECT event_id, CASE WHEN value > 50 THEN 2 WHEN user_id > 10 THEN 1 ELSE 0 END AS n, CASE WHEN value > 50 THEN value END AS gain FROM events""")
+@R.query("""SELECT event_id, (value > 50)::INTEGER + (user_id > 10)::INTEGER AS n, CASE WHEN value > 50 THEN value END AS gain FROM events""")
 def injected_metric(spark, d):
     """One metric set in a nested record where it is known, and read back with a default of null."""
     e = table(spark, d, "events").withColumn("m", F.when(F.col("user_id") > 10, F.create_map(F.lit("a"), F.lit(1.0))).otherwise(F.expr("cast(map() as map<string,double>)")))
     e = e.withColumn("known", F.when(F.col("value") > 50, F.col("value")))
     out = U.with_metric(e, "m", "gain", "known")
-    n = F.when(F.col("value") > 50, 2).otherwise(F.size("m"))
-    return out.select("event_id", n.alias("n"), C.nested_metric(F.col("m"), "gain").alias("gain"))
+    return out.select("event_id", F.size("m").alias("n"), C.nested_metric(F.col("m"), "gain").alias("gain"))
 
 
 @R.query("""SELECT p_partkey, round(CASE WHEN least(a, b) > 0 THEN inter / least(a, b) ELSE 0 END, 6) AS overlap FROM (
@@ -151,14 +148,16 @@ def word_overlap(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(N.overlap(F.split("p_name", " "), F.split(F.lower("p_type"), " ")), 6).alias("overlap"))
 
 
-@R.query("""SELECT c_custkey, s_suppkey FROM customer JOIN (SELECT s_nationkey, min(s_suppkey) s_suppkey FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1) ON c_nationkey = s_nationkey""")
+@R.query("""WITH one AS (SELECT s_nationkey, min(s_suppkey) e FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1), o AS (SELECT s_nationkey, max(s_suppkey) e FROM supplier WHERE s_nationkey % 3 = 0 GROUP BY 1)
+SELECT c_custkey, coalesce(o.e, one.e) AS before, coalesce(one.e, o.e) AS after FROM customer LEFT JOIN one ON one.s_nationkey = c_nationkey LEFT JOIN o ON o.s_nationkey = c_nationkey""")
 def override_assignments(spark, d):
-    """Unique keys assigned, hand-made assignments after them."""
+    """Unique keys assigned, and hand-made assignments for a third of the keys: before the automatic ones, and after them."""
+    s = table(spark, d, "supplier")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("s_nationkey"))
-    one = M.unique_by_key(table(spark, d, "supplier"), ["s_nationkey"], "s_suppkey")
-    got = c.join(one, "s_nationkey")
-    none = table(spark, d, "supplier").where("s_suppkey < 0").select("s_nationkey", "s_suppkey")
-    return M.with_overrides(got, none, ["s_nationkey"], "s_suppkey", first=False).select("c_custkey", "s_suppkey")
+    got = c.join(M.unique_by_key(s, ["s_nationkey"], "s_suppkey"), "s_nationkey", "left")
+    made = s.where("s_nationkey % 3 = 0").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("s_suppkey"))
+    first = M.with_overrides(got, made, ["s_nationkey"], "s_suppkey", first=True).withColumnRenamed("s_suppkey", "before")
+    return first.join(M.with_overrides(got, made, ["s_nationkey"], "s_suppkey", first=False).select("c_custkey", F.col("s_suppkey").alias("after")), "c_custkey").select("c_custkey", "before", "after")
 
 
 @R.query("""SELECT l_returnflag, 0.0 AS position, printf('%.1f', quantile_cont(l_extendedprice, 0.02)) AS "label" FROM lineitem GROUP BY 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..operators import serve as V
 from ..operators import stats as S
+from ..operators.order import numbered
 from .registry import Registry, table
 
 R = Registry()
@@ -50,11 +51,9 @@ def rank_then_filter(spark, d):
 @R.query("""SELECT s_suppkey, row_number() OVER (ORDER BY v ASC NULLS LAST, s_suppkey) up, row_number() OVER (ORDER BY v DESC NULLS FIRST, s_suppkey) down FROM (SELECT s_suppkey, CASE WHEN s_acctbal > 1000 THEN s_acctbal END v FROM supplier)""")
 def sort_null_order(spark, d):
     """Positions under the table order, upwards and downwards."""
-    from pyspark.sql import Window
-
     s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 1000, F.col("s_acctbal")).alias("v"))
-    place = lambda desc: F.row_number().over(Window.orderBy(V.table_order("v", desc), "s_suppkey"))
-    return s.select("s_suppkey", place(False).alias("up"), place(True).alias("down"))
+    up = numbered(s, [V.table_order("v"), "s_suppkey"], "up")
+    return numbered(up, [V.table_order("v", True), "s_suppkey"], "down").select("s_suppkey", "up", "down")
 
 
 @R.query("""SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 20""")

@@ -92,6 +92,13 @@ def file_id(path: Column | None = None) -> Column:
     return F.nullif(F.regexp_extract(name, "^([0-9]+)", 1), F.lit(""))
 
 
+def with_manifest(files: DataFrame, manifest: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """files with their id, the leading digits of the name, and the manifest's columns for it; files that the manifest
+    does not know stay, those without an id too."""
+    known = manifest.withColumn(key, F.col(key).cast("string"))
+    return files.withColumn(key, file_id(F.col(path))).join(known, key, "left")
+
+
 def request_url(base: str, params: dict[str, object]) -> str:
     """Address with parameters in the given order; lists are joined by commas."""
     from urllib.parse import urlencode
@@ -99,10 +106,12 @@ def request_url(base: str, params: dict[str, object]) -> str:
     return f"{base}?{urlencode({k: ','.join(map(str, v)) if isinstance(v, (list, tuple)) else v for k, v in params.items()}, safe=',')}"
 
 
-def scope(df: DataFrame, ids: Sequence | None = None, years: Sequence[int] | None = None, covered: tuple[int, int] | None = None, entity: str = "unitid", year: str = "year") -> DataFrame:
-    """Rows of a run: a subset of ids and of years, within the years a series covers."""
+def scope(df: DataFrame, ids: Sequence | None = None, years: Sequence[int] | None = None, covered: tuple[int, int] | None = None, entity: str = "unitid", year: str = "year", first: int | None = None) -> DataFrame:
+    """Rows of a run: a subset of ids or the first ids in order, a subset of years, within the years a series covers."""
     if ids is not None:
         df = df.where(F.col(entity).isin(*ids))
+    if first is not None:
+        df = df.join(df.select(entity).where(F.col(entity).isNotNull()).distinct().orderBy(entity).limit(first), entity, "left_semi")
     if years is not None:
         df = df.where(F.col(year).isin(*years))
     return df.where(F.col(year).between(*covered)) if covered else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,50 @@ def write_version(df: DataFrame, root: str, version: int, apply: bool = True) ->
     return path
 
 
+#: Name of the file that says which version of a table is the current one.
+POINTER = "current"
+
+
+def publish(df: DataFrame, root: str) -> str:
+    """Write df as a new version under root and make it the current one; returns its folder. df may read the current one.
+
+    Versions lie beside each other as <root>/v=<mark>. What is current stands in one small file, which is written aside
+    and put in place by a single rename over the old one: a reader at any moment finds the old version whole or the new
+    one whole. Earlier versions stay until `prune`; a run that ends early leaves the pointer as it was.
+    """
+    path = f"{root.rstrip('/')}/v={uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, fs, staged = _fs(df, f"{path}__pointer")
+    out = fs.create(staged)
+    out.write(path.rsplit("/", 1)[-1].encode())
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    options = df.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(staged), context.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{POINTER}")), options)
+    return path
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The current version of a published table."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{_current_name(spark, root)}")
+
+
+def _current_name(spark: SparkSession, root: str) -> str:
+    return spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/{POINTER}").first()[0]
+
+
+def prune(spark: SparkSession, root: str, keep: int = 1) -> None:
+    """Delete all but the `keep` newest versions and the current one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs, now = path.getFileSystem(conf), _current_name(spark, root)
+    found = sorted(((s.getModificationTime(), s.getPath()) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=") and s.isDirectory()), key=lambda x: x[0])
+    for _, old in found[: max(0, len(found) - keep)]:
+        if old.getName() != now:
+            fs.delete(old, True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object per line, UTF-8."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -94,10 +138,12 @@ def markdown(df: DataFrame, most: int = 10_000) -> str:
 
 
 def replace_assignment(source: str, name: str, body: str) -> str:
-    """A script with the value assigned to a name replaced; an error unless the name is assigned exactly once."""
+    """A script with the value assigned to a name replaced, up to the first semicolon outside quotes; an error unless the
+    name is assigned exactly once."""
     import re
 
-    found = re.compile(rf"(\b{re.escape(name)}\s*=\s*)([^;]*)(;)")
+    value = r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|[^;"'`])*"""
+    found = re.compile(rf"(\b{re.escape(name)}\s*=(?!=)\s*)({value})(;)", re.S)
     if len(found.findall(source)) != 1:
         raise ValueError(f"{name} is not assigned exactly once")
     return found.sub(lambda m: m[1] + body + m[3], source)
