@@ -48,6 +48,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a materialized frame."""
+    sc = df.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(df._latticework_path)
+    return int(p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files behind materialized frames that nothing reads any more."""
     for df in frames:

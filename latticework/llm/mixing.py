@@ -117,7 +117,7 @@ def targets(units: DataFrame, weights: tuple[int, ...], share: float, cap: float
 
 
 def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """source, id, size, source_size, target, copies: how often the mix takes each document.
+    """source, id, size, rows, source_size, target, copies: how often the mix takes each of the `rows` documents of a unit.
 
     A unit is a distinct (source, id, size); rows that repeat one share its decision and weigh as many times.
     A source at rate r = target / source_size takes each unit floor(r) times and once more with probability
@@ -129,7 +129,7 @@ def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     units = materialize(
         docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), size.alias("size"))
-        .groupBy("source", "id", "size").agg(F.count("*").alias("m")).withColumn("weight", F.col("size") * F.col("m"))
+        .groupBy("source", "id", "size").agg(F.count("*").alias("rows")).withColumn("weight", F.col("size") * F.col("rows"))
     )
     by = materialize(targets(units, weights, share, cap))
     few = by.count() <= BROADCAST_SOURCES
@@ -141,7 +141,7 @@ def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
         .withColumn("order", F.xxhash64("id", "size"))
         .withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("long"))
-        .select("source", "id", "size", "weight", "source_size", "target", "whole", "p", "order", "chunks")
+        .select("source", "id", "size", "rows", "weight", "source_size", "target", "whole", "p", "order", "chunks")
     )
     open_ = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9) & (F.col("weight") > 0)
     settled = [rated.where(~open_).withColumn("p", F.round("p")).drop("chunks")]
@@ -161,14 +161,20 @@ def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)
-    return out.select("source", "id", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+    return out.select("source", "id", "size", "rows", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """docs with size, source_size, target, copies appended (clashing names are replaced); see mix_decisions."""
+    """docs with size, source_size, target, copies appended; see mix_decisions.
+
+    Every row stays, repeated ones and those of null ids, texts or sources too; an empty table gives none. Extra columns
+    stay, whatever their names, except that those called as a new one are replaced.
+    """
     new = ["size", "source_size", "target", "copies"]
-    rest = docs.drop(*(c for c in new if c not in (id_col, text_col, source_col)))
-    got = mix_decisions(rest, id_col, text_col, source_col, **how).select(F.col("source").alias("_s"), F.col("id").alias("_i"), F.col("size").alias("_z"), "source_size", "target", "copies")
-    sized = rest.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
-    on = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    return sized.join(got, on).drop("_s", "_i", "_z")
+    keep = [c for c in docs.columns if c not in new]
+    decided = mix_decisions(docs, id_col, text_col, source_col, **how).select(F.struct("source", "id", "size").alias("unit"), "source_size", "target", "copies")
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    # the caller's columns travel as one, so that no name of theirs meets a name used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("s"), F.col(f"`{id_col}`").alias("i"), size.alias("z"))
+    on = F.col("i").eqNullSafe(F.col("unit.id")) & F.col("s").eqNullSafe(F.col("unit.source")) & (F.col("z") == F.col("unit.size"))
+    return rows.join(decided, on).select(*[F.col("row")[c].alias(c) for c in keep], F.col("z").alias("size"), "source_size", "target", "copies")

@@ -13,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, stored_bytes
 
 #: Dimensions of the projected document vectors and bits of the curve for each.
 DIMS, BITS = 4, 15
+#: Stored bytes of ids that a range of the curve holds at most on average.
+RANGE_BYTES = 1 << 24
 
 
 class Tokenizer:
@@ -187,18 +189,21 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_col:
 
     1. One pass tokenizes each whole text (null: empty), appends end_id and places the document: its hashed
        token vector is projected to a few dimensions and located on the curve. Written to shared storage.
-    2. Rows are range-partitioned and sorted by (curve position, id), so neighbours on the curve are packed
+    2. Rows are range-partitioned (in number by the bytes written) and sorted by (curve position, id), so neighbours on the curve are packed
        together; equal positions (copies) spread by id.
     3. Each partition fills sequences one after another, cutting documents where a sequence is full. The last
        sequence of a partition is split at powers of two, which need no padding. A task holds one batch of
        documents and one open sequence.
 
     Returns id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. Repeated
-    rows and equal texts are packed as often as they occur. Empty table: empty result.
+    rows and equal texts are packed as often as they occur; null ids, which come first among equal positions, are packed
+    like others. Extra columns are left behind, whatever their names. Empty table: empty result.
     """
     rows = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_tokenize((json_path, ranks_path, pattern), end_id), "id long, curve long, ids binary"))
     width = _width(ranks_path)
-    sorted_ = rows.repartitionByRange("curve", "id").sortWithinPartitions("curve", "id", F.xxhash64("ids"))
+    # as many ranges as the ids fill, so that a task's share stays the same whatever the size of the corpus
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(stored_bytes(rows) / RANGE_BYTES))
+    sorted_ = rows.repartitionByRange(n, "curve", "id").sortWithinPartitions("curve", "id", F.xxhash64("ids"))
     return sorted_.mapInArrow(_pack(length, width), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 

@@ -36,24 +36,31 @@ def _spans(turns: Column, trained_role: str) -> Column:
 
 
 def format_preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_col: str = "rejected", trained_role: str = "assistant") -> DataFrame:
-    """pairs with prompt_turns, prompt, chosen_text, rejected_text, chosen_spans, rejected_spans appended.
+    """pairs with prompt_turns, prompt, chosen_text, rejected_text, chosen_spans, rejected_spans, equal appended.
 
     The prompt is the longest prefix of turns (role and text, nulls equal) that both conversations share,
     rendered once. Each completion is the rest; its spans say which characters are trained on: the text and end
     mark of trained_role's turns. Everything else, the prompt included, is masked. A null or empty conversation
-    shares nothing; equal conversations have empty completions. Null roles render as "none", null texts as empty.
+    shares nothing; equal conversations have empty completions. Null roles render as "none", null texts as empty. `equal`
+    marks pairs whose completions are the same text, which teach no preference: equal conversations, and partners whose
+    replies are alike. Extra columns stay, whatever their names, except that those called as a new one are replaced.
     Built of array functions only; a row needs its two conversations and nothing else.
     """
     none = F.expr(f"cast(array() as {TURNS})")
-    df = pairs.withColumn("_c", F.coalesce(F.col(chosen_col), none)).withColumn("_r", F.coalesce(F.col(rejected_col), none))
-    same = F.zip_with("_c", "_r", lambda x, y: x.isNotNull() & y.isNotNull() & x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
-    df = df.withColumn("_same", same).withColumn("_at", F.array_position("_same", F.lit(False)).cast("int"))
-    df = df.withColumn("prompt_turns", F.when(F.col("_at") > 0, F.col("_at") - 1).otherwise(F.size("_same")))
+    new = ["prompt_turns", "prompt", "chosen_text", "rejected_text", "chosen_spans", "rejected_spans", "equal"]
+    keep = [c for c in pairs.columns if c not in new]
+    # the caller's columns travel as one, so that no name of theirs meets a name used here
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    df = pairs.select(row.alias("row"), F.coalesce(F.col(f"`{chosen_col}`"), none).alias("c"), F.coalesce(F.col(f"`{rejected_col}`"), none).alias("r"))
+    same = F.zip_with("c", "r", lambda x, y: x.isNotNull() & y.isNotNull() & x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
+    df = df.withColumn("same", same).withColumn("at", F.array_position("same", F.lit(False)).cast("int"))
+    df = df.withColumn("prompt_turns", F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.size("same")))
     cut = lambda c: F.slice(c, F.col("prompt_turns") + 1, F.greatest(F.size(c) - F.col("prompt_turns"), F.lit(0)))
-    df = df.withColumn("prompt", F.array_join(F.transform(F.slice("_c", F.lit(1), F.col("prompt_turns")), _render), ""))
-    for side, c in (("chosen", "_c"), ("rejected", "_r")):
-        df = df.withColumn("_rest", cut(c)).withColumn(f"{side}_text", F.array_join(F.transform("_rest", _render), "")).withColumn(f"{side}_spans", _spans(F.col("_rest"), trained_role))
-    return df.drop("_c", "_r", "_same", "_at", "_rest")
+    df = df.withColumn("prompt", F.array_join(F.transform(F.slice("c", F.lit(1), F.col("prompt_turns")), _render), ""))
+    for side, c in (("chosen", "c"), ("rejected", "r")):
+        df = df.withColumn("rest", cut(c)).withColumn(f"{side}_text", F.array_join(F.transform("rest", _render), "")).withColumn(f"{side}_spans", _spans(F.col("rest"), trained_role))
+    df = df.withColumn("equal", F.col("chosen_text") == F.col("rejected_text"))
+    return df.select(*[F.col("row")[c].alias(c) for c in keep], *new)
 
 
 def with_partner_replies(turns: DataFrame, id_col: str = "conv_id", trained_role: str = "assistant") -> DataFrame:

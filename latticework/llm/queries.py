@@ -57,8 +57,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
-    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    out = mixing.mix_decisions(table(spark, sf_dir, "documents")).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op7_pack_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:

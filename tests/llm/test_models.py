@@ -387,7 +387,46 @@ def test_pipeline_on_almost_nothing(spark, n):
     docs = spark.createDataFrame(ODD[3 : 3 + n], DOC)
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
-    assert docs.count() >= 0
+    rows = docs.collect()
+    assert len(rows) == n * len(rows) and {r["doc_id"] for r in rows} == ({4} if n else set())
+    assert docs.columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+
+#: Names that operators and stages use for columns of their own.
+HELPERS = [
+    "_key", "_hash", "_blank", "_s", "_i", "_z", "_c", "_r", "_same", "_at", "_rest", "s", "i", "z", "c", "r", "at", "same", "rest", "row", "unit", "rows", "id",
+    "size", "source_size", "target", "copies", "quality_score", "quality_kept", "toxic_score", "evidence_ids", "evidence_cosines", "component_id", "kept", "n_shingles", "extra0", "a.b",
+]
+
+
+def test_stages_keep_callers_columns(spark):
+    """Every helper's name as a caller's column, and odd rows: each stage returns the caller's rows as they were."""
+    docs = spark.createDataFrame(ODD, DOC)
+    for k, name in enumerate(HELPERS):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    given = Counter(map(tuple, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        got = Counter(map(tuple, out.collect()))
+        assert got and set(got) <= set(given), name
+        if name == "near_duplicates":
+            assert set(got) == set(given) and max(got.values()) == 1
+        if name == "mixing":
+            assert {r[0] for r in got} >= {4, 5, None}
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()} == {r[0] for r in ODD}
+
+
+def test_mix_keeps_callers_columns(spark):
+    docs = spark.createDataFrame(ODD, DOC)
+    for name in HELPERS:
+        docs = docs.withColumn(name, F.lit(name))
+    out = mixing.mix(docs)
+    new = ["size", "source_size", "target", "copies"]
+    assert out.columns == [c for c in docs.columns if c not in new] + new
+    rows = out.collect()
+    assert len(rows) == len(ODD) and all(r[name] == name for r in rows for name in HELPERS if name not in new)
 
 
 def test_near_duplicate_stage_by_row(spark):

@@ -236,6 +236,18 @@ def test_preferences(spark):
     assert got[2]["chosen_text"] == "" and got[2]["prompt_turns"] == 1 and got[2]["prompt"] == "<|user|>\n<|end|>\n"
     assert got[3]["prompt"] == "<|none|>\nn<|end|>\n"
     assert got[5]["rejected_text"] == "" and len(got[5]["chosen_text"]) == 30000 + 14 + 8
+    helpers = ["_c", "_r", "_same", "_at", "_rest", "c", "r", "same", "at", "rest", "row", "turns", "a.b"]
+    more = pairs
+    for name in helpers:
+        more = more.withColumn(name, F.lit(name))
+    made = preferences.format_preferences(more)
+    new = ["prompt_turns", "prompt", "chosen_text", "rejected_text", "chosen_spans", "rejected_spans", "equal"]
+    assert made.columns == [c for c in more.columns if c != "prompt"] + new
+    assert {r["conv_id"]: (r["chosen_text"], r["equal"]) for r in made.collect()} == {k: (r["chosen_text"], r["chosen_text"] == r["rejected_text"]) for k, r in got.items()}
+    assert all(r[name] == name for r in made.collect() for name in helpers)
+    # partners whose replies are alike teach nothing, and are marked
+    alike = spark.createDataFrame([(8, 0, "user", "x"), (8, 1, "assistant", "yes"), (9, 0, "user", "z"), (9, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
+    assert [r["equal"] for r in preferences.format_preferences(preferences.with_partner_replies(alike)).collect()] == [True, True]
     nothing = spark.createDataFrame([(1, None, None)], f"id long, chosen {preferences.TURNS}, rejected {preferences.TURNS}")
     r = preferences.format_preferences(nothing).first()
     assert (r["prompt_turns"], r["prompt"], r["chosen_text"], r["rejected_spans"]) == (0, "", "", [])
