@@ -19,6 +19,8 @@ from .common import materialize, slices, stored_bytes
 DIMS, BITS = 4, 15
 #: Stored bytes of ids that a range of the curve holds at most on average.
 RANGE_BYTES = 1 << 24
+#: Tokens of a row at most: long documents travel in parts, so that ranges of as many rows are of about as many bytes.
+PIECE = 4096
 
 
 class Tokenizer:
@@ -130,8 +132,11 @@ def _tokenize(paths: tuple[str, str, str], end_id: int):
                 for i, raw in enumerate(ids):
                     v = np.frombuffer(raw, tok.type)
                     where[i] = table[v if tok.width == 2 else v & np.uint32(len(table) - 1)].sum(0) / math.sqrt(len(v))
-                spot = ((np.tanh(where / 4) + 1) / 2 * (2**BITS - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert(spot, BITS)), pa.array(ids, pa.binary())], ["id", "curve", "ids"])
+                spot = hilbert(((np.tanh(where / 4) + 1) / 2 * (2**BITS - 1)).astype(np.int64), BITS)
+                step, keys = PIECE * tok.width, part.column(0).to_pylist()
+                cut = [(k, c, at // tok.width, len(x) // tok.width, x[at : at + step]) for k, c, x in zip(keys, spot.tolist(), ids, strict=True) for at in range(0, len(x), step)]
+                columns = [pa.array([r[i] for r in cut], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "curve", "start", "tokens", "ids"])
 
     return run
 
@@ -155,12 +160,13 @@ def _pack(length: int, width: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for key, raw in zip(batch.column("id").to_pylist(), batch.column("ids"), strict=True):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "start", "tokens")), batch.column("ids"), strict=True)
+            for key, first, total, raw in rows:
                 raw = raw.as_py()
                 n, at = len(raw) // width, 0
                 while at < n:
                     take = min(length - fill, n - at)
-                    held.append((key, at, take, raw[at * width : (at + take) * width], n, seq, fill))
+                    held.append((key, first + at, take, raw[at * width : (at + take) * width], total, seq, fill))
                     at, fill = at + take, fill + take
                     if fill == length:
                         done += held
@@ -188,9 +194,10 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_col:
     """Pieces of documents packed into sequences of `length` tokens along a Hilbert curve.
 
     1. One pass tokenizes each whole text (null: empty), appends end_id and places the document: its hashed
-       token vector is projected to a few dimensions and located on the curve. Written to shared storage.
-    2. Rows are range-partitioned (in number by the bytes written) and sorted by (curve position, id), so neighbours on the curve are packed
-       together; equal positions (copies) spread by id.
+       token vector is projected to a few dimensions and located on the curve. Written to shared storage, long
+       documents in parts.
+    2. Rows are range-partitioned (in number by the bytes written) and sorted by (curve position, id, start), so
+       neighbours on the curve are packed together; equal positions (copies) spread by id.
     3. Each partition fills sequences one after another, cutting documents where a sequence is full. The last
        sequence of a partition is split at powers of two, which need no padding. A task holds one batch of
        documents and one open sequence.
@@ -199,11 +206,11 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_col:
     rows and equal texts are packed as often as they occur; null ids, which come first among equal positions, are packed
     like others. Extra columns are left behind, whatever their names. Empty table: empty result.
     """
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_tokenize((json_path, ranks_path, pattern), end_id), "id long, curve long, ids binary"))
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_tokenize((json_path, ranks_path, pattern), end_id), "id long, curve long, start long, tokens long, ids binary"))
     width = _width(ranks_path)
     # as many ranges as the ids fill, so that a task's share stays the same whatever the size of the corpus
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(stored_bytes(rows) / RANGE_BYTES))
-    sorted_ = rows.repartitionByRange(n, "curve", "id").sortWithinPartitions("curve", "id", F.xxhash64("ids"))
+    sorted_ = rows.repartitionByRange(n, "curve", "id", "start").sortWithinPartitions("curve", "id", "start", F.xxhash64("ids"))
     return sorted_.mapInArrow(_pack(length, width), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
