@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
 
@@ -69,18 +70,27 @@ def publish(df: DataFrame, root: str) -> str:
 
     Versions lie beside each other as <root>/v=<mark>. What is current stands in one small file, which is written aside
     and put in place by a single rename over the old one: a reader at any moment finds the old version whole or the new
-    one whole. Earlier versions stay until `prune`; a run that ends early leaves the pointer as it was.
+    one whole. Earlier versions stay until `prune`; a run that ends early leaves the pointer as it was. The rename is the
+    file system's own (HDFS replaces in one step), and for local and mounted folders the operating system's.
     """
     path = f"{root.rstrip('/')}/v={uuid.uuid4().hex}"
     df.write.parquet(path)
+    name = path.rsplit("/", 1)[-1]
     jvm, fs, staged = _fs(df, f"{path}__pointer")
+    target = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{POINTER}")
+    if fs.getScheme() == "file":  # Hadoop's local rename deletes first, and moves checksums apart from their file
+        aside = staged.toUri().getPath()
+        with open(aside, "w") as f:
+            f.write(name)
+        os.replace(aside, target.toUri().getPath())
+        return path
     out = fs.create(staged)
-    out.write(path.rsplit("/", 1)[-1].encode())
+    out.write(name.encode())
     out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), df.sparkSession.sparkContext._jsc.hadoopConfiguration())
     options = df.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(context.makeQualified(staged), context.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{POINTER}")), options)
+    context.rename(context.makeQualified(staged), context.makeQualified(target), options)
     return path
 
 
@@ -90,7 +100,16 @@ def current(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _current_name(spark: SparkSession, root: str) -> str:
-    return spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/{POINTER}").first()[0]
+    """The pointer's text; it is one line, read in the driver."""
+    jvm, fs, path = _fs(spark.range(0), f"{root.rstrip('/')}/{POINTER}")
+    if fs.getScheme() == "file":
+        with open(path.toUri().getPath()) as f:
+            return f.read()
+    stream = fs.open(path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def prune(spark: SparkSession, root: str, keep: int = 1) -> None:
