@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import more_queries, panel_queries, scale_queries, serve_queries, text_queries
+from . import cell_queries, more_queries, panel_queries, scale_queries, serve_queries, text_queries
 from .registry import QueryFn
 
-_PARTS = (panel_queries.R, serve_queries.R, text_queries.R, more_queries.R, scale_queries.R)
+_PARTS = (panel_queries.R, serve_queries.R, text_queries.R, more_queries.R, scale_queries.R, cell_queries.R)
 
 
 def queries() -> dict[str, QueryFn]:

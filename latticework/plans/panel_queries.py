@@ -236,17 +236,18 @@ def median_gap_verdict(spark, d):
     return g.withColumns({c: F.round(c, 6) for c in ("rate_gap", "score_gap")})
 
 
-def _base_delta(spark, d, users="user_id % 2 = 0"):
+def _base_delta(spark, d):
+    """Base and delta of an upsert, of all users: slices by day that overlap."""
     e = table(spark, d, "events").groupBy("user_id", F.dayofweek("ts").alias("day"))
     base = e.agg(F.round(F.max(F.when(F.col("event_type") == "click", F.col("value"))), 4).alias("a"), F.round(F.max(F.when(F.col("event_type") == "purchase", F.col("value"))), 4).alias("b")).where("day <= 4")
-    delta = e.agg(F.round(F.max(F.when(F.col("event_type") == "view", F.col("value"))), 4).alias("a"), F.round(F.min(F.when(F.col("value") > 90, F.col("value"))), 4).alias("b")).where("day >= 3").where(users)
+    delta = e.agg(F.round(F.max(F.when(F.col("event_type") == "view", F.col("value"))), 4).alias("a"), F.round(F.min(F.when(F.col("value") > 90, F.col("value"))), 4).alias("b")).where("day >= 3")
     return base, delta
 
 
 _E = "SELECT user_id, (dayofweek(ts) + 1)::INTEGER AS day, {} FROM events GROUP BY 1, 2"
 _UPSERT = (
     "WITH o AS (SELECT * FROM (" + _E.format("round(max(value) FILTER (event_type = 'click'), 4) a, round(max(value) FILTER (event_type = 'purchase'), 4) b") + ") WHERE day <= 4), "
-    "n AS (SELECT * FROM (" + _E.format("round(max(value) FILTER (event_type = 'view'), 4) a, round(min(value) FILTER (value > 90), 4) b") + ") WHERE day >= 3 AND user_id % 2 = 0), "
+    "n AS (SELECT * FROM (" + _E.format("round(max(value) FILTER (event_type = 'view'), 4) a, round(min(value) FILTER (value > 90), 4) b") + ") WHERE day >= 3), "
     "j AS (SELECT coalesce(o.user_id, n.user_id) user_id, coalesce(o.day, n.day) AS day, o.user_id IS NULL fresh, n.user_id IS NOT NULL AND o.user_id IS NOT NULL hit, "
     "o.a oa, o.b ob, n.a na, n.b nb FROM o {how} JOIN n ON o.user_id = n.user_id AND o.day = n.day), "
     "m AS (SELECT user_id, day, fresh, hit, oa, ob, CASE WHEN fresh THEN na WHEN hit THEN {a} ELSE oa END a, CASE WHEN fresh THEN nb WHEN hit THEN {b} ELSE ob END b FROM j) "
@@ -275,38 +276,30 @@ def backfill(spark, d):
     return U.upsert(*_base_delta(spark, d), ["user_id", "day"], ["a", "b"], "backfill")
 
 
-#: The same with a delta of all users: base and delta are slices by day alone.
-_UPSERT_ALL = _UPSERT.replace(" AND user_id % 2 = 0", "")
-
-
-def _upsert_all(spark, d, policy):
-    return U.upsert(*_base_delta(spark, d, "true"), ["user_id", "day"], ["a", "b"], policy)
-
-
-@R.query(_UPSERT_ALL.format(how="FULL", a="coalesce(na, oa)", b="coalesce(nb, ob)"))
+#: Names that these had while the plain ones had a delta of even users only.
+@R.query(_UPSERT.format(how="FULL", a="coalesce(na, oa)", b="coalesce(nb, ob)"))
 def upsert_fill_all(spark, d):
-    return _upsert_all(spark, d, "fill")
+    return upsert_fill(spark, d)
 
 
-@R.query(_UPSERT_ALL.format(how="FULL", a="na", b="nb"))
+@R.query(_UPSERT.format(how="FULL", a="na", b="nb"))
 def upsert_overwrite_all(spark, d):
-    return _upsert_all(spark, d, "overwrite_blank")
+    return upsert_overwrite(spark, d)
 
 
-@R.query(_UPSERT_ALL.format(how="LEFT", a="coalesce(na, oa)", b="coalesce(nb, ob)"))
+@R.query(_UPSERT.format(how="LEFT", a="coalesce(na, oa)", b="coalesce(nb, ob)"))
 def upsert_update_only_all(spark, d):
-    return _upsert_all(spark, d, "update_only")
+    return upsert_update_only(spark, d)
 
 
-@R.query(_UPSERT_ALL.format(how="LEFT", a="coalesce(oa, na)", b="coalesce(ob, nb)"))
+@R.query(_UPSERT.format(how="LEFT", a="coalesce(oa, na)", b="coalesce(ob, nb)"))
 def backfill_all(spark, d):
-    return _upsert_all(spark, d, "backfill")
+    return backfill(spark, d)
 
 
-@R.query("""SELECT change, count(*) n FROM (""" + _UPSERT_ALL.format(how="FULL", a="coalesce(na, oa)", b="coalesce(nb, ob)") + """) GROUP BY 1""")
+@R.query("""SELECT change, count(*) n FROM (""" + _UPSERT.format(how="FULL", a="coalesce(na, oa)", b="coalesce(nb, ob)") + """) GROUP BY 1""")
 def upsert_audit_all(spark, d):
-    """Counters of an upsert of all users."""
-    return U.change_counts(_upsert_all(spark, d, "fill"))
+    return upsert_audit(spark, d)
 
 
 @R.query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")

@@ -17,9 +17,9 @@ def _fs(df: DataFrame, path: str):
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[Column] = (), columns: Sequence[str] | None = None) -> None:
-    """CSV with a header, blanks for nulls, the listed columns, globally ordered over its part files."""
+    """CSV with a header, blanks for nulls, quotes doubled inside quotes, the listed columns, globally ordered over its part files."""
     out = df.select(*columns) if columns else df
-    (out.orderBy(*order) if order else out).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    (out.orderBy(*order) if order else out).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def replace_atomically(df: DataFrame, path: str, fmt: str = "parquet") -> None:
