@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..storage import written
+from . import gestalt as G
 from . import similarity as J
 
 # Decision levels of the listing matcher, the export matcher and the score matcher.
@@ -90,6 +91,26 @@ def blended_score(ratio: Column, recall: Column, same_city: Column, n_missing: C
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 
 
+def _spelled_pairs(queries: DataFrame, directory: DataFrame, query_key: str, entity: str, block: str) -> DataFrame:
+    """query_key, entity, q_form, d_form, recall, less, same_city: every spelling of a query beside every name of an entity of its block."""
+    q = queries.select(query_key, block, F.lower(F.trim("city")).alias("q_city"), F.explode(F.array_distinct(F.array(*[F.struct(N.listing_form(F.col("name"), x).alias("form"), F.split(N.listing_core(F.col("name"), x), " ").alias("words")) for x in (True, False)]))).alias("_q"))
+    names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
+    d = directory.select(entity, F.col(block).alias("_b"), F.lower(F.trim("city")).alias("d_city"), F.explode(names).alias("n")).select(entity, "_b", "d_city", N.listing_form(F.col("n")).alias("d_form"), F.split(N.listing_core(F.col("n")), " ").alias("d_words"))
+    pairs = q.join(d, F.col(block) == F.col("_b"))
+    blank = q.where(F.col(block).isNull()).withColumn("_w", F.explode(F.array_distinct("_q.words")))
+    named = d.withColumn("_w", F.explode(F.array_distinct("d_words")))
+    pairs = pairs.unionByName(blank.join(named, "_w").drop("_w").distinct().select(*pairs.columns))
+    less = -F.size(N.missing(F.col("_q.words"), F.col("d_words")))
+    return pairs.select(query_key, entity, F.col("_q.form").alias("q_form"), "d_form", N.recall(F.col("_q.words"), F.col("d_words")).alias("recall"), less.alias("less"), F.coalesce(F.col("q_city") == F.col("d_city"), F.lit(False)).alias("same_city"))
+
+
+def _best_spelling(pairs: DataFrame, query_key: str, entity: str, ratio: str) -> DataFrame:
+    """One row a pair of query and entity: the highest ratio, the best recall with its missing words, and the score of these."""
+    best = pairs.groupBy(query_key, entity).agg(F.max(ratio).alias(ratio), F.max(F.struct("recall", "less")).alias("b"), F.max("same_city").alias("same_city"))
+    out = best.select(query_key, entity, ratio, F.col("b.recall").alias("recall"), "same_city", (-F.col("b.less")).alias("n_missing"))
+    return out.withColumn("score", blended_score(F.col(ratio), F.col("recall"), F.col("same_city"), F.col("n_missing")))
+
+
 def fuzzy_candidates(queries: DataFrame, directory: DataFrame, query_key: str, entity: str, block: str) -> DataFrame:
     """query_key, entity, score, ratio, recall, same_city, n_missing of all pairs in a block.
 
@@ -97,17 +118,33 @@ def fuzzy_candidates(queries: DataFrame, directory: DataFrame, query_key: str, e
     every alias; the pair of spelling and alias with the best recall, then fewest missing words, counts. Queries
     without a block meet the names they share a core word with, whatever their block.
     """
-    q = queries.select(query_key, block, F.lower(F.trim("city")).alias("q_city"), F.explode(F.array_distinct(F.array(*[F.struct(N.listing_form(F.col("name"), x).alias("form"), F.split(N.listing_core(F.col("name"), x), " ").alias("words")) for x in (True, False)]))).alias("_q"))
-    names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
-    d = directory.select(entity, F.col(block).alias("_b"), F.lower(F.trim("city")).alias("d_city"), F.explode(names).alias("n")).select(entity, "_b", "d_city", N.listing_form(F.col("n")).alias("d_form"), F.split(N.listing_core(F.col("n")), " ").alias("d_words"))
-    pairs = q.join(d, F.col(block) == F.col("_b"))
-    blank = q.where(F.col(block).isNull()).withColumn("_w", F.explode(F.array_distinct("_q.words")))
-    named = d.withColumn("_w", F.explode(F.array_distinct("d_words")))
-    pairs = pairs.unionByName(blank.join(named, "_w").drop("_w").distinct().select(*pairs.columns)).withColumn("ratio", N.gestalt_ratio(F.col("_q.form"), F.col("d_form")))
-    rec, miss = N.recall(F.col("_q.words"), F.col("d_words")), F.size(N.missing(F.col("_q.words"), F.col("d_words")))
-    best = pairs.groupBy(query_key, entity).agg(F.max("ratio").alias("ratio"), F.max(F.struct(rec.alias("recall"), (-miss).alias("less"))).alias("b"), F.max(F.coalesce(F.col("q_city") == F.col("d_city"), F.lit(False))).alias("same_city"))
-    out = best.select(query_key, entity, "ratio", F.col("b.recall").alias("recall"), "same_city", (-F.col("b.less")).alias("n_missing"))
-    return out.withColumn("score", blended_score(F.col("ratio"), F.col("recall"), F.col("same_city"), F.col("n_missing")))
+    pairs = _spelled_pairs(queries, directory, query_key, entity, block)
+    return _best_spelling(G.scored(pairs, "q_form", "d_form"), query_key, entity, "ratio")
+
+
+def top_candidates(queries: DataFrame, directory: DataFrame, query_key: str, entity: str, block: str, top: int = 2) -> DataFrame:
+    """Rows of fuzzy_candidates: of each query at least the `top` best and the best of its own city, with all ties in score, city and ratio.
+
+    The score rises with the ratio, so a bound on the ratio bounds it, and with it a candidate's place in the order by
+    score, city and ratio. The pairs first by their bounds are scored and give floors, for all candidates and for those
+    of the city; only pairs whose bounds reach a floor are compared letter by letter.
+    """
+    pairs = written(G.bounded(_spelled_pairs(queries, directory, query_key, entity, block), "q_form", "d_form"))
+    key = lambda ratio: F.struct(F.col("score").alias("score"), F.col("same_city").alias("same_city"), F.col(ratio).alias("ratio"))
+    most = _best_spelling(pairs, query_key, entity, "bound").select(query_key, entity, "same_city", key("bound").alias("_most"))
+    order = [F.desc("_most"), F.asc(entity)]
+    placed = written(
+        most.withColumn("_p", F.row_number().over(Window.partitionBy(query_key).orderBy(*order)))
+        .withColumn("_c", F.when(F.col("same_city"), F.row_number().over(Window.partitionBy(query_key, "same_city").orderBy(*order))))
+    )
+    exact = lambda some: _best_spelling(G.scored(pairs.join(some.select(query_key, entity), [query_key, entity]), "q_form", "d_form"), query_key, entity, "ratio")
+    first = placed.where((F.col("_p") <= top) | (F.col("_c") == 1)).select(query_key, entity, "_p", "_c")
+    known = exact(first).select(query_key, entity, key("ratio").alias("_key")).join(first, [query_key, entity])
+    leading = F.col("_p") <= top
+    floors = known.groupBy(query_key).agg(F.when(F.count_if(leading) == top, F.min(F.when(leading, F.col("_key")))).alias("_all"), F.min(F.when(F.col("_c") == 1, F.col("_key"))).alias("_city"))
+    # a query with fewer candidates than asked for has no floor and keeps them all
+    can = placed.join(floors, query_key).where(F.col("_all").isNull() | (F.col("_most") >= F.col("_all")) | (F.col("same_city") & (F.col("_most") >= F.col("_city"))))
+    return exact(can)
 
 
 def ranked_candidates(pairs: DataFrame, query_key: str, entity: str, top: int = 3) -> DataFrame:
@@ -260,7 +297,8 @@ def resolve_listing(queries: DataFrame, directory: DataFrame, truth: DataFrame |
     exact form was met; the fuzzy tiers; containment either way; a place with one entity, for what is unresolved or of
     low confidence; the truth, which confirms or overrides all but exact locations. An exact location is an exact form,
     a core form with its city, or a best candidate of the same city whose form is equal. An ambiguous mark stays only
-    where nothing later resolves. Names are compared letter by letter only for queries without an exact form.
+    where nothing later resolves. Names are compared letter by letter only for queries without an exact form, and only
+    where a bound lets them be among the best.
     """
     names = F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))))
     d = directory.select(entity, "state", "city", F.explode(names).alias("n")).select(entity, "state", "city", N.listing_form(F.col("n")).alias("form"), N.listing_core(F.col("n")).alias("core"))
@@ -268,7 +306,7 @@ def resolve_listing(queries: DataFrame, directory: DataFrame, truth: DataFrame |
     exact = written(exact_match(q, d, ["form", "state"], entity, "city").select(query_key, F.col(entity).alias("e1"), F.col("method").alias("m1")))
     core = exact_match(q.where("core <> ''"), d.where("core <> ''"), ["core", "state"], entity, "city").select(query_key, F.col(entity).alias("e2"), F.regexp_replace("method", "exact", "core").alias("m2"))
     rest = q.join(exact.where("e1 IS NOT NULL").select(query_key), query_key, "left_anti")
-    pairs = written(fuzzy_candidates(rest, directory, query_key, entity, "state"))
+    pairs = written(top_candidates(rest, directory, query_key, entity, "state"))
     fuzzy = listing_tiers(pairs, query_key, entity).select(query_key, F.col(entity).alias("e3"), F.col("confidence").alias("c3"), F.col("method").alias("m3"))
     top = ranked_candidates(pairs, query_key, entity, 1).select(query_key, "n_missing", F.when((F.abs(F.col("ratio") - 1) < 1e-9) & F.col("same_city"), F.col(entity)).alias("_equal"))
     in_city = pairs.where("same_city").groupBy(query_key).agg(F.min_by(entity, F.struct(-F.col("score"), -F.col("ratio"), "n_missing", entity)).alias("_in_city"))

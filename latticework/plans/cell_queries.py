@@ -266,3 +266,27 @@ def region_ticks(spark, d):
     s = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("st"))
     marks = V.region_marks(F.col("st"), {"first": ["F", "O"], "second": ["P"]})
     return s.select("o_custkey", marks.alias("m")).select("o_custkey", "m.first", "m.second", F.col("m.all").alias("every"))
+
+
+@R.query("""SELECT c_custkey AS c_name, c_name AS c_name_2, c_mktsegment AS c_name_3, c_acctbal AS col FROM customer""")
+def unique_columns(spark, d):
+    """Columns under clean names of their headers, which clash."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    return c.toDF(*I.unique_names(["C Name", "c-name", " C  name! ", "%"]))
+
+
+@R.query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority || ' é' END AS note FROM orders""")
+def json_lines(spark, d):
+    """Rows written as JSON lines in UTF-8, nulls kept, and read back."""
+    path = _folder(spark, "lines")
+    o = table(spark, d, "orders")
+    K.write_json(o.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.concat("o_orderpriority", F.lit(" é"))).alias("note")), path)
+    return spark.read.schema("o_orderkey bigint, note string").json(path)
+
+
+@R.query("""SELECT count(*) said, count(*)::INTEGER held, '2024-01-01' AS at FROM nation WHERE contains(lower(n_name), '_1')""")
+def envelopes(spark, d):
+    """An answer {data, meta} of the rows that a search finds, parsed back."""
+    body = V.envelope(table(spark, d, "nation").select("n_nationkey", "n_name"), "2024-01-01", "_1", ["n_name"])
+    got = body.select(F.from_json("body", "data array<struct<n_nationkey:bigint,n_name:string>>, meta struct<count:bigint,generatedAt:string>").alias("b"))
+    return got.select(F.col("b.meta.count").alias("said"), F.size("b.data").alias("held"), F.col("b.meta.generatedAt").alias("at"))

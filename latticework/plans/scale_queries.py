@@ -144,6 +144,27 @@ def settled_queue(spark, d):
     return M.settle(queue, steps, f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}").select("qid", "unitid", "method", "round")
 
 
+#: Invented names: two words of letters that stand for the digits of a customer's digest.
+_NAMED = "translate(concat(substr(md5(c_name), 1, 7), ' ', substr(md5(c_name), 8, 6)), '0123456789abcdef', 'aeioubcdfglmnprs')"
+_VARIANT = """CASE c_custkey % 6 WHEN 0 THEN name WHEN 1 THEN concat('The ', name, ' University') WHEN 2 THEN concat(left(name, 5), substr(name, 8)) WHEN 3 THEN concat(split_part(name, ' ', 1), ' Institute')
+    WHEN 4 THEN concat(name, ' of Applied Arts') ELSE name END"""
+
+
+def listing_rows(spark, d):
+    """Customers as a directory, and as queries under other spellings; some without a state, some with a truth, which may be wrong."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).withColumn("name", F.expr(_NAMED))
+    known = c.select(F.col("c_custkey").alias("unitid"), "name", F.array(F.col("c_name")).alias("aliases"), F.col("c_mktsegment").alias("city"), F.col("n_name").alias("state"))
+    asked = c.select(F.col("c_custkey").alias("qid"), F.expr(_VARIANT).alias("name"), F.col("c_mktsegment").alias("city"), F.when(F.col("c_custkey") % 6 < 5, F.col("n_name")).alias("state"))
+    truth = c.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("qid"), (F.col("c_custkey") + F.when(F.col("c_custkey") % 8 == 0, 1).otherwise(0)).alias("truth"))
+    return asked, known, truth
+
+
+@R.query()
+def listing_cascade(spark, d):
+    """The listing matcher's whole cascade over all customers (no SQL form: gestalt similarity; tested against a plain version)."""
+    return M.resolve_listing(*listing_rows(spark, d))
+
+
 @R.query("""SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN c_custkey END entity, c_name IS NULL AS unknown FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
 def kept_unmatched(spark, d):
     """Rows with an entity where one was found, and the others with their own name and none."""
