@@ -20,7 +20,7 @@ from ..storage import written
 
 @dataclass
 class WordSides:
-    """queries and directory with n (distinct words) and shared (its words that occur on both sides, rarest first)."""
+    """queries and directory with n (distinct words) and shared (numbers of its words that occur on both sides, rarest first)."""
 
     queries: DataFrame
     directory: DataFrame
@@ -28,23 +28,29 @@ class WordSides:
     entity: str
 
 
-def word_sides(queries: DataFrame, directory: DataFrame, query_key: str, entity: str, words: str = "words", block: str | None = None) -> WordSides:
+def word_sides(queries: DataFrame, directory: DataFrame, query_key: str, entity: str, words: str = "words", block: str | None = None, directory_words: str | None = None) -> WordSides:
     """Both sides prepared for the joins below. Keys must be unique; rows without words take part in no pair.
 
     block names a column on both sides: only rows of equal blocks meet, and words are told apart by it. Words are
-    ordered by how many directory rows have them. Each side is written once.
+    ordered by how many directory rows have them, and numbered in this order. Each side is written once, in files as large
+    as in memory, so that no side is broadcast for its small files.
     """
-    def side(df: DataFrame, key: str) -> DataFrame:
+    def side(df: DataFrame, key: str, words: str) -> DataFrame:
         b = F.col(block) if block else F.lit(0)
-        return df.select(F.col(key).alias("k"), b.alias("b"), F.array_distinct(words).alias("ws")).where("b IS NOT NULL").select("k", "b", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+        # explode_outer: for explode the words would be made once more to see whether there are any, and again for nulls
+        each = df.select(F.col(key).alias("k"), b.alias("b"), F.array_distinct(words).alias("ws")).where("b IS NOT NULL")
+        return each.select("k", "b", F.size("ws").alias("n"), F.explode_outer("ws").alias("w")).where("w IS NOT NULL")
 
-    asked, known = side(queries, query_key), side(directory, entity)
+    asked, known = side(queries, query_key, words), side(directory, entity, directory_words or words)
     # how many rows have a word is counted before anything is joined, so a word that all rows have is one row here
-    frequency = known.groupBy("b", "w").agg(F.count("*").alias("f")).join(asked.select("b", "w").distinct(), ["b", "w"], "left_semi")
+    frequency = written(known.groupBy("b", "w").agg(F.count("*").alias("f")).join(asked.select("b", "w").distinct(), ["b", "w"], "left_semi"), plain=True)
+    # words go on as numbers that rise with f: of ranges in order, each row's number is above those before it
+    order = ["f", "b", "w"]
+    numbers = written(frequency.repartitionByRange(*order).sortWithinPartitions(*order).select("b", "w", F.monotonically_increasing_id().alias("i")), plain=True)
 
     def shared(df: DataFrame) -> DataFrame:
-        got = df.join(frequency, ["b", "w"]).groupBy("k", "b", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("ws"))
-        return written(got.select("k", "b", "n", F.transform("ws", lambda x: x["w"]).alias("shared")))
+        got = df.join(numbers, ["b", "w"]).groupBy("k", "b", "n").agg(F.sort_array(F.collect_list("i")).alias("shared"))
+        return written(got, plain=True)
 
     return WordSides(shared(asked), shared(known), query_key, entity)
 
@@ -143,8 +149,9 @@ def most_similar(sides: WordSides, levels: Sequence[float] = (0.6, 0.4, 0.27, 0.
     """query_key, entity, score: the entity of the highest Jaccard similarity; of equal ones the smallest.
 
     Rounds of falling levels: a query whose best entity reaches the level is done, as all entities that reach it were
-    compared; only the others go on. What is left after the last level joins with a floor of its own (`floors`). Exact
-    for every query that shares a word with an entity; the others have no row.
+    compared; only the others go on. What is left after the last level joins with a floor of its own (`floors`). A round
+    goes over all words of the directory, so a large one is served better without levels, at the price of more pairs.
+    Exact for every query that shares a word with an entity; the others have no row.
     """
     left = written(sides.queries.where(F.size("shared") > 0).select(F.col("k").alias("qk")))
     found = []

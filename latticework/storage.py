@@ -24,9 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written once and read back: its plan is not run again, and lost executors cost no more than their tasks."""
+def written(df: DataFrame, plain: bool = False) -> DataFrame:
+    """df written once and read back: its plan is not run again, and lost executors cost no more than their tasks.
+
+    plain: neither compressed nor by dictionary. Spark takes the size of the files for the size of the table, and would
+    broadcast one that is small in files only; this one is as large there as in memory.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    how = {"compression": "none", "parquet.enable.dictionary": "false"} if plain else {"compression": "zstd"}
+    df.write.options(**how).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
