@@ -50,9 +50,11 @@ def _benchmark_words(spark, d):
 def token_jaccard(spark, d):
     """Best Jaccard similarity of each item over all documents, and how many share a word with it."""
     items, docs = _benchmark_words(spark, d)
-    best = J.most_similar(J.word_sides(items, docs, "item_id", "doc_id"))
-    dense = numbered(docs, ["doc_id"], "i").withColumn("i", F.col("i") - 1)
-    return best.select("item_id", F.round("score", 6).alias("score")).join(J.sharing(items, dense, "item_id", "i").withColumnRenamed("n", "candidates"), "item_id")
+    sides = J.word_sides(items, docs, "item_id", "doc_id")
+    best = J.most_similar(sides, levels=())
+    dense = numbered(sides.directory.select("k", "shared"), ["k"], "i").withColumn("i", F.col("i") - 1)
+    sharing = J.sharing(sides.queries.select(F.col("k").alias("item_id"), "shared"), dense, "item_id", "i", "shared")
+    return best.select("item_id", F.round("score", 6).alias("score")).join(sharing.withColumnRenamed("n", "candidates"), "item_id")
 
 
 @R.query(_BEST_SQL)
