@@ -271,7 +271,7 @@ SELECT q, e, round(score, 6) score FROM r WHERE n = 1 AND score >= 0.6 AND (s2 I
 def token_jaccard_match(spark, d):
     """Best match by Jaccard similarity within a block, if clearly ahead of the second."""
     w = table(spark, d, "part").select("p_brand", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("words"), F.col("p_partkey").alias("e"))
-    return M.word_match(w.withColumnRenamed("e", "q"), w, "q", "e", block="p_brand", other=F.col("q") != F.col("e")).withColumn("score", F.round("score", 6))
+    return M.word_match(w.withColumnRenamed("e", "q"), w, "q", "e", block="p_brand", itself=False).withColumn("score", F.round("score", 6))
 
 
 @R.query("""SELECT c_name AS city, p_type AS state, min(p_partkey) p_partkey FROM (SELECT lower(p_name) c_name, p_type, p_partkey FROM part) GROUP BY ALL HAVING count(*) = 1""")
