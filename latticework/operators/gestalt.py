@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +16,9 @@ from ..functions.names import gestalt_ratio
 from ..storage import written
 from . import similarity as J
 
+# Python functions of this module travel to executors by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
@@ -44,6 +54,58 @@ def bounded(pairs: DataFrame, a: str, b: str, least: Column | float = 0.0) -> Da
     return got.withColumn("bound", bound).where(F.col("bound") >= least).select(*[F.col(f"`{c}`") for c in pairs.columns], "bound")
 
 
+#: Texts of either side in a tile.
+TILE = 512, 4096
+
+
+def reaching(queries: DataFrame, directory: DataFrame) -> DataFrame:
+    """k, e of the pairs of a block b whose texts may have a ratio of the query's `near` (same city) or `far` (other) and more.
+
+    queries: k, b, city, form, far, near; directory: e, b, city, form; nothing but cities may be null. Both sides of a block
+    are cut into tiles of bounded size by a hash; each two tiles meet once, on their own, wherever Spark puts them.
+    Lengths and letters are compared as in `bounded`, for all pairs of two tiles at a time.
+    """
+    def tiles(df: DataFrame, key: str, size: int, out: str) -> DataFrame:
+        n = df.groupBy("b").agg(F.ceil(F.count("*") / size).alias("n"))
+        return df.join(n, "b").groupBy("b", F.pmod(F.xxhash64(key, "form"), "n").alias("t"), "n").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "b"])).alias(out))
+
+    d = written(tiles(directory, "e", TILE[1], "ds"))
+    met = tiles(queries, "k", TILE[0], "qs").drop("t", "n").join(d.select("b", "t"), "b")
+    parts = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), d.count() // 8)
+    both = met.repartition(parts, "b", "t").join(d.drop("n").repartition(parts, "b", "t"), ["b", "t"]).select("qs", "ds")
+    return both.mapInArrow(_reached, f"k {queries.schema['k'].dataType.simpleString()}, e {directory.schema['e'].dataType.simpleString()}")
+
+
+def _letters(forms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and letter_counts with a row for each letter."""
+    n = pc.utf8_length(forms).to_numpy(zero_copy_only=False).astype(np.int32)
+    each = np.stack([pc.count_substring(forms, c).to_numpy(zero_copy_only=False) for c in _LETTERS]).astype(np.int32)
+    return n, np.concatenate([each, (n - each.sum(0))[None]])
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            q, d = (pa.Table.from_struct_array(b.column(j).slice(i, 1).flatten()).combine_chunks() for j in (0, 1))
+            far, near = q["far"].to_numpy(), q["near"].to_numpy()
+            (n, a), (m, c) = _letters(q["form"].combine_chunks()), _letters(d["form"].combine_chunks())
+            # by the best length that the tile holds
+            best = np.clip(n, m.min(), m.max())
+            can = np.flatnonzero(2.0 * np.minimum(n, best) >= np.minimum(far, near) * (n + best) - 1e-6)
+            if not len(can):
+                continue
+            common = np.zeros((len(can), len(m)), np.int32)
+            for x, y in zip(a[:, can], c, strict=True):
+                if x.any() and y.any():
+                    common += np.minimum(x[:, None], y[None, :])
+            codes = pa.chunked_array([q["city"].combine_chunks(), d["city"].combine_chunks()]).combine_chunks().dictionary_encode().indices
+            codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False)
+            own, other = codes[: len(n)][can], codes[len(n) :]
+            least = np.where((own[:, None] == other[None, :]) & (own >= 0)[:, None], near[can][:, None], far[can][:, None])
+            row, col = np.nonzero(2.0 * common >= least * (n[can][:, None] + m[None, :]) - 1e-6)
+            yield pa.RecordBatch.from_arrays([q["k"].combine_chunks().take(pa.array(can[row])), d["e"].combine_chunks().take(pa.array(col))], ["k", "e"])
+
+
 def scored(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
     """pairs with the exact ratio of texts a and b; equal text pairs are scored once, all others run in Python once each."""
     texts = pairs.select(a, b).distinct().withColumn(out, gestalt_ratio(F.col(a), F.col(b)))
