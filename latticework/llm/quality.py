@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, labelled_sample, remainder, slices
+from ..operators.percentiles import exact_percentiles
+from .common import give_back, materialize, release, remainder, slices, small_batches
 
 #: Decision level of the score.
 LEVEL = 0.7
@@ -20,6 +21,9 @@ LEVEL = 0.7
 SURFACE, BUCKETS, SCALE = 20, 256, 0.25
 WIDTH = SURFACE + 2 * BUCKETS
 
+#: Labelled documents to a group, and examples of the rarer class that a group has at least, about.
+GROUP, RARE = 1024, 32
+
 _SYMBOLS = b"!$%&*#|@<>{}[]=+~^_\\/"
 
 
@@ -142,6 +146,13 @@ class Ranker:
         self.cut = float((low + high) / 2)
         self.gain = 2.0 / max(1e-6, float(s[good].std() + s[bad].std()))
 
+    @classmethod
+    def of(cls, mean: np.ndarray, std: np.ndarray, w: np.ndarray, cut: float, gain: float) -> Ranker:
+        """A ranker learned elsewhere (see fit)."""
+        r = cls.__new__(cls)
+        r.mean, r.std, r.w, r.cut, r.gain = mean, std, w, cut, gain
+        return r
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         """0 to 1; LEVEL exactly at the quantile threshold."""
         s = ((features(texts) - self.mean) / self.std) @ self.w
@@ -153,22 +164,155 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(b, 1, 512, 1 << 21):
             x = features(part.column(1))
             offsets = pa.array(np.arange(0, (len(x) + 1) * WIDTH, WIDTH, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["_id", "_y", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["_id", "_h", "x"])
+
+
+def _grouped(docs: pa.Table, labels: pa.Table) -> pa.Table:
+    """One row with the examples of a group, by id: labels and descriptions."""
+    d = docs.select(["_id", "_h", "x"]).combine_chunks()
+    ids, known = d["_id"].to_numpy(), labels["_id"].to_numpy()
+    order = np.lexsort((d["_h"].to_numpy(), ids))
+    order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))] if len(order) else order
+    order = order[np.isin(ids[order], known)]
+    by = np.argsort(known)
+    y = labels["_y"].to_numpy()[by][np.searchsorted(known[by], ids[order])].astype(np.int32)
+    g = docs["g"][0].as_py() if docs.num_rows else labels["g"][0].as_py()
+    return pa.table({"g": pa.array([g], pa.int64()), "y": pa.array([y], pa.list_(pa.int32())), "x": pa.array([d["x"].take(pa.array(order)).combine_chunks().flatten().to_numpy()], pa.list_(pa.float32()))})
+
 
+def _matches(y: np.ndarray, opponents: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Preference pairs of a group: every example of the larger class meets `opponents` of the other, all of which take part."""
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(good) or not len(bad):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(max(len(good), len(bad))), np.arange(opponents), indexing="ij"))
+    return good[(i + 131 * j) % len(good)], bad[(i * 7 + j) % len(bad)]
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Ranker:
-    """Fit on at most per_class labelled training documents of either class (see labelled_sample).
 
-    Texts are described on the executors; the driver holds one vector of WIDTH numbers for each example.
+def _each(groups: DataFrame, what: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of what(x, y) over the groups, always in the same order; the driver gets one short vector a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                y = b.column(1).slice(i, 1).flatten().to_numpy()
+                got = what(b.column(2).slice(i, 1).flatten().to_numpy().reshape(len(y), WIDTH).astype(float), y)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([got], pa.list_(pa.float64()))], ["g", "v"])
+
+    with small_batches(groups.sparkSession):
+        rows = groups.mapInArrow(run, "g long, v array<double>").toArrow().combine_chunks()
+    at = np.argsort(rows["g"].to_numpy())
+    return rows["v"].combine_chunks().flatten().to_numpy().reshape(len(at), -1)[at].sum(0)
+
+
+def _pull(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient of the logistic loss over a group's pairs, then the loss and the number of pairs."""
+    a, b = _matches(y)
+    s = z @ w
+    gap = np.clip(s[a] - s[b], -30, 30)
+    miss = 1 / (1 + np.exp(gap))
+    return np.append(z.T @ (np.bincount(b, miss, len(z)) - np.bincount(a, miss, len(z))), [np.log1p(np.exp(-gap)).sum(), len(a)])
+
+
+def _curvature(z: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
+    a, b = _matches(y)
+    if not len(a):
+        return np.eye(WIDTH)
+    d = z[a] - z[b]
+    p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+    return (d * (p * (1 - p))[:, None]).T @ d / len(a) + ridge * np.eye(WIDTH)
+
+
+def _descend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, curvature: np.ndarray, passes: int) -> np.ndarray:
+    """L-BFGS from w; an approximate curvature only sets the first direction, so the minimum is that of `value`."""
+    (f, g), past = value(w), []
+    for _ in range(passes):
+        q, parts = g.copy(), []
+        for s, t in reversed(past):
+            parts.append(s @ q / (s @ t))
+            q -= parts[-1] * t
+        q = np.linalg.solve(curvature, q)
+        for (s, t), part in zip(past, reversed(parts), strict=True):
+            q += (part - t @ q / (s @ t)) * s
+        if g @ q < 1e-6 * max(f, 1e-6):
+            break
+        step = 1.0
+        while step > 1e-3:
+            new = w - step * q
+            f_new, g_new = value(new)
+            if f_new <= f - 1e-4 * step * (g @ q):
+                break
+            step /= 3
+        else:
+            break
+        if (new - w) @ (g_new - g) > 0:
+            past = [*past[-9:], (new - w, g_new - g)]
+        w, f, g = new, f_new, g_new
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, ridge: float = 1e-3, passes: int = 16) -> Ranker:
+    """Fit on all labelled training documents: documents with a label whose crc32(id) mod 4 is not 2.
+
+    Texts are described on the executors and dealt to groups of about GROUP by a hash of the id, larger ones where the
+    rarer class would have under RARE examples in one. Pairs are made inside a group; every example is in some. Means, deviations, the
+    gradient of each pass and the threshold come from all groups; the start and the first curvature come from one group and
+    change only the number of passes. An id with contradicting labels has the larger one; rows that repeat an id count as one, the
+    first by a hash of the text. Null ids and labels other than 0 and 1 are left out.
     """
-    rows, counts = labelled_sample(docs, labels, "quality", per_class)
-    got = rows.mapInArrow(_described, "_id long, _y int, x array<float>").toArrow().combine_chunks()
-    got = got.take(pc.sort_indices(got, [("_id", "ascending")])).combine_chunks()
-    x = got["x"].combine_chunks().flatten().to_numpy() if got.num_rows else np.empty(0, np.float32)
-    model = Ranker(x, got["_y"].to_pylist(), {0: counts.get(0, 0), 1: counts.get(1, 0)})
-    del got, x
+    lab = (
+        labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y"))
+        .where(F.col("_y").isin(0, 1) & (remainder("_id", 4) != 2)).groupBy("_id").agg(F.max("_y").alias("_y"))
+    )
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).where(remainder("_id", 4) != 2)
+    known = materialize(own.select("_id").distinct().join(lab, "_id"))
+    counts = {0: 0, 1: 0} | {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    n = counts[0] + counts[1]
+    if not counts[0] or not counts[1]:
+        return Ranker(np.zeros((min(n, 1), WIDTH)), [int(counts[1] > 0)] * min(n, 1), counts)
+    many = max(1, min(math.ceil(n / GROUP), min(counts.values()) // RARE))
+    group = F.pmod(F.xxhash64("_id"), F.lit(many)).alias("g")
+    described = own.withColumn("_h", F.xxhash64("_text")).mapInArrow(_described, "_id long, _h long, x array<float>").select(group, "*")
+    groups = materialize(described.groupBy("g").cogroup(known.select(group, "*").groupBy("g")).applyInArrow(_grouped, "g long, y array<int>, x array<float>"), 4)
+    total = _each(groups, lambda x, y: np.concatenate([x.sum(0), (x * x).sum(0)])) / n
+    mean = total[:WIDTH]
+    std = np.sqrt(np.maximum(0, total[WIDTH:] - mean**2)) + 1e-3
+    std[:SURFACE] -= 1e-3 - 1e-6
+    std[SURFACE:] /= SCALE
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        got = _each(groups, lambda x, y: _pull((x - mean) / std, y, w))
+        return got[-2] / got[-1] + ridge / 2 * w @ w, got[:-2] / got[-1] + ridge * w
+
+    one = groups.where("g = 0").select("y", "x").toArrow().combine_chunks()
+    y0 = one["y"].combine_chunks().flatten().to_numpy()[:GROUP]
+    z0 = (one["x"].combine_chunks().flatten().to_numpy()[: len(y0) * WIDTH].reshape(len(y0), WIDTH) - mean) / std
+
+    def start(w: np.ndarray) -> tuple[float, np.ndarray]:
+        got = _pull(z0, y0, w)
+        return got[-2] / max(1, got[-1]) + ridge / 2 * w @ w, got[:-2] / max(1, got[-1]) + ridge * w
+
+    w = np.zeros(WIDTH)
+    for _ in range(4):
+        w = _descend(start, w, _curvature(z0, y0, w, ridge), 4)
+    w = _descend(value, w, _curvature(z0, y0, w, ridge), passes)
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                y = b.column(1).slice(i, 1).flatten()
+                x = b.column(2).slice(i, 1).flatten().to_numpy().reshape(len(y), WIDTH)
+                yield pa.RecordBatch.from_arrays([y, pa.array((x - mean) / std @ w)], ["y", "s"])
+
+    with small_batches(docs.sparkSession):
+        scores = materialize(groups.mapInArrow(ranks, "y int, s double"))
+    release(groups, known)
+    # in the middle between the ranks that label 0 ends and label 1 begins with
+    cut = exact_percentiles(scores, "s", [(counts[0] - 0.5) / (n - 1)]).first()["percentiles"][0]
+    spread = scores.groupBy("y").agg(F.stddev_pop("s").alias("d")).agg(F.sum("d")).first()[0]
+    release(scores)
     give_back()
-    return model
+    return Ranker.of(mean, std, w, float(cut), 2.0 / max(1e-6, round(spread, 9)))
 
 
 def score(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
