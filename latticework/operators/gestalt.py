@@ -55,7 +55,9 @@ def bounded(pairs: DataFrame, a: str, b: str, least: Column | float = 0.0) -> Da
 
 
 #: Texts of either side in a tile.
-TILE = 512, 4096
+TILE = 4096, 32768
+#: Pairs of a query and a group of texts that are looked at together.
+FRONTIER = 1 << 18
 
 
 def reaching(queries: DataFrame, directory: DataFrame) -> DataFrame:
@@ -63,7 +65,8 @@ def reaching(queries: DataFrame, directory: DataFrame) -> DataFrame:
 
     queries: k, b, city, form, far, near; directory: e, b, city, form; nothing but cities may be null. Both sides of a block
     are cut into tiles of bounded size by a hash; each two tiles meet once, on their own, wherever Spark puts them.
-    Lengths and letters are compared as in `bounded`, for all pairs of two tiles at a time.
+    Lengths and letters are bounded as in `bounded`, but for groups of texts with the same counts of some letters
+    (letter_pairs), so that work grows with the groups close to a query and not with the pairs of texts.
     """
     def tiles(df: DataFrame, key: str, size: int, out: str) -> DataFrame:
         n = df.groupBy("b").agg(F.ceil(F.count("*") / size).alias("n"))
@@ -71,7 +74,7 @@ def reaching(queries: DataFrame, directory: DataFrame) -> DataFrame:
 
     d = written(tiles(directory, "e", TILE[1], "ds"))
     met = tiles(queries, "k", TILE[0], "qs").drop("t", "n").join(d.select("b", "t"), "b")
-    parts = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), d.count() // 8)
+    parts = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), d.count())
     both = met.repartition(parts, "b", "t").join(d.drop("n").repartition(parts, "b", "t"), ["b", "t"]).select("qs", "ds")
     return both.mapInArrow(_reached, f"k {queries.schema['k'].dataType.simpleString()}, e {directory.schema['e'].dataType.simpleString()}")
 
@@ -83,27 +86,75 @@ def _letters(forms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return n, np.concatenate([each, (n - each.sum(0))[None]])
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> float:
+    """Mean difference of a number of x and one of y, all from 15 on taken as 15."""
+    x, y = (np.cumsum(np.bincount(np.minimum(v, 15), minlength=16)) / len(v) for v in (x, y))
+    return float((x * (1 - y) + y * (1 - x)).sum())
+
+
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start[i], ..., start[i] + n[i] - 1 of every i, one after another."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def letter_pairs(n: np.ndarray, a: np.ndarray, own: np.ndarray, far: np.ndarray, near: np.ndarray, m: np.ndarray, c: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (of n, of m) of the pairs with 2 * common letters >= least * (n + m), least being `near` in one city, else `far`.
+
+    n, m: lengths; a, c: letter counts, a row for each letter; own, other: cities, those below 0 equal to none.
+    Texts are sorted by city, length and letter after letter, those first that tell the sides apart best. Texts with
+    the same values so far are a group. A query enters the parts of a group only while its common letters so far and
+    the lesser rest of both may reach the level.
+    """
+    both = a.any(1) & c.any(1)
+    order = sorted(np.flatnonzero(both), key=lambda x: -_apart(a[x], c[x]))
+    keys = [other, m, c[both].sum(0), *c[order]]
+    by, new = np.lexsort(keys[::-1]), np.arange(len(m)) == 0
+    starts, values = [], []
+    for key in keys:
+        new[1:] |= np.diff(key[by]) != 0
+        starts.append(np.flatnonzero(new))
+        values.append(key[by][starts[-1]])
+    # the parts of group i of a level are those from parts[level][i] on
+    parts = [np.searchsorted(y, np.append(x, len(by))) for x, y in zip(starts, [*starts[1:], np.arange(len(by))], strict=True)]
+    top, rest = starts[2], a[both].sum(0)
+    city, length, left = other[by][top], m[by][top], values[2]
+    step = max(1, FRONTIER // len(top))
+    for i in range(0, len(n), step):
+        q, g = (x.ravel() for x in np.meshgrid(np.arange(i, min(i + step, len(n))), np.arange(len(top)), indexing="ij"))
+        least = np.where((own[q] == city[g]) & (own[q] >= 0), near[q], far[q]) * (n[q] + length[g]) / 2 - 5e-7
+        can = np.minimum(rest[q], left[g]) >= least
+        # depth first, so that little is open at a time: level, query, group, common letters missing, rests of both
+        open_ = [(2, q[can], g[can], least[can], rest[q[can]], left[g[can]])]
+        while open_:
+            level, q, g, need, x, y = open_.pop()
+            size = parts[level][g + 1] - parts[level][g]
+            upto = np.cumsum(size)
+            if len(q) > 1 and upto[-1] > FRONTIER:
+                cut = min(max(1, int(np.searchsorted(upto, FRONTIER))), len(q) - 1)
+                open_ += [(level, *(v[cut:] for v in (q, g, need, x, y))), (level, *(v[:cut] for v in (q, g, need, x, y)))]
+                continue
+            if not len(q):
+                continue
+            g, q = _spans(parts[level][g], size), np.repeat(q, size)
+            if level + 1 == len(keys):
+                yield q, by[g]
+                continue
+            mine, its = a[order[level - 2]][q], values[level + 1][g]
+            need = np.repeat(need, size) - np.minimum(mine, its)
+            x, y = np.repeat(x, size) - mine, np.repeat(y, size) - its
+            can = np.minimum(x, y) >= need
+            open_.append((level + 1, q[can], g[can], need[can], x[can], y[can]))
+
+
 def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
             q, d = (pa.Table.from_struct_array(b.column(j).slice(i, 1).flatten()).combine_chunks() for j in (0, 1))
-            far, near = q["far"].to_numpy(), q["near"].to_numpy()
             (n, a), (m, c) = _letters(q["form"].combine_chunks()), _letters(d["form"].combine_chunks())
-            # by the best length that the tile holds
-            best = np.clip(n, m.min(), m.max())
-            can = np.flatnonzero(2.0 * np.minimum(n, best) >= np.minimum(far, near) * (n + best) - 1e-6)
-            if not len(can):
-                continue
-            common = np.zeros((len(can), len(m)), np.int32)
-            for x, y in zip(a[:, can], c, strict=True):
-                if x.any() and y.any():
-                    common += np.minimum(x[:, None], y[None, :])
             codes = pa.chunked_array([q["city"].combine_chunks(), d["city"].combine_chunks()]).combine_chunks().dictionary_encode().indices
             codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False)
-            own, other = codes[: len(n)][can], codes[len(n) :]
-            least = np.where((own[:, None] == other[None, :]) & (own >= 0)[:, None], near[can][:, None], far[can][:, None])
-            row, col = np.nonzero(2.0 * common >= least * (n[can][:, None] + m[None, :]) - 1e-6)
-            yield pa.RecordBatch.from_arrays([q["k"].combine_chunks().take(pa.array(can[row])), d["e"].combine_chunks().take(pa.array(col))], ["k", "e"])
+            for row, col in letter_pairs(n, a, codes[: len(n)], q["far"].to_numpy(), q["near"].to_numpy(), m, c, codes[len(n) :]):
+                yield pa.RecordBatch.from_arrays([q["k"].combine_chunks().take(pa.array(row)), d["e"].combine_chunks().take(pa.array(col))], ["k", "e"])
 
 
 def scored(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
